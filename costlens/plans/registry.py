@@ -25,6 +25,9 @@ class Query:
     build: Callable[[SparkSession, str], DataFrame]
     sql: str | None
     ops: tuple[str, ...]
+    raw_sql: str | None = None
+    fixtures: tuple[str, ...] = ()
+    fn: Callable[[SparkSession, str], DataFrame] | None = None
 
 
 REGISTRY: dict[str, Query] = {}
@@ -59,7 +62,7 @@ def query(name: str, ops: str, fixtures: list[str] | None = None, sql: str | Non
 
         build.__name__ = fn.__name__
         build.__doc__ = fn.__doc__
-        REGISTRY[name] = Query(name, build, full, tuple(ops.split()))
+        REGISTRY[name] = Query(name, build, full, tuple(ops.split()), sql, tuple(fixtures or ()), fn)
         return fn
 
     return deco

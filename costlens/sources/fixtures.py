@@ -9,8 +9,6 @@ definitions as DuckDB SQL for the oracle side of the correctness check.
 
 from __future__ import annotations
 
-from functools import cached_property
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -400,6 +398,29 @@ class Tables:
         return self.conversations.select(F.col("role").alias("log_name"), "conv_id", "turn")
 
 
+# Fixed values of the fixture: billing service names of the test data mapped
+# to the canonical service keys the checks report under.
+SERVICE_MAP = [
+    ("ECONOMY", "AmazonCloudWatch"),
+    ("LARGE", "AmazonEC2"),
+    ("MEDIUM", "AmazonEKS"),
+    ("PROMO", "AmazonS3"),
+    ("SMALL", "AmazonVPC"),
+    ("STANDARD", "AWSConfig"),
+    ("1-URGENT", "ComputeEngine"),
+    ("2-HIGH", "KubernetesEngine"),
+    ("3-MEDIUM", "Networking"),
+    ("4-NOT SPECIFIED", "AWSKMS"),
+]
+
+
+def service_map(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(SERVICE_MAP, "service string, check_service string")
+
+
+SERVICE_MAP_SQL = "(values " + ", ".join(f"('{a}', '{b}')" for a, b in SERVICE_MAP) + ") sm(service, check_service)"
+
+
 # DuckDB definitions of the same inputs (oracle side).  Only the flat forms
 # are needed: oracle queries use `unnest`-free SQL over these.
 FIXTURE_SQL = {
@@ -510,4 +531,7 @@ FIXTURE_SQL = {
 def with_fixtures(sql: str, names: list[str]) -> str:
     """Prefix an oracle query with CTEs for the fixture tables it reads."""
     ctes = ",\n".join(f"{n} AS ({FIXTURE_SQL[n]})" for n in names)
-    return f"WITH {ctes}\n{sql}"
+    body = sql.lstrip()
+    if body[:5].lower() == "with ":
+        return f"WITH {ctes},\n{body[5:]}"
+    return f"WITH {ctes}\n{body}"
