@@ -3,14 +3,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import functions as F
 
 from costlens.operators import alerts as AL
 from costlens.operators import anomaly as AN
 from costlens.operators import forecast as FC
 from costlens.operators import pivots as P
+from costlens.operators.findings import union_findings
 from costlens.plans.q_billing import AWS_SERVICES, CLEAN_AWS_SQL, GCP_SERVICES, aws_clean
 from costlens.plans.registry import REGISTRY, d_, query
 from costlens.sources import billing as B
@@ -288,7 +287,7 @@ FINDING_QUERIES = [
 
 
 def all_findings(spark, sf_dir):
-    return reduce(lambda a, b: a.unionByName(b), [REGISTRY[n].fn(spark, sf_dir) for n in FINDING_QUERIES])
+    return union_findings([REGISTRY[n].fn(spark, sf_dir) for n in FINDING_QUERIES])
 
 
 def _findings_sql() -> str:

@@ -26,9 +26,16 @@ class Tables:
         self.sf_dir = sf_dir.rstrip("/")
         self._raw: dict[str, DataFrame] = {}
 
+    # Parquet readers shared by every `Tables` of a session: listing files and
+    # reading footers once per table, not once per query branch.
+    _shared: dict[tuple, DataFrame] = {}
+
     def raw(self, name: str) -> DataFrame:
         if name not in self._raw:
-            self._raw[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            key = (id(self.spark), self.sf_dir, name)
+            if key not in Tables._shared:
+                Tables._shared[key] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            self._raw[name] = Tables._shared[key]
         return self._raw[name]
 
     def __getattr__(self, name: str) -> DataFrame:
