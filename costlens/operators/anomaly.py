@@ -183,25 +183,36 @@ def iforest_fit(df: DataFrame, group: str, value: str, row_id: str, trees: int =
                 seed: int = 42) -> DataFrame:
     """ANO-1: one isolation forest per group -> model rows (g, tree, psi, splits, depths).
 
-    Sampling without replacement per tree: a row joins tree t when
-    hash(row_id, t, seed) falls under rate = min(1, 2·psi/n_group); the psi
-    lowest hashes per (group, tree) are kept.  Only ~2·psi candidate rows per
-    tree are ever materialised, however large the group."""
+    Sampling without replacement per tree at rate = min(1, 2·psi/n_group),
+    then the psi lowest hashes per (group, tree) are kept, so only ~2·psi
+    candidate rows per tree are ever materialised, however large the group.
+
+    * large groups (trees·rate <= 1): one hash per row, u in [0, 1); the row
+      joins tree floor(u / rate) when that is < trees.  Each tree still draws
+      every row with probability `rate`; samples of different trees are
+      disjoint, which for n >= 2·psi·trees differs from independent draws by
+      an overlap of order psi/n.  Pure codegen arithmetic, no per-row array.
+    * small groups: an independent hash test per (row, tree).
+
+    The per-group row counts are joined back with a plain equi-join: AQE sees
+    the (one row per group) size at runtime and broadcasts it, or falls back
+    to a skew-split shuffle join when there are too many groups."""
     d = df.select(F.col(group).cast("string").alias("g"), F.col(value).cast("double").alias("v"),
                   F.col(row_id).alias("rid")).filter(F.col("v").isNotNull())
     n = d.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
     rate = F.least(F.lit(1.0), F.lit(2.0 * psi) / F.col("n"))
     cut = (rate * F.lit(1e6)).cast("long")
-    cand = d.join(n, "g").select(
-        "g",
-        "v",
-        "rid",
-        F.explode(
-            F.filter(
-                F.sequence(F.lit(0), F.lit(trees - 1)),
-                lambda t: F.pmod(F.xxhash64(F.col("rid"), t, F.lit(seed)), F.lit(1_000_000)) < cut,
-            )
-        ).alias("tree"),
+    u = F.pmod(F.xxhash64(F.col("rid"), F.lit(seed)), F.lit(1_000_000_000)).cast("double") / F.lit(1e9)
+    one_tree = F.array(F.floor(u / rate).cast("int"))
+    per_tree = F.filter(
+        F.sequence(F.lit(0), F.lit(trees - 1)),
+        lambda t: F.pmod(F.xxhash64(F.col("rid"), t, F.lit(seed)), F.lit(1_000_000)) < cut,
+    )
+    big = rate * F.lit(float(trees)) <= F.lit(1.0)
+    cand = (
+        d.join(n, "g")
+        .select("g", "v", "rid", F.explode(F.when(big, one_tree).otherwise(per_tree)).alias("tree"))
+        .filter(F.col("tree") < trees)
     )
     h = F.xxhash64(F.col("rid"), F.col("tree"), F.lit(seed + 1))
     w = Window.partitionBy("g", "tree").orderBy(h, F.col("rid"))

@@ -108,3 +108,15 @@ def test_arima_job_outputs_seven_forecasts(spark):
     fc = out[out["kind"] == "forecast"]
     assert len(fc) == 7 and fc["value"].notna().all()
     assert (out[out["kind"] == "predict"].shape[0]) == 200
+
+
+def test_forest_large_group_sampling_path(spark):
+    # 60,000 rows: trees * 2 * psi / n < 1, so each row is hashed once
+    df = spark.range(60000).select(
+        F.lit("big").alias("service"), F.col("id").alias("row_id"),
+        (F.col("id") % 1000).cast("double").alias("cost"),
+    )
+    m = AN.iforest_fit(df, "service", "cost", "row_id").toPandas()
+    assert len(m) == 100 and (m["psi"] == 256).all()
+    s = AN.isolation_forest(df, "service", "cost", "row_id").agg(F.count("*"), F.min("raw"), F.max("raw")).first()
+    assert s[0] == 60000 and -1 < s[1] <= s[2] < 0
