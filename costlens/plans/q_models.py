@@ -10,7 +10,7 @@ from costlens.operators import anomaly as AN
 from costlens.operators import forecast as FC
 from costlens.operators import pivots as P
 from costlens.operators.findings import union_findings
-from costlens.plans.q_billing import AWS_SERVICES, CLEAN_AWS_SQL, GCP_SERVICES, aws_clean
+from costlens.plans.q_billing import AWS_SERVICES, CLEAN_AWS_SQL, CLEAN_GCP_SQL, GCP_SERVICES, aws_clean
 from costlens.plans.registry import REGISTRY, d_, query
 from costlens.sources import billing as B
 from costlens.sources.fixtures import SERVICE_MAP_SQL, Tables, service_map
@@ -404,3 +404,77 @@ def src7_thresholds_wide(spark, sf_dir):
     """The wide threshold row, one column per service."""
     latest = B.latest_thresholds(threshold_history(Tables(spark, sf_dir)), ("run_ts", "order_key"))
     return B.thresholds_wide(latest, GCP_SERVICES)
+
+
+# ------------------------------------------------------------------ sinks and sources, round trips
+def _scratch(spark, name: str) -> str:
+    """A fresh folder under the cluster's shared checkpoint directory."""
+    import uuid
+
+    from costlens.session import ensure_checkpoint_dir
+
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/roundtrip/{name}-{uuid.uuid4().hex}"
+
+
+@query(
+    "cln10_order_by_date",
+    "CLN-10",
+    ["cost_gcp_raw"],
+    f"select provider, {d_('date')} as date, service, product_code, region, location, cost "
+    f"from ({CLEAN_GCP_SQL}) c",
+)
+def cln10_order_by_date(spark, sf_dir):
+    """Clean GCP table sorted by date for display (a range-partitioned sort)."""
+    from costlens.operators import clean as C
+
+    return C.order_by_date(C.clean_gcp(Tables(spark, sf_dir).cost_gcp_raw))
+
+
+@query(
+    "snk1_src4_clean_roundtrip",
+    "SNK-1 SRC-4 CLN-10",
+    ["cost_aws_raw", "cost_gcp_raw"],
+    f"select provider, {d_('date')} as date, service, product_code, region, location, cost from ("
+    f"{CLEAN_AWS_SQL} union all {CLEAN_GCP_SQL}) c",
+)
+def snk1_src4_clean_roundtrip(spark, sf_dir):
+    """Both clean tables written partitioned by provider (sorted by date per
+    file), then read back as one report."""
+    from costlens.operators import clean as C
+
+    t = Tables(spark, sf_dir)
+    path = _scratch(spark, "clean")
+    B.write_clean(aws_clean(t).unionByName(C.clean_gcp(t.cost_gcp_raw)), path)
+    return B.read_report(spark, path, fmt="parquet").select(
+        "provider", "date", "service", "product_code", "region", "location", "cost"
+    )
+
+
+@query(
+    "snk3_src5_forecasts_roundtrip",
+    "SNK-3 SRC-5",
+    ["cost_aws_raw"],
+    f"select service, {d_('date')} as date, step, forecast from ({FORECASTS_SQL}) f",
+)
+def snk3_src5_forecasts_roundtrip(spark, sf_dir):
+    """All services' forecasts written as one table partitioned by service, read back in one scan."""
+    path = _scratch(spark, "forecasts")
+    B.write_forecasts(forecasts(Tables(spark, sf_dir)), path)
+    return B.read_forecasts(spark, path).select("service", "date", "step", "forecast")
+
+
+@query(
+    "snk2_append_thresholds",
+    "SNK-2 SRC-6",
+    ["metric_points"],
+    "select metric as service, threshold * 2 as threshold from ("
+    + REGISTRY["ano3_6_thresholds"].raw_sql
+    + ") t",
+)
+def snk2_append_thresholds(spark, sf_dir):
+    """Two runs appended to the threshold history; the latest run wins per service."""
+    th = ano3_6_thresholds(spark, sf_dir).select(F.col("metric").alias("service"), "threshold", "accuracy")
+    path = _scratch(spark, "thresholds")
+    B.append_thresholds(th, path, "2024-01-01 00:00:00")
+    B.append_thresholds(th.withColumn("threshold", F.col("threshold") * 2), path, "2024-02-01 00:00:00")
+    return B.latest_thresholds(spark.read.parquet(path))
