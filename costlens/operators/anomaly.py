@@ -109,19 +109,27 @@ def calibrate_threshold(
     target: float = TARGET_ACCURACY,
     max_iter: int = MAX_ITERATIONS,
     step: float = STEP,
+    default_start: float | None = None,
 ) -> DataFrame:
     """ANO-6 in closed form (D5).
 
     Lowering t can only remove hits, so the ratio never rises while the loop
     runs: if ratio(start) reaches `target` the start is returned, otherwise
     the loop runs all `max_iter` steps.  Two conditional counts in one
-    aggregate replace up to `max_iter` scans.  Returns
+    aggregate replace up to `max_iter` scans.  Groups without a start are
+    dropped unless `default_start` is given.  Returns
     (group, threshold, accuracy, labelled)."""
     if not isinstance(starts, DataFrame):
         spark = labelled_scores.sparkSession
         starts = spark.createDataFrame([(k, float(v)) for k, v in starts.items()], f"{group} string, start double")
-    st = starts.withColumn("low", lowered(F.col("start"), max_iter, step))
-    j = labelled_scores.join(st, group)
+    if default_start is None:
+        st = starts.withColumn("low", lowered(F.col("start"), max_iter, step))
+        j = labelled_scores.join(st, group)
+    else:
+        # services without a configured start use `default_start`
+        j = labelled_scores.join(starts, group, "left").withColumn(
+            "start", F.coalesce(F.col("start"), F.lit(float(default_start)))
+        ).withColumn("low", lowered(F.col("start"), max_iter, step))
     g = j.groupBy(group, "start", "low").agg(
         F.count_if(F.col("score") < F.col("start")).alias("h0"),
         F.count_if(F.col("score") < F.col("low")).alias("h1"),
