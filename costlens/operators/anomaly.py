@@ -4,8 +4,8 @@ ANO-1/2 is an isolation forest (Liu, Ting, Zhou, ICDM 2008) on one column,
 fitted and scored per group (service) entirely inside Spark:
 
 * fit: rows are hash-sampled to (group, tree) pairs so each tree sees at most
-  `psi` rows; `groupBy(group, tree).applyInPandas` builds one tree per task
-  group (<= psi rows each, never a whole service);
+  `psi` rows; `groupBy(group).applyInPandas` builds a group's trees from its
+  sample (<= trees x psi rows, never a whole service);
 * score: rows are salted into buckets per group, the (small, bounded) model of
   the group is replicated to each bucket, and `cogroup(...).applyInPandas`
   scores a bucket with numpy — no group is ever pulled into one task, and
@@ -175,14 +175,21 @@ def _build_tree(values: np.ndarray, rng: np.random.Generator, height: int):
 
 
 def _fit_group(seed: int):
+    """All trees of one group in one call: the input is that group's sample,
+    at most trees x psi rows whatever the group's size."""
+
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        g, tree = str(pdf["g"].iloc[0]), int(pdf["tree"].iloc[0])
-        vals = pdf["v"].to_numpy(dtype=float)
-        n = len(vals)
-        height = int(math.ceil(math.log2(max(n, 2))))
-        rng = np.random.default_rng(_tree_seed(seed, g, tree))
-        splits, depths = _build_tree(vals, rng, height)
-        return pd.DataFrame({"g": [g], "tree": [tree], "psi": [n], "splits": [splits], "depths": [depths]})
+        g = str(pdf["g"].iloc[0])
+        out = {"g": [], "tree": [], "psi": [], "splits": [], "depths": []}
+        for tree, part in pdf.groupby("tree", sort=True):
+            vals = part["v"].to_numpy(dtype=float)
+            n = len(vals)
+            height = int(math.ceil(math.log2(max(n, 2))))
+            rng = np.random.default_rng(_tree_seed(seed, g, int(tree)))
+            splits, depths = _build_tree(vals, rng, height)
+            for k, v in (("g", g), ("tree", int(tree)), ("psi", n), ("splits", splits), ("depths", depths)):
+                out[k].append(v)
+        return pd.DataFrame(out)
 
     return fit
 
@@ -225,7 +232,7 @@ def iforest_fit(df: DataFrame, group: str, value: str, row_id: str, trees: int =
     h = F.xxhash64(F.col("rid"), F.col("tree"), F.lit(seed + 1))
     w = Window.partitionBy("g", "tree").orderBy(h, F.col("rid"))
     sample = cand.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= psi).select("g", "tree", "v")
-    return sample.groupBy("g", "tree").applyInPandas(_fit_group(seed), MODEL_SCHEMA)
+    return sample.groupBy("g").applyInPandas(_fit_group(seed), MODEL_SCHEMA)
 
 
 # ------------------------------------------------------------------ ANO-2 score
