@@ -136,8 +136,9 @@ class Tables:
 
     @property
     def asg_members(self) -> DataFrame:
-        """Scaling group -> [instance ids]."""
-        return self.topology.groupBy("asg").agg(F.collect_list("instance_id").alias("instance_ids"))
+        """Scaling group -> instance edges, flat: a group may hold a third of all
+        instances, so its members are never gathered into one array."""
+        return self.topology.select("asg", "instance_id")
 
     @property
     def instances(self) -> DataFrame:
@@ -170,9 +171,9 @@ class Tables:
     @property
     def volumes(self) -> DataFrame:
         c = self.customer
-        return c.filter(F.col("c_custkey") < 300).select(
+        return c.select(
             F.col("c_custkey").alias("volume_id"),
-            (F.col("c_custkey") % 100).alias("instance_id"),
+            F.floor(F.col("c_custkey") / 3).alias("instance_id"),
             F.floor(F.abs(F.col("c_acctbal")) / 10).cast("int").alias("size_gb"),
         )
 
@@ -201,9 +202,9 @@ class Tables:
 
     @property
     def log_groups(self) -> DataFrame:
-        return self.region.filter(F.col("r_regionkey") < 3).select(
-            F.concat(F.lit("/aws/eks/"), F.col("r_name"), F.lit("/cluster-x")).alias("name")
-        )
+        r = self.region
+        suffix = F.when(F.col("r_regionkey") < 3, F.lit("/cluster-x")).otherwise(F.lit("-legacy"))
+        return r.select(F.concat(F.lit("/aws/eks/"), F.col("r_name"), suffix).alias("name"))
 
     @property
     def lb_targets(self) -> DataFrame:
@@ -240,7 +241,7 @@ class Tables:
 
     @property
     def gateways(self) -> DataFrame:
-        return self.customer.filter(F.col("c_custkey") < 200).select(F.col("c_custkey").alias("gateway_id"))
+        return self.customer.select(F.col("c_custkey").alias("gateway_id"))
 
     @property
     def addresses(self) -> DataFrame:
@@ -370,15 +371,12 @@ class Tables:
     @property
     def containers(self) -> DataFrame:
         c, n = self.customer, self.nation
-        return (
-            c.join(n, n.n_nationkey == c.c_nationkey)
-            .filter(F.col("c_custkey") % 7 != 0)
-            .select(
-                F.col("n_name").alias("node_name"),
-                F.col("c_custkey").alias("pod"),
-                F.concat((F.col("c_custkey") % 100).cast("string"), F.lit("m")).alias("cpu_req"),
-                F.concat((F.col("c_custkey") % 1024).cast("string"), F.lit("Mi")).alias("mem_req"),
-            )
+        no_req = F.col("c_custkey") % 7 == 0
+        return c.join(n, n.n_nationkey == c.c_nationkey).select(
+            F.col("n_name").alias("node_name"),
+            F.col("c_custkey").alias("pod"),
+            F.when(~no_req, F.concat((F.col("c_custkey") % 100).cast("string"), F.lit("m"))).alias("cpu_req"),
+            F.when(~no_req, F.concat((F.col("c_custkey") % 1024).cast("string"), F.lit("Mi"))).alias("mem_req"),
         )
 
     @property
@@ -464,15 +462,18 @@ FIXTURE_SQL = {
         "from customer join orders on o_custkey=c_custkey group by c_custkey,c_acctbal,c_mktsegment"
     ),
     "volumes": (
-        "select c_custkey volume_id, c_custkey%100 instance_id, cast(floor(abs(c_acctbal)/10) as int) size_gb "
-        "from customer where c_custkey<300"
+        "select c_custkey volume_id, c_custkey//3 instance_id, cast(floor(abs(c_acctbal)/10) as int) size_gb "
+        "from customer"
     ),
     "snapshots": (
         "select o_orderkey snapshot_id,o_custkey volume_id,o_orderdate start_time, "
         "cast(floor(o_totalprice/20000) as int) size_gb from orders"
     ),
     "log_streams": "select conv_id%50 log_group, concat(conv_id,'-',turn) log_stream from conversations",
-    "log_groups": "select concat('/aws/eks/',r_name,'/cluster-x') name from region where r_regionkey<3",
+    "log_groups": (
+        "select concat('/aws/eks/',r_name,case when r_regionkey<3 then '/cluster-x' else '-legacy' end) name "
+        "from region"
+    ),
     "lb_targets": (
         "select o_orderpriority lb, o_custkey target_id, "
         "case when o_orderstatus='F' then 'healthy' else 'unhealthy' end state from orders"
@@ -486,7 +487,7 @@ FIXTURE_SQL = {
         "select source bucket, documents.doc_id upload_id from documents "
         "join labels on labels.doc_id=documents.doc_id where toxic=1"
     ),
-    "gateways": "select c_custkey gateway_id from customer where c_custkey<200",
+    "gateways": "select c_custkey gateway_id from customer",
     "addresses": (
         "select c_name public_ip, nullif(c_nationkey,3) instance_id, nullif(c_mktsegment,'BUILDING') "
         "network_interface_id, case when c_acctbal>5000 then c_custkey end association_id from customer"
@@ -523,9 +524,9 @@ FIXTURE_SQL = {
     "advisor_flagged": "select l_partkey check_id, l_orderkey resource_id from lineitem",
     "nodes": "select n_name node_name, '4' cpu, '8388608Ki' memory from nation",
     "containers": (
-        "select n_name node_name, c_custkey pod, concat(c_custkey%100,'m') cpu_req, "
-        "concat(c_custkey%1024,'Mi') mem_req from customer join nation on n_nationkey=c_nationkey "
-        "where c_custkey%7<>0"
+        "select n_name node_name, c_custkey pod, case when c_custkey%7<>0 then concat(c_custkey%100,'m') end cpu_req, "
+        "case when c_custkey%7<>0 then concat(c_custkey%1024,'Mi') end mem_req "
+        "from customer join nation on n_nationkey=c_nationkey"
     ),
     "pools": (
         "select distinct substr(n_name,1,length(n_name)-1) pool, "
