@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from costlens.functions import dsum, lit_ts, whole_days_between
 from costlens.operators.findings import flag
-from costlens.operators.metrics import in_window, metric_stats, per_resource
+from costlens.operators.metrics import in_window, metric_stats, per_resource, window_rows
 
 CW, EC2, EKS, S3, VPC, CFG, KMS = (
     "AmazonCloudWatch",
@@ -55,12 +55,7 @@ def excessive_log_streams(log_streams: DataFrame, limit: int = 100) -> DataFrame
 
 def high_data_points(points: DataFrame, as_of, minutes: int = 60, limit: int = 100) -> DataFrame:
     """CW-4: metrics with more than `limit` raw datapoints in the last `minutes` (D12)."""
-    g = (
-        in_window(points, as_of, f"{int(minutes)} minutes")
-        .groupBy("namespace", "metric")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .filter(F.col("n") > limit)
-    )
+    g = window_rows(points, as_of, f"{int(minutes)} minutes", ["namespace", "metric"]).filter(F.col("n") > limit)
     return flag(g, CW, "CW-4", 4, F.concat_ws("/", "namespace", "metric"), "n", limit)
 
 

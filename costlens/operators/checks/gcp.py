@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from costlens.functions import cpu_milli, mem_mib
 from costlens.operators.findings import flag
-from costlens.operators.metrics import align_rate, per_resource, raw_points
+from costlens.operators.metrics import align_rate, peak, per_resource
 
 GCE, GKE, NET = "ComputeEngine", "KubernetesEngine", "Networking"
 GIB = float(2**30)
@@ -134,7 +134,7 @@ def idle_large_nodes(nodes: DataFrame, pools: DataFrame, usage: DataFrame,
 
 
 def _any_point_over(points, as_of, metric, limit, check, rank, service=GKE):
-    p = raw_points(points, as_of, "1 day", [metric]).groupBy("resource_id").agg(F.max("value").alias("peak"))
+    p = peak(points, as_of, "1 day", [metric])
     return flag(p.filter(F.col("peak") > limit), service, check, rank, "resource_id", "peak", limit)
 
 

@@ -9,12 +9,16 @@ all points costs one partial row per task, not a third of the data in one task.
 
 from __future__ import annotations
 
+import datetime as _dt
+import re
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from costlens.functions import davg, dsum, lit_ts
+from costlens.functions.columns import MONEY
 
 KEYS = ("namespace", "metric", "resource_id")
 
@@ -34,16 +38,133 @@ def only_metrics(points: DataFrame, metrics: Sequence[str] | str | None) -> Data
     return points.filter(F.col("metric").isin(list(metrics)))
 
 
-def metric_stats(
+# ------------------------------------------------------------------ shared cube
+_UNIT_SECONDS = {"second": 1, "minute": 60, "hour": 3600, "day": 86400, "week": 604800}
+
+
+def seconds(span: str) -> int:
+    """'7 days' / '60 minutes' / '300 seconds' -> whole seconds."""
+    m = re.fullmatch(r"\s*(\d+)\s+(second|minute|hour|day|week)s?\s*", span.lower())
+    if not m:
+        raise ValueError(f"unsupported time span: {span!r}")
+    return int(m.group(1)) * _UNIT_SECONDS[m.group(2)]
+
+
+def _epoch_seconds(as_of) -> float:
+    if isinstance(as_of, _dt.datetime):
+        t = as_of
+    elif isinstance(as_of, _dt.date):
+        t = _dt.datetime(as_of.year, as_of.month, as_of.day)
+    else:
+        t = _dt.datetime.fromisoformat(str(as_of))
+    if t.tzinfo is not None:
+        t = t.astimezone(_dt.timezone.utc).replace(tzinfo=None)
+    return (t - _dt.datetime(1970, 1, 1)).total_seconds()
+
+
+@dataclass(frozen=True)
+class MetricCube:
+    """Metric points of one window pre-aggregated into cells, shared by many checks.
+
+    Cells are `grain`-second buckets aligned to the epoch, each split once at
+    the offset of `as_of`, so every window `[as_of - k·grain, as_of)` and every
+    epoch-aligned period that is a multiple of `grain` is a union of whole
+    cells.  Sums are kept as exact decimals, so statistics re-aggregated from
+    the cube equal the ones computed from the raw points."""
+
+    df: DataFrame  # KEYS, cell_start, vsum (decimal), vcnt, nrows, vmax
+    as_of: object
+    lookback_s: int
+    grain_s: int
+
+    def window(self, as_of, lookback: str) -> DataFrame:
+        """Cells inside `[as_of - lookback, as_of)`."""
+        lb = seconds(lookback)
+        if _epoch_seconds(as_of) != _epoch_seconds(self.as_of):
+            raise ValueError("metric cube was built for another as_of")
+        if lb > self.lookback_s or lb % self.grain_s:
+            raise ValueError(f"window {lookback!r} is not covered by the metric cube")
+        end = lit_ts(as_of)
+        start = end - F.expr(f"INTERVAL {lb} SECONDS")
+        return self.df.filter((F.col("cell_start") >= start) & (F.col("cell_start") < end))
+
+    def check_period(self, period: str) -> None:
+        if seconds(period) % self.grain_s:
+            raise ValueError(f"period {period!r} is not a multiple of the cube grain")
+
+
+def metric_cube(
     points: DataFrame,
     as_of,
+    lookback: str = "7 days",
+    grain_seconds: int = 300,
+    metrics: Sequence[str] | str | None = None,
+    materialize: bool = True,
+) -> MetricCube:
+    """One scan and one (map-side combined) aggregate of the metric points of
+    the widest window; the checks of a report then read the cube instead of
+    scanning the raw points once each.  The cube is written to the session's
+    shared checkpoint folder (`checkpoint()`), which also cuts its lineage."""
+    lb = seconds(lookback)
+    if lb % grain_seconds:
+        raise ValueError("lookback must be a multiple of the grain")
+    off = int(_epoch_seconds(as_of)) % grain_seconds
+    p = only_metrics(in_window(points, as_of, lookback), metrics)
+    b = F.window("ts", f"{grain_seconds} seconds").start
+    cut = b + F.expr(f"INTERVAL {off} SECONDS")
+    cell = F.when(F.col("ts") >= cut, cut).otherwise(b) if off else b
+    df = p.groupBy(*KEYS, cell.alias("cell_start")).agg(
+        F.sum(F.col("value").cast(MONEY)).alias("vsum"),
+        F.count("value").alias("vcnt"),
+        F.count(F.lit(1)).alias("nrows"),
+        F.max("value").alias("vmax"),
+    )
+    if materialize:
+        from costlens.session import ensure_checkpoint_dir
+
+        ensure_checkpoint_dir(points.sparkSession)
+        df = df.checkpoint(eager=True)
+    return MetricCube(df, as_of, lb, grain_seconds)
+
+
+def window_rows(points, as_of, lookback: str, keys: Sequence[str]) -> DataFrame:
+    """Raw datapoint count per `keys` inside the window (from points or a cube)."""
+    if isinstance(points, MetricCube):
+        return points.window(as_of, lookback).groupBy(*keys).agg(F.sum("nrows").alias("n"))
+    return in_window(points, as_of, lookback).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+
+
+def peak(points, as_of, lookback: str = "1 day", metrics=None) -> DataFrame:
+    """Largest raw datapoint per resource inside the window (from points or a cube)."""
+    if isinstance(points, MetricCube):
+        c = only_metrics(points.window(as_of, lookback), metrics)
+        return c.groupBy("resource_id").agg(F.max("vmax").alias("peak"))
+    p = only_metrics(in_window(points, as_of, lookback), metrics)
+    return p.groupBy("resource_id").agg(F.max("value").alias("peak"))
+
+
+def metric_stats(
+    points,
+    as_of,
     lookback: str = "1 day",
     period: str = "1 hour",
     metrics: Sequence[str] | str | None = None,
     keys: Sequence[str] = KEYS,
 ) -> DataFrame:
     """MET-1 / MET-2: per metric and resource, `period` buckets of sum, average
-    and count over the last `lookback` -> `metric_stats` table."""
+    and count over the last `lookback` -> `metric_stats` table.
+
+    `points` is the raw point table or a `MetricCube` of it."""
+    if isinstance(points, MetricCube):
+        points.check_period(period)
+        c = only_metrics(points.window(as_of, lookback), metrics)
+        tot = F.sum("vsum").cast("double")
+        n = F.sum("vcnt")
+        return (
+            c.groupBy(*keys, F.window("cell_start", period).alias("w"))
+            .agg(tot.alias("sum"), F.try_divide(tot, n.cast("double")).alias("avg"), n.alias("cnt"))
+            .select(*keys, F.col("w.start").alias("bucket_start"), "sum", "avg", "cnt")
+        )
     p = only_metrics(in_window(points, as_of, lookback), metrics)
     return (
         p.groupBy(*keys, F.window("ts", period).alias("w"))

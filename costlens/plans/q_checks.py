@@ -75,7 +75,7 @@ def cw3_excessive_log_streams(spark, sf_dir):
     "group by namespace, metric) c where n > 50",
 )
 def cw4_high_data_points(spark, sf_dir):
-    return A.high_data_points(Tables(spark, sf_dir).metric_points, AS_OF, minutes=1440, limit=50)
+    return A.high_data_points(Tables(spark, sf_dir).points, AS_OF, minutes=1440, limit=50)
 
 
 # ------------------------------------------------------------------ EC2
@@ -87,7 +87,7 @@ def cw4_high_data_points(spark, sf_dir):
     "where cpu_avg < 100",
 )
 def ec2_1_low_cpu(spark, sf_dir):
-    return A.low_cpu(Tables(spark, sf_dir).metric_points, AS_OF, 100, cpu_metric=CPU)
+    return A.low_cpu(Tables(spark, sf_dir).points, AS_OF, 100, cpu_metric=CPU)
 
 
 @query(
@@ -100,7 +100,7 @@ def ec2_1_low_cpu(spark, sf_dir):
     "where not coalesce(nin_total > 200, false) and nout_total > 200",
 )
 def ec2_2_high_transfer(spark, sf_dir):
-    return A.high_transfer(Tables(spark, sf_dir).metric_points, AS_OF, 200, in_metric=IN, out_metric=OUT)
+    return A.high_transfer(Tables(spark, sf_dir).points, AS_OF, 200, in_metric=IN, out_metric=OUT)
 
 
 @query(
@@ -124,7 +124,7 @@ def ec2_3_old_instances(spark, sf_dir):
 )
 def ec2_4_unoptimized_volumes(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return A.unoptimized_volumes(t.volumes, t.metric_points, AS_OF, 100, 200, read_metric=IN, write_metric=OUT)
+    return A.unoptimized_volumes(t.volumes, t.points, AS_OF, 100, 200, read_metric=IN, write_metric=OUT)
 
 
 @query(
@@ -148,7 +148,7 @@ def ec2_5_old_snapshots(spark, sf_dir):
 )
 def eks1_idle_cluster_instances(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return A.idle_cluster_instances(members(t), t.metric_points, AS_OF, 100, 100, cpu_metric=CPU, mem_metric=MEM)
+    return A.idle_cluster_instances(members(t), t.points, AS_OF, 100, 100, cpu_metric=CPU, mem_metric=MEM)
 
 
 @query(
@@ -161,7 +161,7 @@ def eks1_idle_cluster_instances(spark, sf_dir):
 )
 def eks2_cluster_transfer(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return A.cluster_transfer(members(t), t.metric_points, AS_OF, 200, in_metric=IN, out_metric=OUT)
+    return A.cluster_transfer(members(t), t.points, AS_OF, 200, in_metric=IN, out_metric=OUT)
 
 
 @query(
@@ -199,7 +199,7 @@ def eks4_unhealthy_targets(spark, sf_dir):
 )
 def eks5_unmonitored(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return A.unmonitored(members(t), t.metric_points, AS_OF, cpu_metric=CPU, mem_metric=MEM)
+    return A.unmonitored(members(t), t.points, AS_OF, cpu_metric=CPU, mem_metric=MEM)
 
 
 @query(
@@ -213,7 +213,7 @@ def eks5_unmonitored(spark, sf_dir):
 )
 def eks6_overutilized(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return A.overutilized(members(t), t.metric_points, AS_OF, 150, cpu_metric=CPU, mem_metric=MEM)
+    return A.overutilized(members(t), t.points, AS_OF, 150, cpu_metric=CPU, mem_metric=MEM)
 
 
 @query(
@@ -226,7 +226,7 @@ def eks6_overutilized(spark, sf_dir):
 )
 def eks7_hourly_transfer(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return A.hourly_transfer(members(t), t.metric_points, AS_OF, 200, in_metric=IN, out_metric=OUT)
+    return A.hourly_transfer(members(t), t.points, AS_OF, 200, in_metric=IN, out_metric=OUT)
 
 
 @query(
@@ -251,7 +251,7 @@ def eks8_missing_cluster_logs(spark, sf_dir):
     "where node_total > 300",
 )
 def eks9_cluster_counts(spark, sf_dir):
-    return A.cluster_counts(Tables(spark, sf_dir).metric_points, AS_OF, 300, pod_metric=CPU, node_metric=MEM)
+    return A.cluster_counts(Tables(spark, sf_dir).points, AS_OF, 300, pod_metric=CPU, node_metric=MEM)
 
 
 def _vol_totals_sql():
@@ -267,7 +267,7 @@ def _vol_totals_sql():
 
 @query("eks10_volume_totals", "EKS-10", ["metric_points"], _vol_totals_sql())
 def eks10_volume_totals(spark, sf_dir):
-    return A.volume_totals(Tables(spark, sf_dir).metric_points, AS_OF, IN, OUT, OTHER)
+    return A.volume_totals(Tables(spark, sf_dir).points, AS_OF, IN, OUT, OTHER)
 
 
 @query(
@@ -282,7 +282,7 @@ def eks11_idle_volumes(spark, sf_dir):
     t = Tables(spark, sf_dir)
     attached = TP.instance_volumes(t.instance_devices)
     return A.idle_volumes(
-        members(t), attached, t.metric_points, AS_OF, 100, read_metric=IN, write_metric=OUT, idle_metric=OTHER
+        members(t), attached, t.points, AS_OF, 100, read_metric=IN, write_metric=OUT, idle_metric=OTHER
     )
 
 
@@ -339,7 +339,7 @@ def s3_4_replicated_keys(spark, sf_dir):
     "where req_total / 24.0 > 1",
 )
 def s3_5_excessive_requests(spark, sf_dir):
-    return A.excessive_requests(Tables(spark, sf_dir).metric_points, AS_OF, 1, metric=OTHER)
+    return A.excessive_requests(Tables(spark, sf_dir).points, AS_OF, 1, metric=OTHER)
 
 
 @query(
@@ -365,7 +365,7 @@ def _idle_total_sql(check, rank, metrics, limit):
 @query("vpc1_idle_nat", "VPC-1", ["gateways", "metric_points"], _idle_total_sql("VPC-1", 1, [IN, OUT], 100))
 def vpc1_idle_nat(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return A.idle_nat(t.gateways, t.metric_points, AS_OF, 100, metrics=(IN, OUT))
+    return A.idle_nat(t.gateways, t.points, AS_OF, 100, metrics=(IN, OUT))
 
 
 @query(
@@ -382,7 +382,7 @@ def vpc2_unused_addresses(spark, sf_dir):
 @query("vpc3_idle_vpn", "VPC-3", ["gateways", "metric_points"], _idle_total_sql("VPC-3", 3, [CPU, MEM], 300))
 def vpc3_idle_vpn(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return A.idle_vpn(t.gateways, t.metric_points, AS_OF, 300, metrics=(CPU, MEM))
+    return A.idle_vpn(t.gateways, t.points, AS_OF, 300, metrics=(CPU, MEM))
 
 
 def _vpn_packets_sql():
@@ -402,7 +402,7 @@ def _vpn_packets_sql():
 @query("vpc4_vpn_packets", "VPC-4", ["gateways", "metric_points"], _vpn_packets_sql())
 def vpc4_vpn_packets(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return A.vpn_packets(t.gateways, t.metric_points, AS_OF, 100, in_metric=IN, out_metric=OUT)
+    return A.vpn_packets(t.gateways, t.points, AS_OF, 100, in_metric=IN, out_metric=OUT)
 
 
 @query(
@@ -498,7 +498,7 @@ def vpc11_many_cidrs(spark, sf_dir):
 )
 def vpc12_flow_log_volume(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return A.flow_log_volume(t.gateways, t.metric_points, AS_OF, 100, metric=IN)
+    return A.flow_log_volume(t.gateways, t.points, AS_OF, 100, metric=IN)
 
 
 # ------------------------------------------------------------------ Config
@@ -631,7 +631,7 @@ def _gce_cpu_sql():
 )
 def gce1_underutilized(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return G.underutilized(t.instances, t.metric_points, AS_OF, 100, cpu_metric=CPU)
+    return G.underutilized(t.instances, t.points, AS_OF, 100, cpu_metric=CPU)
 
 
 @query(
@@ -643,7 +643,7 @@ def gce1_underutilized(spark, sf_dir):
 )
 def gce2_overutilized_preemptible(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return G.overutilized_preemptible(t.instances, t.metric_points, AS_OF, 100, low=100, cpu_metric=CPU)
+    return G.overutilized_preemptible(t.instances, t.points, AS_OF, 100, low=100, cpu_metric=CPU)
 
 
 @query(
@@ -656,7 +656,7 @@ def gce2_overutilized_preemptible(spark, sf_dir):
 )
 def gce3_egress_gb(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return G.egress_gb(t.instances, t.metric_points, AS_OF, 2e-7, metric=OUT)
+    return G.egress_gb(t.instances, t.points, AS_OF, 2e-7, metric=OUT)
 
 
 _IO = "(coalesce(rd_total, 0.0) + coalesce(wr_total, 0.0)) / 1073741824.0"
@@ -672,7 +672,7 @@ _IO = "(coalesce(rd_total, 0.0) + coalesce(wr_total, 0.0)) / 1073741824.0"
 )
 def gce4_low_disk_io(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return G.low_disk_io(t.instances, t.metric_points, AS_OF, 1e-6, read_metric=IN, write_metric=OUT)
+    return G.low_disk_io(t.instances, t.points, AS_OF, 1e-6, read_metric=IN, write_metric=OUT)
 
 
 @query(
@@ -757,7 +757,7 @@ def _peak_sql(check, rank, metric, limit, service="KubernetesEngine"):
 
 @query("gke4_cluster_egress", "GKE-4 MET-6", ["metric_points"], _peak_sql("GKE-4", 4, OUT, 200))
 def gke4_cluster_egress(spark, sf_dir):
-    return G.cluster_egress(Tables(spark, sf_dir).metric_points, AS_OF, 200, metric=OUT)
+    return G.cluster_egress(Tables(spark, sf_dir).points, AS_OF, 200, metric=OUT)
 
 
 @query(
@@ -767,7 +767,7 @@ def gke4_cluster_egress(spark, sf_dir):
     _peak_sql("GKE-5a", 5, OTHER, 180) + " union all " + _peak_sql("GKE-5b", 5, MEM, 180),
 )
 def gke5_cluster_logging(spark, sf_dir):
-    return G.cluster_logging(Tables(spark, sf_dir).metric_points, AS_OF, 180, log_metric=OTHER, mon_metric=MEM)
+    return G.cluster_logging(Tables(spark, sf_dir).points, AS_OF, 180, log_metric=OTHER, mon_metric=MEM)
 
 
 # ------------------------------------------------------------------ Networking
@@ -783,12 +783,12 @@ def _rate_sql(check, rank, metric, limit):
 
 @query("net1_egress_rate", "NET-1 MET-5", ["metric_points"], _rate_sql("NET-1", 1, OUT, 0.5))
 def net1_egress_rate(spark, sf_dir):
-    return G.egress_rate(Tables(spark, sf_dir).metric_points, AS_OF, 0.5, metric=OUT)
+    return G.egress_rate(Tables(spark, sf_dir).points, AS_OF, 0.5, metric=OUT)
 
 
 @query("net2_ingress_rate", "NET-2", ["metric_points"], _rate_sql("NET-2", 2, IN, 0.3))
 def net2_ingress_rate(spark, sf_dir):
-    return G.ingress_rate(Tables(spark, sf_dir).metric_points, AS_OF, 0.3, metric=IN)
+    return G.ingress_rate(Tables(spark, sf_dir).points, AS_OF, 0.3, metric=IN)
 
 
 @query(

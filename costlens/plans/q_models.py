@@ -286,8 +286,19 @@ FINDING_QUERIES = [
 ]
 
 
-def all_findings(spark, sf_dir):
-    return union_findings([REGISTRY[n].fn(spark, sf_dir) for n in FINDING_QUERIES])
+def all_findings(spark, sf_dir, shared_cube: bool = True):
+    """Every check's findings in one table.  The metric checks share one
+    metric cube (one scan, one aggregate of the widest window, written once
+    to the checkpoint folder) instead of scanning the points once each."""
+    if not shared_cube:
+        return union_findings([REGISTRY[n].fn(spark, sf_dir) for n in FINDING_QUERIES])
+    from costlens.operators.metrics import metric_cube
+    from costlens.plans.q_checks import AS_OF
+    from costlens.sources.fixtures import metric_cube_scope
+
+    cube = metric_cube(Tables(spark, sf_dir).metric_points, AS_OF, "7 days")
+    with metric_cube_scope(spark, sf_dir, cube):
+        return union_findings([REGISTRY[n].fn(spark, sf_dir) for n in FINDING_QUERIES])
 
 
 def _findings_sql() -> str:

@@ -103,6 +103,16 @@ class Tables:
         return base.unionByName(dup)
 
     # ------------------------------------------------------------ metrics
+    # A shared metric cube for (session, sf_dir), set while a report is planned
+    # (`metric_cube_scope`): the windowed checks then read the cube instead of
+    # scanning the points once each.
+    _cubes: dict[tuple, object] = {}
+
+    @property
+    def points(self):
+        """Metric input of the windowed checks: the scoped cube, else the points."""
+        return Tables._cubes.get((id(self.spark), self.sf_dir), None) or self.metric_points
+
     @property
     def metric_points(self) -> DataFrame:
         return self.events.select(
@@ -419,6 +429,22 @@ SERVICE_MAP = [
 ]
 
 
+class metric_cube_scope:
+    """`with metric_cube_scope(spark, sf_dir, cube): ...` — plans built inside
+    read the given `MetricCube` for their windowed metric statistics."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, cube):
+        self.key, self.cube = (id(spark), sf_dir.rstrip("/")), cube
+
+    def __enter__(self):
+        Tables._cubes[self.key] = self.cube
+        return self.cube
+
+    def __exit__(self, *exc):
+        Tables._cubes.pop(self.key, None)
+        return False
+
+
 def service_map(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(SERVICE_MAP, "service string, check_service string")
 
