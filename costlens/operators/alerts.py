@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from costlens.operators.findings import FINDING_COLUMNS, PROBLEMS
 
 
+MAX_BROADCAST_SERVICES = 100_000
+
+
 def overspend(forecasts: DataFrame, thresholds: DataFrame, service: str = "service") -> DataFrame:
     """ALR-1: a service overspends when any forecast row exceeds its threshold (strict).
 
@@ -43,7 +46,11 @@ def findings_for(alerts: DataFrame, findings: DataFrame, service_map: DataFrame
     # join into every branch of the findings union, which would recompute it
     # per check.  Materialise it once in the shared checkpoint folder.
     hot = hot.distinct().checkpoint(eager=True)
-    return findings.join(F.broadcast(hot), "service", "left_semi")
+    # One row per alerting service; broadcast only behind a checked size (a
+    # count of the checkpointed set), otherwise a plain join AQE can plan.
+    if hot.count() <= MAX_BROADCAST_SERVICES:
+        hot = F.broadcast(hot)
+    return findings.join(hot, "service", "left_semi")
 
 
 def prompt_text(check: str, service: str) -> str:
