@@ -42,15 +42,17 @@ def findings_for(alerts: DataFrame, findings: DataFrame, service_map: DataFrame
     if service_map is not None:
         hot = hot.join(service_map, "service").select(F.col("check_service").alias("service"))
     # The set of alerting services is tiny (one row per service) but its plan
-    # (clean -> daily series -> forecast) is not; the optimizer pushes a semi
-    # join into every branch of the findings union, which would recompute it
-    # per check.  Materialise it once in the shared checkpoint folder.
+    # (clean -> daily series -> forecast) is not: materialise it once in the
+    # shared checkpoint folder.
     hot = hot.distinct().checkpoint(eager=True)
     # One row per alerting service; broadcast only behind a checked size (a
     # count of the checkpointed set), otherwise a plain join AQE can plan.
     if hot.count() <= MAX_BROADCAST_SERVICES:
         hot = F.broadcast(hot)
-    return findings.join(hot, "service", "left_semi")
+    # An inner join with the distinct service set is the semi join.  Written
+    # as a semi join, the optimizer pushes it into every branch of a findings
+    # union and never reaches a fixed point on a large union.
+    return findings.join(hot, "service", "inner").select(*findings.columns)
 
 
 def prompt_text(check: str, service: str) -> str:
@@ -64,20 +66,30 @@ def prompt_text(check: str, service: str) -> str:
 
 
 # Check -> service, used to build the prompts table.
-CHECK_SERVICE = {
-    **{k: "AmazonCloudWatch" for k in PROBLEMS if k.startswith("CW-")},
-    **{k: "AmazonEC2" for k in PROBLEMS if k.startswith(("EC2-", "ADV-"))},
-    **{k: "AmazonEKS" for k in PROBLEMS if k.startswith("EKS-")},
-    **{k: "AmazonS3" for k in PROBLEMS if k.startswith("S3-")},
-    **{k: "AmazonVPC" for k in PROBLEMS if k.startswith("VPC-")},
-    **{k: "AWSConfig" for k in PROBLEMS if k.startswith("CFG-")},
-    **{k: "AWSKMS" for k in PROBLEMS if k.startswith("KMS-")},
-    **{k: "ComputeEngine" for k in PROBLEMS if k.startswith("GCE-")},
-    **{k: "KubernetesEngine" for k in PROBLEMS if k.startswith("GKE-")},
-    **{k: "Networking" for k in PROBLEMS if k.startswith("NET-")},
+# Check-id prefix -> the service whose overspend triggers it.
+PREFIX_SERVICE = {
+    "CW": "AmazonCloudWatch",
+    "EC2": "AmazonEC2",
+    "ADV": "AmazonEC2",
+    "EKS": "AmazonEKS",
+    "S3": "AmazonS3",
+    "VPC": "AmazonVPC",
+    "CFG": "AWSConfig",
+    "KMS": "AWSKMS",
+    "GCE": "ComputeEngine",
+    "GKE": "KubernetesEngine",
+    "NET": "Networking",
 }
 
 
+def service_of_check(check_id: str) -> str:
+    """'EC2-4' / 'EKS-6a' -> the service the check belongs to."""
+    return PREFIX_SERVICE[check_id.split("-", 1)[0]]
+
+
+CHECK_SERVICE = {k: service_of_check(k) for k in PROBLEMS}
+
+
 def prompts(spark) -> DataFrame:
     """Prompts table (prompt_id, prompt): one row per problem type — a fixed,
     bounded table (one row per check rule)."""

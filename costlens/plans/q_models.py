@@ -286,19 +286,24 @@ FINDING_QUERIES = [
 ]
 
 
-def all_findings(spark, sf_dir, shared_cube: bool = True):
-    """Every check's findings in one table.  The metric checks share one
-    metric cube (one scan, one aggregate of the widest window, written once
-    to the checkpoint folder) instead of scanning the points once each."""
+def all_findings(spark, sf_dir, shared_cube: bool = True, services: list[str] | None = None):
+    """Every check's findings in one table (or only the checks of `services`).
+    The metric checks share one metric cube (one scan, one aggregate of the
+    widest window, written once to the checkpoint folder) instead of scanning
+    the points once each."""
+    names = [n for n in FINDING_QUERIES if services is None or AL.service_of_check(REGISTRY[n].ops[0]) in services]
+    if not names:  # no service alerts: an empty findings table
+        schema = union_findings([REGISTRY[FINDING_QUERIES[0]].fn(spark, sf_dir)]).schema
+        return spark.createDataFrame([], schema)
     if not shared_cube:
-        return union_findings([REGISTRY[n].fn(spark, sf_dir) for n in FINDING_QUERIES])
+        return union_findings([REGISTRY[n].fn(spark, sf_dir) for n in names])
     from costlens.operators.metrics import metric_cube
     from costlens.plans.q_checks import AS_OF
     from costlens.sources.fixtures import metric_cube_scope
 
     cube = metric_cube(Tables(spark, sf_dir).metric_points, AS_OF, "7 days")
     with metric_cube_scope(spark, sf_dir, cube):
-        return union_findings([REGISTRY[n].fn(spark, sf_dir) for n in FINDING_QUERIES])
+        return union_findings([REGISTRY[n].fn(spark, sf_dir) for n in names])
 
 
 def _findings_sql() -> str:
