@@ -20,6 +20,9 @@ BASE_CONF = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     "spark.sql.ansi.enabled": "true",
+    # No Python call-site capture on every Column / DataFrame call: planning
+    # a report of ~60 checks is thousands of such calls on the driver.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
