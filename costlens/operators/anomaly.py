@@ -273,15 +273,34 @@ def iforest_score(df: DataFrame, model: DataFrame, group: str, value: str, row_i
     )
 
 
+def _materialize(df: DataFrame) -> DataFrame:
+    """Write once to the session's shared checkpoint folder and cut the lineage."""
+    from costlens.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def isolation_forest(df: DataFrame, group: str, value: str, row_id: str, contamination: float = 0.2,
                      trees: int = 100, psi: int = 256, seed: int = 42, rows_per_task: int = 1_000_000,
-                     exact_offset: bool = True) -> DataFrame:
+                     exact_offset: bool = True, materialize: bool = True) -> DataFrame:
     """ANO-1..4: fit, score, offset and label -> (group, row_id, value, raw, score, anomaly).
 
     `score` is the decision value (raw − offset) the reference stores in its
-    `scores` column; `anomaly` is −1 / 1."""
+    `scores` column; `anomaly` is −1 / 1.
+
+    The input is read by the group counts, the sampling and the scoring, and
+    the raw scores by the offset and the labelling.  With `materialize`, the
+    three input columns and the raw scores are each written once to the
+    checkpoint folder, so the upstream plan (e.g. billing cleaning) and the
+    Python scoring run once, not once per consumer."""
+    df = df.select(group, value, row_id)
+    if materialize:
+        df = _materialize(df)
     model = iforest_fit(df, group, value, row_id, trees, psi, seed)
     raw = iforest_score(df, model, group, value, row_id, rows_per_task)
+    if materialize:
+        raw = _materialize(raw)
     out = with_decision(raw, "g", "raw", contamination, exact_offset)
     return out.select(
         F.col("g").alias(group), F.col("rid").alias(row_id), F.col("v").alias(value), "raw", "score", "anomaly"
