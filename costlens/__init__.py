@@ -6,6 +6,15 @@ findings come out as DataFrames.  Every operator is a lazy plan; nothing is
 collected to the driver inside the library.
 """
 
-from costlens.session import get_session
+import sys as _sys
+
+from pyspark import cloudpickle as _cloudpickle
+
+# Functions of this package that run inside Python workers (grouped pandas
+# functions) are shipped by value with the task, so executors need only
+# pyspark, numpy and pandas — not this package on their path.
+_cloudpickle.register_pickle_by_value(_sys.modules[__name__])
+
+from costlens.session import get_session  # noqa: E402
 
 __all__ = ["get_session"]

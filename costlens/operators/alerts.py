@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from costlens.operators.findings import FINDING_COLUMNS, PROBLEMS
+from costlens.session import materialize
 
 
 MAX_BROADCAST_SERVICES = 100_000
@@ -44,7 +45,7 @@ def findings_for(alerts: DataFrame, findings: DataFrame, service_map: DataFrame
     # The set of alerting services is tiny (one row per service) but its plan
     # (clean -> daily series -> forecast) is not: materialise it once in the
     # shared checkpoint folder.
-    hot = hot.distinct().checkpoint(eager=True)
+    hot = materialize(hot.distinct())
     # One row per alerting service; broadcast only behind a checked size (a
     # count of the checkpointed set), otherwise a plain join AQE can plan.
     if hot.count() <= MAX_BROADCAST_SERVICES:

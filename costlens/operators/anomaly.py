@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from costlens.session import materialize as _write_once
+
 # Threshold search start per service, the target hit ratio, the
 # step and the step limit used by the reference.
 THRESHOLD_STARTS = {
@@ -273,14 +275,6 @@ def iforest_score(df: DataFrame, model: DataFrame, group: str, value: str, row_i
     )
 
 
-def _materialize(df: DataFrame) -> DataFrame:
-    """Write once to the session's shared checkpoint folder and cut the lineage."""
-    from costlens.session import ensure_checkpoint_dir
-
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def isolation_forest(df: DataFrame, group: str, value: str, row_id: str, contamination: float = 0.2,
                      trees: int = 100, psi: int = 256, seed: int = 42, rows_per_task: int = 1_000_000,
                      exact_offset: bool = True, materialize: bool = True) -> DataFrame:
@@ -296,11 +290,11 @@ def isolation_forest(df: DataFrame, group: str, value: str, row_id: str, contami
     Python scoring run once, not once per consumer."""
     df = df.select(group, value, row_id)
     if materialize:
-        df = _materialize(df)
+        df = _write_once(df)
     model = iforest_fit(df, group, value, row_id, trees, psi, seed)
     raw = iforest_score(df, model, group, value, row_id, rows_per_task)
     if materialize:
-        raw = _materialize(raw)
+        raw = _write_once(raw)
     out = with_decision(raw, "g", "raw", contamination, exact_offset)
     return out.select(
         F.col("g").alias(group), F.col("rid").alias(row_id), F.col("v").alias(value), "raw", "score", "anomaly"

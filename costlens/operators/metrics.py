@@ -120,10 +120,9 @@ def metric_cube(
         F.max("value").alias("vmax"),
     )
     if materialize:
-        from costlens.session import ensure_checkpoint_dir
+        from costlens.session import materialize as _write_once
 
-        ensure_checkpoint_dir(points.sparkSession)
-        df = df.checkpoint(eager=True)
+        df = _write_once(df)
     return MetricCube(df, as_of, lb, grain_seconds)
 
 

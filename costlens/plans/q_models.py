@@ -12,6 +12,7 @@ from costlens.operators import pivots as P
 from costlens.operators.findings import union_findings
 from costlens.plans.q_billing import AWS_SERVICES, CLEAN_AWS_SQL, CLEAN_GCP_SQL, GCP_SERVICES, aws_clean
 from costlens.plans.registry import REGISTRY, d_, query
+from costlens.session import materialize
 from costlens.sources import billing as B
 from costlens.sources.fixtures import SERVICE_MAP_SQL, Tables, service_map
 
@@ -216,8 +217,9 @@ def ts11_13_arima(spark, sf_dir):
 
 
 # ------------------------------------------------------------------ AGG-4
-def forecasts(t: Tables):
-    return FC.ar1_forecast(series(t)).withColumn("forecast", F.round("forecast", 2))
+def forecasts(t: Tables, s=None):
+    s = series(t) if s is None else s
+    return FC.ar1_forecast(s).withColumn("forecast", F.round("forecast", 2))
 
 
 FORECASTS_SQL = f"select service, date, step, round(forecast, 2) as forecast from ({AR1_SQL}) x"
@@ -240,9 +242,10 @@ def agg4_forecast_by_date(spark, sf_dir):
 
 
 # ------------------------------------------------------------------ ALR
-def thresholds(t: Tables):
+def thresholds(t: Tables, s=None):
     """Fixture thresholds: the median of each service's daily cost."""
-    return series(t).groupBy("service").agg(F.round(F.percentile("y", 0.5), 2).alias("threshold"))
+    s = series(t) if s is None else s
+    return s.groupBy("service").agg(F.round(F.percentile("y", 0.5), 2).alias("threshold"))
 
 
 THRESHOLDS_SQL = f"select service, round(quantile_cont(y, 0.5), 2) as threshold from ({SERIES_SQL}) s group by service"
@@ -253,7 +256,10 @@ from ({FORECASTS_SQL}) f join ({THRESHOLDS_SQL}) t on t.service = f.service grou
 
 
 def alerts(t: Tables):
-    return AL.overspend(forecasts(t), thresholds(t))
+    # The daily series (one row per service and day) feeds both the forecasts
+    # and the thresholds: written once, so the billing input is read once.
+    s = materialize(series(t))
+    return AL.overspend(forecasts(t, s), thresholds(t, s))
 
 
 @query(

@@ -67,3 +67,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(cur)
     return cur
+
+
+def materialize(df):
+    """Write `df` once to the session's shared checkpoint folder and cut its
+    lineage (reliable `checkpoint()`, never `localCheckpoint`)."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

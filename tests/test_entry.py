@@ -12,3 +12,13 @@ def test_contract_shapes():
     q, s = E.queries(), E.oracle_sql()
     assert all(callable(f) for f in q.values())
     assert all(isinstance(v, str) and v.strip() for v in s.values())
+
+
+def test_worker_functions_ship_by_value():
+    # grouped pandas functions must not need this package on executors' path
+    from pyspark.cloudpickle import cloudpickle as cp
+
+    import costlens.operators.anomaly as AN
+    import costlens.operators.forecast as FC
+
+    assert cp._is_registered_pickle_by_value(AN) and cp._is_registered_pickle_by_value(FC)
