@@ -11,7 +11,8 @@ from costlens.operators import forecast as FC
 from costlens.operators import pivots as P
 from costlens.operators.findings import union_findings
 from costlens.plans.q_billing import AWS_SERVICES, CLEAN_AWS_SQL, CLEAN_GCP_SQL, GCP_SERVICES, aws_clean
-from costlens.plans.registry import REGISTRY, d_, query
+from costlens.functions import dsum
+from costlens.plans.registry import REGISTRY, d_, dsum_, query
 from costlens.session import materialize
 from costlens.sources import billing as B
 from costlens.sources.fixtures import SERVICE_MAP_SQL, Tables, service_map
@@ -500,3 +501,53 @@ def snk2_append_thresholds(spark, sf_dir):
     B.append_thresholds(th, path, "2024-01-01 00:00:00")
     B.append_thresholds(th.withColumn("threshold", F.col("threshold") * 2), path, "2024-02-01 00:00:00")
     return B.latest_thresholds(spark.read.parquet(path))
+
+
+# An export run folder name (timestamp + UUID), and one that is not a run.
+_RUN = "2024-02-01T10_00_00.000Z-0123abcd-0123-4567-89ab-0123456789ab"
+
+
+@query(
+    "src1_aws_export_layout",
+    "SRC-1",
+    ["cost_aws_raw"],
+    "select '2024-01' as billing_period, count(*) as n, "
+    f"{dsum_('line_item_blended_cost')} as total, count(discount_bundled_discount) as n_bundled from cost_aws_raw",
+)
+def src1_aws_export_layout(spark, sf_dir):
+    """The whole AWS report written as gzip CSV in the export layout
+    (`BILLING_PERIOD=…/<run>/files`) next to a copy in a folder that is not a
+    run; the reader keeps the run folder only and adds the period column."""
+    raw = Tables(spark, sf_dir).cost_aws_raw
+    base = _scratch(spark, "aws-export")
+    for run in (_RUN, "manual-copy"):
+        raw.write.option("header", True).option("compression", "gzip").csv(f"{base}/BILLING_PERIOD=2024-01/{run}")
+    df = B.read_aws_billing(spark, base, raw.schema, file_prefix="part-")
+    return df.groupBy(F.col("BILLING_PERIOD").cast("string").alias("billing_period")).agg(
+        F.count(F.lit(1)).alias("n"),
+        dsum("line_item_blended_cost").alias("total"),
+        F.count("discount_bundled_discount").alias("n_bundled"),
+    )
+
+
+@query(
+    "src2_3_gcp_files_union",
+    "SRC-2 SRC-3",
+    ["cost_gcp_raw"],
+    'select "Service description" as service, 2 * count(*) as n, count("Cost (€)") as n_cost, '
+    'count("Discounts (€)") as n_disc from cost_gcp_raw group by 1',
+)
+def src2_3_gcp_files_union(spark, sf_dir):
+    """The whole GCP report written as CSV, read back by file-name prefix
+    (SRC-2), and two differently projected copies concatenated by column name
+    with missing columns as null (SRC-3)."""
+    raw = Tables(spark, sf_dir).cost_gcp_raw
+    folder = _scratch(spark, "gcp-export")
+    raw.write.option("header", True).csv(folder)
+    g = B.read_gcp_billing(spark, folder, "part-", raw.schema)
+    u = B.union_reports(
+        [g.select("Date", "Service description", "Cost (€)"), g.select("Date", "Service description", "Discounts (€)")]
+    )
+    return u.groupBy(F.col("Service description").alias("service")).agg(
+        F.count(F.lit(1)).alias("n"), F.count("Cost (€)").alias("n_cost"), F.count("Discounts (€)").alias("n_disc")
+    )

@@ -23,16 +23,19 @@ AWS_RUN_FOLDER = (
 AWS_FILE_PREFIX = "daily_costs-00001"
 
 
-def read_aws_billing(spark: SparkSession, base: str, schema: T.StructType | str | None = None) -> DataFrame:
+def read_aws_billing(
+    spark: SparkSession, base: str, schema: T.StructType | str | None = None, file_prefix: str = AWS_FILE_PREFIX
+) -> DataFrame:
     """SRC-1: `base/BILLING_PERIOD=*/<run folder>/daily_costs-00001*.gz` CSVs.
 
     `BILLING_PERIOD` becomes a partition column; run folders that do not
     match the timestamp+UUID pattern are dropped by a filter on the file path
-    (file-level metadata, no data read for them)."""
+    (file-level metadata, no data read for them).  `file_prefix` is the data
+    file name prefix (the export's by default)."""
     r = (
         spark.read.option("header", True)
         .option("basePath", base)
-        .option("pathGlobFilter", f"{AWS_FILE_PREFIX}*.gz")
+        .option("pathGlobFilter", f"{file_prefix}*.gz")
     )
     r = r.schema(schema) if schema is not None else r.option("inferSchema", False)
     df = r.csv(f"{base.rstrip('/')}/{AWS_PARTITION_PREFIX}*/*")
