@@ -62,6 +62,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not cur:
         cur = spark.sparkContext.getCheckpointDir()
     if not cur:
+        # A machine-local scratch folder is only valid when every executor is
+        # in this process (local master: tests, single-node runs).  On a
+        # cluster the checkpoint folder must be shared and is not guessed.
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
         cur = tempfile.mkdtemp(prefix="costlens-ckpt-")
         spark.conf.set("spark.checkpoint.dir", cur)
     if not spark.sparkContext.getCheckpointDir():
