@@ -29,3 +29,23 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = shard_documents(table(spark, sf_dir, "documents"), shards=24)
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@_query("op3_bpe")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from costlens.llm.bpe import encode_documents
+
+    return encode_documents(table(spark, sf_dir, "documents"), tokenizer_path(), with_ids=False)
+
+
+@_query("op1_packing")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from costlens.llm.packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
