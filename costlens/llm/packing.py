@@ -125,13 +125,16 @@ def plan(counts: np.ndarray, capacity: int, bins: int = BINS, most: int = MOST)
             have = np.bincount(bin_of, weights=left, minlength=bins + 1).astype(np.int64)
             copies = min(int(x[k]), *(int(have[b]) // slots.count(b) for b in slots))
             while copies > 0:
-                # the longest pieces of the first slot meet the shortest that the others have left
+                # Each slot takes its bin's longest piece; the last takes the longest that
+                # fits beside them, as bins are rounded up and leave a little more room.
                 chosen: list[int] = []
                 n = copies
                 for place, b in enumerate(slots):
-                    taken = np.bincount(chosen, minlength=capacity + 1) if chosen else 0
-                    lengths = np.flatnonzero((bin_of == b) & (left - taken > 0))
-                    chosen.append(int(lengths[-1] if place == 0 else lengths[0]))
+                    last = place == len(slots) - 1
+                    top = min(capacity - sum(chosen) if last else b * width, capacity - 1)
+                    while left[top] <= chosen.count(top):
+                        top -= 1
+                    chosen.append(top)
                 for c in set(chosen):
                     n = min(n, int(left[c]) // chosen.count(c))
                 offset = 0

@@ -49,3 +49,11 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     from costlens.llm.packing import pack_documents
 
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+@_query("op2_pii")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from costlens.llm.pii import find_pii
+
+    found = find_pii(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
