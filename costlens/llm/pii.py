@@ -114,17 +114,58 @@ def _checked(kind: str, hit: Column) -> tuple[Column, Column]:
     return F.lit(True), whole
 
 
-def _spans(text: Column, kind: str) -> Column:
-    """array<span> of one kind."""
-    pattern = PATTERNS[kind]
-    pairs = F.arrays_zip(
-        F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit")
+def fold(items: Column, kind: str, step) -> Column:
+    """struct<pos, out>: runs `step(pos, item) -> (pos, array of results)` over an array column, results end to end.
+
+    `items` must be a plain column.  Groups of 512 items are folded one by one
+    and joined at the end, so that no long array is copied for every item.
+    """
+    size = 512
+    none = F.array().cast(f"array<{kind}>")
+
+    def one(s: Column, x: Column) -> Column:
+        pos, out = step(s["pos"], x)
+        return F.struct(pos.alias("pos"), F.concat(s["out"], out).alias("out"))
+
+    def group(s: Column, g: Column) -> Column:
+        inner = F.aggregate(g, F.struct(s["pos"].alias("pos"), none.alias("out")), one)
+        joined = F.transform(
+            F.array(inner),
+            lambda r: F.struct(r["pos"].alias("pos"), F.concat(s["out"], F.array(r["out"])).alias("out")),
+        )
+        return joined[0]
+
+    last = F.floor((F.size(items) - 1) / size).cast("int")
+    groups = F.transform(F.sequence(F.lit(0), last), lambda g: F.slice(items, g * size + 1, F.lit(size)))
+    zero = F.struct(F.lit(0).alias("pos"), F.array().cast(f"array<array<{kind}>>").alias("out"))
+    done = F.aggregate(
+        F.when(F.size(items) > 0, groups),
+        zero,
+        group,
+        lambda s: F.struct(s["pos"].alias("pos"), F.flatten(s["out"]).alias("out")),
     )
+    return F.coalesce(done, F.struct(F.lit(0).alias("pos"), none.alias("out")))
+
+
+def _pairs(text: Column, kind: str) -> Column:
+    """array<struct<gap, hit>> of one kind: each match after the text before it; a last gap without a match."""
+    pattern = PATTERNS[kind]
+    may = F.contains(text, F.lit(_MAY_HOLD[kind])) if kind in _MAY_HOLD else F.lit(True)
+    return F.when(
+        may & text.rlike(pattern),
+        F.arrays_zip(
+            F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit")
+        ),
+    ).otherwise(F.array().cast("array<struct<gap:string,hit:string>>"))
+
+
+def _spans(pairs: Column, kind: str) -> Column:
+    """array<span> of one kind."""
     none = F.array().cast(f"array<{_SPAN}>")
     rank = KINDS.index(kind) + 1
 
-    def step(s: Column, x: Column) -> Column:
-        start = s["pos"] + F.length(x["gap"])
+    def step(pos: Column, x: Column) -> tuple[Column, Column]:
+        start = pos + F.length(x["gap"])
         good, length = _checked(kind, x["hit"])
         before = F.lower(F.right(x["gap"], F.lit(NEAR)))
         score = (
@@ -139,15 +180,10 @@ def _spans(text: Column, kind: str) -> Column:
             start.alias("start"), F.lit(rank).alias("rank"), (start + length).alias("end"), F.lit(kind).alias("kind"),
             score.alias("score"),
         )
-        out = F.when(good, F.concat(s["out"], F.array(span))).otherwise(s["out"])
-        return F.when(x["hit"].isNull(), s).otherwise(
-            F.struct((start + F.length(x["hit"])).alias("pos"), out.alias("out"))
-        )
+        good = F.when(x["hit"].isNull(), False).otherwise(good)
+        return start + F.coalesce(F.length(x["hit"]), F.lit(0)), F.when(good, F.array(span)).otherwise(none)
 
-    zero = F.struct(F.lit(0).alias("pos"), none.alias("out"))
-    found = F.aggregate(pairs, zero, step, lambda s: s["out"])
-    may = F.contains(text, F.lit(_MAY_HOLD[kind])) if kind in _MAY_HOLD else F.lit(True)
-    return F.when(may & text.rlike(pattern), found).otherwise(none)
+    return fold(pairs, _SPAN, step)["out"]
 
 
 def add_spans(docs: DataFrame, text: str = "text", out: str = "pii") -> DataFrame:
@@ -159,8 +195,9 @@ def add_spans(docs: DataFrame, text: str = "text", out: str = "pii") -> DataFram
     """
     names = {k: rename_map(docs, {out}, f"_{k}") for k in KINDS}
     t = text_or_empty(text)
-    each = docs.select("*", *[_spans(t, k).alias(n) for k, n in names.items()])
-    return each.select(*docs.columns, F.array_sort(F.concat(*names.values())).alias(out))
+    pairs = docs.select("*", *[_pairs(t, k).alias(n) for k, n in names.items()])
+    spans = F.array_sort(F.concat(*[_spans(F.col(n), k) for k, n in names.items()]))
+    return pairs.select(*[F.col(f"`{c}`") for c in docs.columns], spans.alias(out))
 
 
 def _told(spans: Column) -> Column:
@@ -208,18 +245,16 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
         some = F.array_join(F.slice(chunks, first + 1, F.floor((end - 1) / size).cast("int") - first + 1), "")
         return F.when(end > start, F.substring(some, start - first * size + 1, end - start)).otherwise(F.lit(""))
 
-    def step(s: Column, x: Column) -> Column:
+    def step(pos: Column, x: Column) -> tuple[Column, Column]:
         name = F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]"))
-        out = F.concat(s["out"], F.array(between(s["pos"], x["start"]), name))
-        new = F.struct(x["end"].alias("pos"), out.alias("out"))
-        same = F.struct(F.greatest(s["pos"], x["end"]).alias("pos"), s["out"].alias("out"))
-        return F.when(x["start"] >= s["pos"], new).otherwise(same)
-
-    zero = F.struct(F.lit(0).alias("pos"), F.array().cast("array<string>").alias("out"))
-    whole = F.length(text_or_empty(text))
-    masked = F.aggregate(
-        pii, zero, step, lambda s: F.array_join(F.concat(s["out"], F.array(between(s["pos"], whole))), "")
-    )
+        out = F.array(between(pos, x["start"]), name)
+        none = F.array().cast("array<string>")
+        return F.greatest(pos, x["end"]), F.when(x["start"] >= pos, out).otherwise(none)
+
+    folded = rename_map(docs, {pii, chunks}, "_folded")
+    found = found.withColumn(folded, F.when(F.size(pii) > 0, fold(F.col(pii), "string", step)))
+    rest = between(F.col(folded)["pos"], F.length(text_or_empty(text)))
+    masked = F.array_join(F.concat(F.col(folded)["out"], F.array(rest)), "")
     return found.select(
         *[
             F.when(F.size(pii) > 0, masked).otherwise(F.col(text)).alias(c) if c == text else F.col(f"`{c}`")
