@@ -57,3 +57,10 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = find_pii(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+
+
+@_query("op9_simhash")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from costlens.llm.simhash import simhash_duplicates
+
+    return simhash_duplicates(table(spark, sf_dir, "documents"), words=3, bits=3)
