@@ -64,3 +64,14 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     from costlens.llm.simhash import simhash_duplicates
 
     return simhash_duplicates(table(spark, sf_dir, "documents"), words=3, bits=3)
+
+
+@_query("op6_quality")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from costlens.llm.quality import quality_report, train
+
+    docs = table(spark, sf_dir, "documents")
+    found = quality_report(docs, train(docs, table(spark, sf_dir, "labels")))
+    return found.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
