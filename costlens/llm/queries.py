@@ -75,3 +75,10 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
+
+
+@_query("op4_lm")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from costlens.llm.lm import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"))
