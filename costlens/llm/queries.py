@@ -82,3 +82,10 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     from costlens.llm.lm import score_documents
 
     return score_documents(table(spark, sf_dir, "documents"))
+
+
+@_query("op5_embeddings")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from costlens.llm.embeddings import vector_duplicates
+
+    return vector_duplicates(table(spark, sf_dir, "embeddings"))
