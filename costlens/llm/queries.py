@@ -89,3 +89,26 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     from costlens.llm.embeddings import vector_duplicates
 
     return vector_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@_query("op7_licenses")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from costlens.llm.licenses import scan_licenses
+
+    found = scan_licenses(table(spark, sf_dir, "documents"))
+    told = F.concat_ws(
+        ",",
+        F.transform(
+            "notices",
+            lambda s: F.concat_ws(":", s["license"], s["start"].cast("string"), s["end"].cast("string")),
+        ),
+    )
+    return found.select("doc_id", "n_notices", "best", "coverage", told.alias("notices"))
+
+
+@_query("op8_urls")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from costlens.llm.urls import judge_urls
+
+    found = judge_urls(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "host", "path", "rule", "verdict", "score")
