@@ -128,44 +128,41 @@ class Template:
             missing += self.count[w]
             if missing > self.spare:
                 break
-        reach = len(self.words) + self.spare + 4
+        reach = len(self.words) + self.spare
         out: list[tuple[int, int]] = []
         for p in sorted(places):
             a, b = max(0, p - reach), min(len(text), p + reach + 1)
-            out.append((a, b))
+            if out and a <= out[-1][1]:
+                out[-1] = (out[-1][0], b)
+            else:
+                out.append((a, b))
         return out
 
     def find(self, text: list[str], at: dict[str, list[int]]) -> list[tuple[int, int, float]]:
         """(first word, word after the last, coverage) of each place with enough coverage; the best of overlapping ones."""
-        found = []
+        out = []
         for a, b in self.windows(text, at):
-            if sum((Counter(text[a:b]) & self.count).values()) < self.need:
-                continue
-            got = self._best(text, a, b)
-            if got is not None:
-                found.append(got)
-        found.sort(key=lambda s: (-s[2], s[1] - s[0], s[0]))
-        out: list[tuple[int, int, float]] = []
-        for s in found:
-            if all(s[1] <= o[0] or s[0] >= o[1] for o in out):
-                out.append(s)
-        return sorted(out)
-
-    def _best(self, text: list[str], a: int, b: int) -> tuple[int, int, float] | None:
-        """Alignment of one window; where its words repeat, of the tightest stretch that holds enough of them."""
-        best = None
-        size = len(self.words) + self.spare
-        for lo in range(a, max(a, b - self.need) + 1):
-            if text[lo] not in self.count or (lo > a and best is not None and best[2] == 1.0):
-                continue
-            part = text[lo : min(b, lo + size)]
-            pairs = align(part, self.words)
-            if len(pairs) >= self.need:
-                cover = len(pairs) / len(self.words)
-                span = (lo + pairs[0][0], lo + pairs[-1][0] + 1, cover)
-                if best is None or (-cover, span[1] - span[0]) < (-best[2], best[1] - best[0]):
-                    best = span
-        return best
+            best, i = None, a
+            while i < b or best is not None:
+                if best is not None and (i >= best[1] or best[2] == 1.0):
+                    out.append(best)
+                    best, i = None, max(i, best[1])
+                    continue
+                got = self._from(text, i, b) if text[i] in self.count else None
+                if got is not None and (best is None or (-got[2], got[1] - got[0]) < (-best[2], best[1] - best[0])):
+                    best = got
+                i += 1
+        return out
+
+    def _from(self, text: list[str], lo: int, end: int) -> tuple[int, int, float] | None:
+        """The alignment of the stretch that begins at `lo`, if it covers enough."""
+        part = text[lo : min(end, lo + len(self.words) + self.spare)]
+        if sum((Counter(part) & self.count).values()) < self.need:
+            return None
+        pairs = align(part, self.words)
+        if len(pairs) < self.need:
+            return None
+        return lo + pairs[0][0], lo + pairs[-1][0] + 1, len(pairs) / len(self.words)
 
 
 def scan(text: str, templates: list[Template]) -> list[tuple[str, int, int, float]]:
