@@ -143,7 +143,7 @@ def fit_field(lines: list[list[int]], labels: list[int], rounds: int = 60, ridge
     second = [np.zeros_like(p) for p in params]
     for turn in range(1, rounds + 1):
         score = emit[hot].sum(axis=0)  # text, line, label
-        ahead = np.empty((n, most, 2))
+        ahead = np.zeros((n, most, 2))
         ahead[:, 0] = start + score[:, 0]
         for t in range(1, most):
             k = live[t]
@@ -157,7 +157,7 @@ def fit_field(lines: list[list[int]], labels: list[int], rounds: int = 60, ridge
             joint = ahead[:k, t - 1, :, None] + move + onward[:, None, :] - total[:k, None, None]
             pairs += weight * np.exp(joint).sum(axis=0)
             behind[:k, t - 1] = np.logaddexp(onward[:, 0, None] + move[:, 0], onward[:, 1, None] + move[:, 1])
-        share = np.exp(ahead + behind - total[:, None, None]) * there[:, :, None] * weight
+        share = weight * np.exp(np.where(there[:, :, None], ahead + behind - total[:, None, None], -np.inf))
         model = np.zeros((width, 2))
         for f in hot:
             for label in (0, 1):
@@ -228,14 +228,16 @@ def judge(text: str, field: Field, min_share: float = MIN_SHARE) -> tuple:
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> Field:
-    """The field fitted on at most `sample` documents labelled 0 or 1, drawn by a hash of their key.
+    """The field fitted on the documents of at most `sample` labels 0 or 1, drawn by a hash of the key.
 
     Labels keep their natural shares, so the field leans to content as the corpus does.  Only the codes of their lines come to the driver.  Rows without a label,
     text or key, and texts over SAMPLE_CHARS, are not drawn.
     """
     marked = labels.where("quality in (0, 1)").groupBy(F.col("doc_id").alias("key")).agg(F.max("quality").alias("label"))
+    # At most `sample` ids are broadcast; texts are neither shuffled nor sorted but for the drawn ones.
+    marked = marked.where("key is not null").orderBy(F.xxhash64("key"), "key").limit(sample)
     known = docs.select(docs[key].alias("key"), docs[text].cast("string").alias("text"))
-    known = known.where(F.octet_length("text").between(1, SAMPLE_CHARS)).join(marked, "key")
+    known = known.where(F.octet_length("text").between(1, SAMPLE_CHARS)).join(F.broadcast(marked), "key")
     drawn = known.orderBy(F.xxhash64("key"), "key", "text").limit(sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
