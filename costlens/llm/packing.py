@@ -24,8 +24,8 @@ from pyspark.sql import types as T
 from costlens.llm.bpe import codec_of, read_tokenizer
 from costlens.llm.common import materialize, shuffle_partitions
 
-BINS = 128  # length bins of the patterns
-MOST = 3  # documents in a pattern
+#: (length bins, most documents in a pattern): each is fitted, and the plan with the fewest sequences is taken.
+GRIDS = ((128, 3), (32, 4), (256, 2), (64, 2))
 
 
 def patterns(bins: int, most: int) -> list[tuple[int, ...]]:
@@ -74,7 +74,12 @@ def fit_counts(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x
 
 
-def plan(counts: np.ndarray, capacity: int, bins: int = BINS, most: int = MOST) -> tuple[np.ndarray, int]:
+def plan(counts: np.ndarray, capacity: int, grids=GRIDS) -> tuple[np.ndarray, int]:
+    """The plan of the grid with the fewest sequences; see `fitted`."""
+    return min((fitted(counts, capacity, *g) for g in grids), key=lambda p: p[1])
+
+
+def fitted(counts: np.ndarray, capacity: int, bins: int, most: int) -> tuple[np.ndarray, int]:
     """(rows, number of sequences).  counts[n]: pieces of length n, from 0 to `capacity`.
 
     A row (length, first, count, each, sequence, offset) places the pieces of a
