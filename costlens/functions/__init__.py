@@ -1,6 +1,7 @@
 """Column-level helpers: pure `Column -> Column` expressions, all JVM-side."""
 
 from costlens.functions.columns import (
+    canonical_service,
     dsum,
     davg,
     interval_date,
@@ -13,6 +14,7 @@ from costlens.functions.columns import (
 )
 
 __all__ = [
+    "canonical_service",
     "dsum",
     "davg",
     "interval_date",

@@ -10,9 +10,10 @@ import datetime as _dt
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Exact money arithmetic: sums go through decimal(18,6) so a total does not
+# Exact arithmetic of money and metrics: values are rounded to 10 decimals and
+# may be as large as 1e28, so 4e-7 and 5e12 both add up exactly and a total does not
 # depend on the order in which partitions are combined (D: SURVEY 1.2).
-MONEY = "decimal(18,6)"
+MONEY = "decimal(38,10)"
 
 
 def _c(c) -> Column:
@@ -46,6 +47,24 @@ def to_number(c) -> Column:
     return F.when(s.rlike(_NUMERIC_TEXT), F.trim(s).try_cast("double"))
 
 
+# Names of services in the billing exports that differ from the
+# names under which thresholds and checks are kept.
+BILLING_NAMES = {
+    "awskms": "AWSKMS",
+    "Compute Engine": "ComputeEngine",
+    "Kubernetes Engine": "KubernetesEngine",
+}
+
+
+def canonical_service(c) -> Column:
+    """A service name of a billing export -> the engine's name of that service (others stay)."""
+    s = _c(c)
+    out = s
+    for k, v in BILLING_NAMES.items():
+        out = F.when(s == k, F.lit(v)).otherwise(out)
+    return out
+
+
 # Kubernetes quantity suffixes and their multipliers
 # (decimal SI and binary IEC forms, as defined by the Kubernetes API).
 _SUFFIX_FACTORS = {

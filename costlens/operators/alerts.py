@@ -21,11 +21,12 @@ MAX_BROADCAST_SERVICES = 100_000
 
 def overspend(forecasts: DataFrame, thresholds: DataFrame, service: str = "service") -> DataFrame:
     """ALR-1: a service overspends when any forecast row exceeds its threshold (strict).
+    A service without a threshold stays, with a null threshold, and doesn't overspend.
 
     Both inputs hold one row per (service, step) / per service, so this is a
     join and an aggregate over services x horizon rows."""
-    j = forecasts.join(thresholds.select(service, "threshold"), service)
-    over = F.col("forecast") > F.col("threshold")
+    j = forecasts.join(thresholds.select(service, "threshold"), service, "left")
+    over = F.coalesce(F.col("forecast") > F.col("threshold"), F.lit(False))
     return j.groupBy(service).agg(
         F.first("threshold").alias("threshold"),
         F.bool_or(over).alias("overspending"),

@@ -16,6 +16,7 @@ ANO-3..6 (offset, labels, threshold search) are plain aggregates.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Mapping
 
@@ -56,15 +57,60 @@ def c_factor(n: float) -> float:
     return 0.0
 
 
+MAX_BROADCAST_GROUPS = 100_000
+
+
+def per_group(df: DataFrame) -> DataFrame:
+    """A table of one row per group, written once and broadcast if it is small (a checked count)."""
+    df = _write_once(df)
+    return F.broadcast(df) if df.count() <= MAX_BROADCAST_GROUPS else df
+
+
 # ------------------------------------------------------------------ ANO-3..6
 def contamination_offset(scores: DataFrame, group: str, raw: str = "raw", q: float = 0.2,
                          exact: bool = True, accuracy: int = 100000) -> DataFrame:
     """ANO-3: per group, the `q` quantile of raw scores (linear interpolation,
     as numpy).  `exact=False` uses the mergeable `percentile_approx` sketch."""
-    p = F.percentile(raw, q) if exact else F.percentile_approx(raw, q, accuracy)
+    if exact:
+        return exact_quantile(scores, group, raw, q, accuracy)
+    p = F.percentile_approx(raw, q, accuracy)
     return scores.groupBy(group).agg(p.cast("double").alias("offset"))
 
 
+def exact_quantile(scores: DataFrame, group: str, raw: str, q: float, accuracy: int = 100000) -> DataFrame:
+    """(group, offset): the interpolated `q` quantile, exact, without holding a group's distinct values.
+
+    A mergeable sketch brackets the two order statistics that are needed (its
+    rank error is at most n / accuracy); values below the bracket are counted,
+    and only those inside it, a few n / accuracy rows, are ranked."""
+    s = scores.select(F.col(group).alias("g"), F.col(raw).cast("double").alias("v")).where("v is not null")
+    e = 3.0 / accuracy
+    ends = per_group(
+        s.groupBy("g").agg(
+            F.count(F.lit(1)).alias("n"),
+            F.percentile_approx("v", max(0.0, q - e), accuracy).alias("lo"),
+            F.percentile_approx("v", min(1.0, q + e), accuracy).alias("hi"),
+            F.min("v").alias("least"),
+            F.max("v").alias("most"),
+        )
+        # room for the neighbours of a rank where there are few rows
+        .withColumn("lo", F.when(F.col("n") < accuracy, F.col("least")).otherwise(F.col("lo")))
+        .withColumn("hi", F.when(F.col("n") < accuracy, F.col("most")).otherwise(F.col("hi")))
+    )
+    inside = (F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi"))
+    j = s.join(ends, "g")
+    below = j.groupBy("g").agg(F.count_if(F.col("v") < F.col("lo")).alias("below"), F.first("n").alias("n"))
+    values = j.where(inside).groupBy("g", "v").agg(F.count(F.lit(1)).alias("c"))
+    to_here = Window.partitionBy("g").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = values.withColumn("upto", F.sum("c").over(to_here)).join(per_group(below), "g")
+    h = (F.col("n") - 1).cast("double") * F.lit(float(q))
+    at = lambda k: F.min(F.when(F.col("below") + F.col("upto") > k, F.col("v")))
+    got = ranked.groupBy("g").agg(
+        at(F.floor(h)).alias("a"), at(F.least(F.floor(h) + 1, F.col("n") - 1)).alias("b"), F.first(h - F.floor(h)).alias("w")
+    )
+    return got.select(F.col("g").alias(group), (F.col("a") + (F.col("b") - F.col("a")) * F.col("w")).alias("offset"))
+
+
 def anomaly_label(decision) -> Column:
     """ANO-4: -1 when the decision value is negative, else 1."""
     d = F.col(decision) if isinstance(decision, str) else decision
@@ -73,7 +119,7 @@ def anomaly_label(decision) -> Column:
 
 def with_decision(scores: DataFrame, group: str, raw: str = "raw", q: float = 0.2, exact: bool = True) -> DataFrame:
     """ANO-2/3/4: decision = raw − offset(group), anomaly label from its sign."""
-    off = contamination_offset(scores, group, raw, q, exact)
+    off = per_group(contamination_offset(scores, group, raw, q, exact))
     return (
         scores.join(off, group)
         .withColumn("score", F.col(raw) - F.col("offset"))
@@ -118,20 +164,17 @@ def calibrate_threshold(
     Lowering t can only remove hits, so the ratio never rises while the loop
     runs: if ratio(start) reaches `target` the start is returned, otherwise
     the loop runs all `max_iter` steps.  Two conditional counts in one
-    aggregate replace up to `max_iter` scans.  Groups without a start are
-    dropped unless `default_start` is given.  Returns
-    (group, threshold, accuracy, labelled)."""
+    aggregate replace up to `max_iter` scans.  Groups without a start use
+    `default_start`; without that too they stay, with a null threshold and a
+    null accuracy.  Returns (group, threshold, accuracy, labelled)."""
     if not isinstance(starts, DataFrame):
         spark = labelled_scores.sparkSession
         starts = spark.createDataFrame([(k, float(v)) for k, v in starts.items()], f"{group} string, start double")
-    if default_start is None:
-        st = starts.withColumn("low", lowered(F.col("start"), max_iter, step))
-        j = labelled_scores.join(st, group)
-    else:
-        # services without a configured start use `default_start`
-        j = labelled_scores.join(starts, group, "left").withColumn(
-            "start", F.coalesce(F.col("start"), F.lit(float(default_start)))
-        ).withColumn("low", lowered(F.col("start"), max_iter, step))
+        starts = F.broadcast(starts)  # a row per configured service
+    j = labelled_scores.join(starts, group, "left")
+    if default_start is not None:
+        j = j.withColumn("start", F.coalesce(F.col("start"), F.lit(float(default_start))))
+    j = j.withColumn("low", lowered(F.col("start"), max_iter, step))
     g = j.groupBy(group, "start", "low").agg(
         F.count_if(F.col("score") < F.col("start")).alias("h0"),
         F.count_if(F.col("score") < F.col("low")).alias("h1"),
@@ -142,7 +185,7 @@ def calibrate_threshold(
     return g.select(
         group,
         F.when(keep, F.col("start")).otherwise(F.col("low")).alias("threshold"),
-        F.when(keep, r0).otherwise(r1).alias("accuracy"),
+        F.when(F.col("start").isNotNull(), F.when(keep, r0).otherwise(r1)).alias("accuracy"),
         "labelled",
     )
 
@@ -152,9 +195,7 @@ MODEL_SCHEMA = "g string, tree int, psi int, splits array<double>, depths array<
 
 
 def _tree_seed(seed: int, g: str, tree: int) -> int:
-    import xxhash
-
-    return xxhash.xxh64_intdigest(f"{seed}|{g}|{tree}")
+    return int.from_bytes(hashlib.blake2b(f"{seed}|{g}|{tree}".encode(), digest_size=8).digest(), "big")
 
 
 def _build_tree(values: np.ndarray, rng: np.random.Generator, height: int):
@@ -204,32 +245,36 @@ def iforest_fit(df: DataFrame, group: str, value: str, row_id: str, trees: int =
     then the psi lowest hashes per (group, tree) are kept, so only ~2·psi
     candidate rows per tree are ever materialised, however large the group.
 
-    * large groups (trees·rate <= 1): one hash per row, u in [0, 1); the row
-      joins tree floor(u / rate) when that is < trees.  Each tree still draws
-      every row with probability `rate`; samples of different trees are
-      disjoint, which for n >= 2·psi·trees differs from independent draws by
-      an overlap of order psi/n.  Pure codegen arithmetic, no per-row array.
-    * small groups: an independent hash test per (row, tree).
+    One rule for groups of every size: a row joins m = rate·trees trees on
+    average, that is floor(m + u) of them with u in [0, 1) from a 53-bit hash:
+    a first tree and then every `stride`-th one, both from hashes, the stride
+    without a divisor in common with the number of trees.  So each tree draws
+    each row with probability `rate`, and a row of a large group costs three
+    hashes and no array.
 
-    The per-group row counts are joined back with a plain equi-join: AQE sees
-    the (one row per group) size at runtime and broadcasts it, or falls back
-    to a skew-split shuffle join when there are too many groups."""
+    The per-group row counts (one row per group) are broadcast behind a
+    checked count, so the rows themselves aren't shuffled for them."""
     d = df.select(F.col(group).cast("string").alias("g"), F.col(value).cast("double").alias("v"),
                   F.col(row_id).alias("rid")).filter(F.col("v").isNotNull())
-    n = d.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    n = per_group(d.groupBy("g").agg(F.count(F.lit(1)).alias("n")))
     rate = F.least(F.lit(1.0), F.lit(2.0 * psi) / F.col("n"))
-    cut = (rate * F.lit(1e6)).cast("long")
-    u = F.pmod(F.xxhash64(F.col("rid"), F.lit(seed)), F.lit(1_000_000_000)).cast("double") / F.lit(1e9)
-    one_tree = F.array(F.floor(u / rate).cast("int"))
-    per_tree = F.filter(
-        F.sequence(F.lit(0), F.lit(trees - 1)),
-        lambda t: F.pmod(F.xxhash64(F.col("rid"), t, F.lit(seed)), F.lit(1_000_000)) < cut,
+    u = F.shiftrightunsigned(F.xxhash64(F.col("rid"), F.lit(seed)), 11).cast("double") / F.lit(2.0**53)
+    joins = F.floor(rate * F.lit(float(trees)) + u).cast("int")
+    strides = [s for s in range(1, trees + 1) if math.gcd(s, trees) == 1]
+    start = F.pmod(F.xxhash64(F.col("rid"), F.lit(seed + 2)), F.lit(trees)).cast("int")
+    stride = F.element_at(
+        F.array(*[F.lit(s) for s in strides]),
+        (F.pmod(F.xxhash64(F.col("rid"), F.lit(seed + 3)), F.lit(len(strides))) + 1).cast("int"),
     )
-    big = rate * F.lit(float(trees)) <= F.lit(1.0)
-    cand = (
+    drawn = (
         d.join(n, "g")
-        .select("g", "v", "rid", F.explode(F.when(big, one_tree).otherwise(per_tree)).alias("tree"))
-        .filter(F.col("tree") < trees)
+        .select("g", "v", "rid", joins.alias("joins"))
+        .filter(F.col("joins") > 0)
+        .select("g", "v", "rid", "joins", start.alias("start"), stride.alias("stride"))
+    )
+    turn = F.explode(F.sequence(F.lit(0), F.col("joins") - 1)).alias("turn")
+    cand = drawn.select("g", "v", "rid", "start", "stride", turn).select(
+        "g", "v", "rid", F.pmod(F.col("start") + F.col("turn") * F.col("stride"), F.lit(trees)).alias("tree")
     )
     h = F.xxhash64(F.col("rid"), F.col("tree"), F.lit(seed + 1))
     w = Window.partitionBy("g", "tree").orderBy(h, F.col("rid"))
@@ -265,8 +310,10 @@ def iforest_score(df: DataFrame, model: DataFrame, group: str, value: str, row_i
     a hot group is spread over many tasks."""
     d = df.select(F.col(group).cast("string").alias("g"), F.col(row_id).cast("long").alias("rid"),
                   F.col(value).cast("double").alias("v")).filter(F.col("v").isNotNull())
-    nb = d.groupBy("g").agg(F.count(F.lit(1)).alias("n")).select(
-        "g", F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(float(rows_per_task)))).cast("int").alias("nb")
+    nb = per_group(
+        d.groupBy("g").agg(F.count(F.lit(1)).alias("n")).select(
+            "g", F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(float(rows_per_task)))).cast("int").alias("nb")
+        )
     )
     rows = d.join(nb, "g").withColumn("b", F.pmod(F.xxhash64("rid"), F.col("nb")).cast("int")).drop("nb")
     mx = model.join(nb, "g").withColumn("b", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).drop("nb")

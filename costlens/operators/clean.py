@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from costlens.functions import interval_date, to_number
+from costlens.functions import canonical_service, interval_date, to_number
 
 NUMERIC_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
@@ -40,6 +40,12 @@ GCP_KEEP = ["Date", "Service description", "Cost (€)", "Discounts (€)", "Pro
 CLEAN_COLUMNS = ["provider", "date", "service", "product_code", "region", "location", "cost"]
 
 
+def row_id() -> Column:
+    """A row's number in `cost_clean`: the clean AWS table has one row per (date, product code, region), the clean
+    GCP table is distinct on (date, service, cost)."""
+    return F.xxhash64("provider", "date", "service", "product_code", "region", "cost")
+
+
 def prune_columns(df: DataFrame, keep: Sequence[str], optional: Sequence[str] = ()) -> DataFrame:
     """CLN-1: keep only the named columns.  A missing required name fails loudly;
     names in `optional` are kept when present."""
@@ -139,7 +145,7 @@ def clean_aws(raw: DataFrame, order: Sequence[str] | Column | None = None) -> Da
     return g.select(
         F.lit("aws").alias("provider"),
         "date",
-        F.col("product_servicecode").alias("service"),
+        canonical_service("product_servicecode").alias("service"),
         F.col("line_item_product_code").alias("product_code"),
         F.col("product_region_code").alias("region"),
         F.col("product_location").alias("location"),
@@ -158,7 +164,7 @@ def clean_gcp(raw: DataFrame) -> DataFrame:
     return df.select(
         F.lit("gcp").alias("provider"),
         parse_date("Date").alias("date"),
-        F.col("`Service description`").alias("service"),
+        canonical_service("`Service description`").alias("service"),
         F.col("`Service description`").alias("product_code"),
         F.lit(None).cast("string").alias("region"),
         F.lit(None).cast("string").alias("location"),

@@ -65,19 +65,60 @@ def acf(series: DataFrame, group: str = "service", col: str = "y", max_lag: int
     """TS-9: autocorrelation for lags 0..K, K = int(n/2 − 1) (or `max_lag`).
 
     acf(k) = Σ_t (y_t − ȳ)(y_{t−k} − ȳ) / Σ_t (y_t − ȳ)²  (denominator n, as
-    statsmodels).  Each day is emitted once per lag it serves and joined to
-    its lagged partner on (service, i − k) — an equi-join, sized by days², never
-    by billing rows."""
-    x = indexed(series, group, col).withColumn("z", F.col(col) - F.col("mu"))
-    kmax = F.lit(int(max_lag)) if max_lag is not None else (F.col("n") / 2 - 1).cast("int")
-    lead = x.select(group, "i", "z", F.explode(F.sequence(F.lit(0), F.greatest(kmax, F.lit(0)))).alias("k"))
-    lead = lead.filter(F.col("i") >= F.col("k")).withColumn("j", F.col("i") - F.col("k"))
-    past = x.select(group, F.col("i").alias("j"), F.col("z").alias("zj"))
-    prod = lead.join(past, [group, "j"]).groupBy(group, "k").agg(F.sum(F.col("z") * F.col("zj")).alias("num"))
-    den = x.groupBy(group).agg(F.sum(F.col("z") * F.col("z")).alias("den"), F.first("n").alias("n"))
-    return prod.join(den, group).select(
-        group, F.col("k").alias("lag"), F.try_divide(F.col("num"), F.col("den")).alias("acf"), "n"
+    statsmodels).  A service's days are one sorted array (one number per day of
+    its history), so no day is sent on once per lag."""
+    r = _correlations(series, group, col, max_lag)
+    # outer: the optimizer would evaluate the array once more for a filter on its size
+    return r.select(group, F.posexplode_outer("r").alias("lag", "acf"), "n")
+
+
+def _correlations(series: DataFrame, group: str, col: str, max_lag: int | None) -> DataFrame:
+    """(group, n, r): the autocorrelations of lags 0..K as one array."""
+    days = series.groupBy(group).agg(
+        F.sort_array(F.collect_list(F.struct("date", F.col(col).alias("y")))).alias("days"), F.avg(col).alias("mu")
     )
+    z = days.select(group, F.size("days").alias("n"), F.transform("days", lambda d: d["y"] - F.col("mu")).alias("z"))
+    kmax = F.lit(int(max_lag)) if max_lag is not None else (F.col("n") / 2 - 1).cast("int")
+    kmax = F.least(F.greatest(kmax, F.lit(0)), F.col("n") - 1)
+
+    def product(k: Column) -> Column:
+        pairs = F.zip_with(F.slice("z", k + 1, F.col("n") - k), F.slice("z", F.lit(1), F.col("n") - k), lambda a, b: a * b)
+        return F.aggregate(pairs, F.lit(0.0), lambda a, v: a + v)
+
+    sums = z.select(group, F.col("n").cast("long").alias("n"), F.transform(F.sequence(F.lit(0), kmax), product).alias("s"))
+    # lag 0 is the sum of squares
+    return sums.select(group, "n", F.transform("s", lambda v: F.try_divide(v, F.element_at("s", 1))).alias("r"))
+
+
+def pacf(series: DataFrame, group: str = "service", col: str = "y", max_lag: int | None = None) -> DataFrame:
+    """TS-7: partial autocorrelation for lags 0..K by the Durbin-Levinson recursion on the autocorrelations.
+
+    Lag 0 is 1.  From the coefficients f of order k − 1,
+    pacf(k) = (r_k − Σ f_j r_{k−j}) / (1 − Σ f_j r_j); order k then has
+    f_j − pacf(k) f_{k−j}, and pacf(k) itself.  A constant series has nulls."""
+    r = _correlations(series, group, col, max_lag)
+    add = lambda a, v: a + v
+
+    def dot(f: Column, x: Column) -> Column:
+        return F.aggregate(F.zip_with(f, x, lambda a, b: a * b), F.lit(0.0), add)
+
+    def step(s: Column, k: Column) -> Column:
+        back = F.reverse(F.slice("r", F.lit(2), k - 1))  # r_{k-1} .. r_1
+        ahead = F.slice("r", F.lit(2), k - 1)
+        new = F.try_divide(F.element_at("r", k + 1) - dot(s["f"], back), F.lit(1.0) - dot(s["f"], ahead))
+        nxt = F.transform(
+            F.array(new),
+            lambda p: F.struct(
+                F.concat(F.zip_with(s["f"], F.reverse(s["f"]), lambda a, b: a - p * b), F.array(p)).alias("f"),
+                F.concat(s["out"], F.array(p)).alias("out"),
+            ),
+        )
+        return nxt[0]
+
+    zero = F.struct(F.array().cast("array<double>").alias("f"), F.array(F.lit(1.0)).alias("out"))
+    lags = F.when(F.size("r") > 1, F.sequence(F.lit(1), F.size("r") - 1)).otherwise(F.array().cast("array<int>"))
+    out = F.aggregate(lags, zero, step, lambda s: s["out"])
+    return r.select(group, "n", out.alias("out")).select(group, F.posexplode_outer("out").alias("lag", "pacf"), "n")
 
 
 def choose_order(corr: DataFrame, group: str = "service", value: str = "acf") -> DataFrame:

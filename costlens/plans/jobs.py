@@ -42,9 +42,7 @@ def cost_job(
     B.write_clean(C.cost_clean(aws_raw, gcp_raw, aws_order), f"{out}/clean")
     clean = spark.read.parquet(f"{out}/clean")
 
-    rows = clean.filter(F.col("cost").isNotNull()).withColumn(
-        "row_id", F.xxhash64("provider", "date", "service", "product_code", "region")
-    )
+    rows = clean.filter(F.col("cost").isNotNull()).withColumn("row_id", C.row_id())
     scored = AN.isolation_forest(rows, "service", "cost", "row_id")
     th = AN.calibrate_threshold(scored, "service", starts, default_start=default_start)
     B.append_thresholds(th, f"{out}/thresholds", run_ts)

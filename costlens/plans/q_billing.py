@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from costlens.operators import clean as C
 from costlens.operators import pivots as P
-from costlens.plans.registry import d_, dsum_, query
+from costlens.functions import davg, dsum
+from costlens.plans.registry import d_, davg_, dsum_, query
 from costlens.sources.fixtures import Tables
 
 # "First" row of a group follows the report's line order (D1).
@@ -174,3 +175,21 @@ def agg2_cost_by_service_location(spark, sf_dir):
 def agg3_cost_by_date_service_gcp(spark, sf_dir):
     """GCP cost by date x service (wide)."""
     return P.cost_by_date_service_gcp(gcp_clean(Tables(spark, sf_dir)), GCP_SERVICES)
+
+
+@query(
+    "grp1_small_and_large_sums",
+    "GRP-1",
+    [],
+    f"""select l_returnflag as service, {dsum_('l_tax * 0.000005')} as small, {dsum_('l_extendedprice * 1e8')} as large,
+               {davg_('l_tax * 0.000005')} as small_avg from lineitem group by l_returnflag""",
+)
+def grp1_small_and_large_sums(spark, sf_dir):
+    """Exact sums of amounts around 4e-7 and around 5e12 (rounded to 10 decimals each)."""
+    t = Tables(spark, sf_dir).lineitem
+    g = t.groupBy(F.col("l_returnflag").alias("service")).agg(
+        dsum(F.col("l_tax") * 0.000005).alias("small"),
+        dsum(F.col("l_extendedprice") * 1e8).alias("large"),
+        davg(F.col("l_tax") * 0.000005).alias("small_avg"),
+    )
+    return g

@@ -3,14 +3,16 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from costlens.operators import alerts as AL
 from costlens.operators import anomaly as AN
+from costlens.operators import clean as C
 from costlens.operators import forecast as FC
 from costlens.operators import pivots as P
 from costlens.operators.findings import union_findings
-from costlens.plans.q_billing import AWS_SERVICES, CLEAN_AWS_SQL, CLEAN_GCP_SQL, GCP_SERVICES, aws_clean
+from costlens.plans.q_billing import AWS_SERVICES, CLEAN_AWS_SQL, CLEAN_GCP_SQL, GCP_SERVICES, aws_clean, gcp_clean
 from costlens.functions import dsum
 from costlens.plans.registry import REGISTRY, d_, dsum_, query
 from costlens.session import materialize
@@ -65,38 +67,46 @@ def ano3_6_thresholds(spark, sf_dir):
     return cal.join(off, "metric")
 
 
-def _aws_rows(t: Tables):
-    c = aws_clean(t)
-    return c.withColumn("row_id", F.xxhash64("date", "product_code", "region"))
+SERVICES = [*AWS_SERVICES, *GCP_SERVICES]
+
+
+def both_clean(t: Tables):
+    """The clean tables of both providers, as the batch job writes them."""
+    return aws_clean(t).unionByName(gcp_clean(t))
+
+
+def _cost_rows(t: Tables):
+    c = both_clean(t).where("cost is not null")
+    return c.withColumn("row_id", C.row_id())
 
 
 @query("ano1_2_isolation_forest", "ANO-1 ANO-2 ANO-3 ANO-4")
 def ano1_2_isolation_forest(spark, sf_dir):
-    """Isolation forest per service over every clean AWS cost row (rows-only check)."""
-    return AN.isolation_forest(_aws_rows(Tables(spark, sf_dir)), "service", "cost", "row_id")
+    """Isolation forest per service over every clean cost row of both providers (rows-only check)."""
+    return AN.isolation_forest(_cost_rows(Tables(spark, sf_dir)), "service", "cost", "row_id")
 
 
 @query("ano6_forest_thresholds", "ANO-1 ANO-2 ANO-5 ANO-6")
 def ano6_forest_thresholds(spark, sf_dir):
     """Forest decision values per service -> calibrated threshold per service."""
     t = Tables(spark, sf_dir)
-    scored = AN.isolation_forest(_aws_rows(t), "service", "cost", "row_id")
-    starts = {s: 0.3 if i % 2 == 0 else -0.05 for i, s in enumerate(AWS_SERVICES)}
+    scored = AN.isolation_forest(_cost_rows(t), "service", "cost", "row_id")
+    starts = {s: 0.3 if i % 2 == 0 else -0.05 for i, s in enumerate(SERVICES)}
     return AN.calibrate_threshold(scored, "service", starts)
 
 
 # ------------------------------------------------------------------ TS
 def series(t: Tables):
-    return FC.daily_series(aws_clean(t))
+    return FC.daily_series(both_clean(t))
 
 
 SERIES_SQL = (
-    "select service, date, cast(sum(cast(cost as decimal(18,6))) as double) as y "
-    f"from ({CLEAN_AWS_SQL}) c where cost is not null group by service, date"
+    f"select service, date, {dsum_('cost')} as y "
+    f"from ({CLEAN_AWS_SQL} union all {CLEAN_GCP_SQL}) c where cost is not null group by service, date"
 )
 
 
-@query("ts1_daily_series", "TS-1", ["cost_aws_raw"], f"select service, {d_('date')} as date, y from ({SERIES_SQL}) s")
+@query("ts1_daily_series", "TS-1", ["cost_aws_raw", "cost_gcp_raw"], f"select service, {d_('date')} as date, y from ({SERIES_SQL}) s")
 def ts1_daily_series(spark, sf_dir):
     """Daily cost per service (one time step per date, D6)."""
     return series(Tables(spark, sf_dir))
@@ -105,7 +115,7 @@ def ts1_daily_series(spark, sf_dir):
 @query(
     "ts3_sqrt",
     "TS-3",
-    ["cost_aws_raw"],
+    ["cost_aws_raw", "cost_gcp_raw"],
     f"select service, {d_('date')} as date, case when y >= 0 then sqrt(y) end as sqrt_y from ({SERIES_SQL}) s",
 )
 def ts3_sqrt(spark, sf_dir):
@@ -116,7 +126,7 @@ def ts3_sqrt(spark, sf_dir):
 @query(
     "ts4_difference",
     "TS-4",
-    ["cost_aws_raw"],
+    ["cost_aws_raw", "cost_gcp_raw"],
     f"""select service, {d_('date')} as date, y, dy from (
   select *, d1 - lag(d1) over (partition by service order by date) as dy from (
     select *, y - lag(y) over (partition by service order by date) as d1 from ({SERIES_SQL}) s) a
@@ -142,7 +152,7 @@ select num.service, k as lag, num / den as acf, n from num join den on den.servi
 @query(
     "ts9_acf",
     "TS-9",
-    ["cost_aws_raw"],
+    ["cost_aws_raw", "cost_gcp_raw"],
     f"select service, lag, round(acf, 8) as acf, n from ({ACF_SQL}) x",
 )
 def ts9_acf(spark, sf_dir):
@@ -154,7 +164,7 @@ def ts9_acf(spark, sf_dir):
 @query(
     "ts10_choose_q",
     "TS-10",
-    ["cost_aws_raw"],
+    ["cost_aws_raw", "cost_gcp_raw"],
     f"""select service, greatest(coalesce(min(case when acf < 1.96 / sqrt(n) then lag end) - 1, 0), 0) as "order",
                max(n) as n from ({ACF_SQL}) x group by service""",
 )
@@ -163,6 +173,49 @@ def ts10_choose_q(spark, sf_dir):
     return FC.choose_order(FC.acf(series(Tables(spark, sf_dir))))
 
 
+# The running total of a service's daily cost: a series whose orders aren't zero.
+RUNNING_SQL = f"select service, date, sum(y) over (partition by service order by date) as y from ({SERIES_SQL}) d"
+
+
+def running(t: Tables):
+    w = Window.partitionBy("service").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    return series(t).select("service", "date", F.sum("y").over(w).alias("y"))
+
+
+PACF_SQL = f"""with recursive a as (select service, n, list(acf order by lag) as r from (
+    {ACF_SQL.replace(SERIES_SQL, RUNNING_SQL)}) c group by service, n),
+d as (select service, n, r, 1 as k, [r[2]] as f, r[2] as p from a where len(r) > 1
+  union all
+  select service, n, r, k + 1, list_concat(list_transform(f, lambda x, i: x - q * f[k + 1 - i]), [q]), q
+  from (select *, (r[k + 2] - list_sum(list_transform(f, lambda x, i: x * r[k + 2 - i])))
+               / (1 - list_sum(list_transform(f, lambda x, i: x * r[i + 1]))) as q from d where k + 1 < len(r)) e)
+select service, 0 as lag, 1.0::double as pacf, n from a union all select service, k as lag, p as pacf, n from d"""
+
+
+@query(
+    "ts7_pacf",
+    "TS-7",
+    ["cost_aws_raw", "cost_gcp_raw"],
+    f"select service, lag, round(pacf, 6) as pacf, n from ({PACF_SQL}) x",
+)
+def ts7_pacf(spark, sf_dir):
+    """Partial autocorrelation of each service's running total, lags 0..n/2−1."""
+    p = FC.pacf(running(Tables(spark, sf_dir)))
+    return p.select("service", "lag", F.round("pacf", 6).alias("pacf"), "n")
+
+
+@query(
+    "ts8_choose_p",
+    "TS-8",
+    ["cost_aws_raw", "cost_gcp_raw"],
+    f"""select service, greatest(coalesce(min(case when pacf < 1.96 / sqrt(n) then lag end) - 1, 0), 0) as "order",
+               max(n) as n from ({PACF_SQL}) x group by service""",
+)
+def ts8_choose_p(spark, sf_dir):
+    """AR order from the first partial autocorrelation under 1.96/√n, on each service's running total."""
+    return FC.choose_order(FC.pacf(running(Tables(spark, sf_dir))), value="pacf")
+
+
 AR1_SQL = f"""with l as (select service, date, y, lag(y) over (partition by service order by date) as ylag from ({SERIES_SQL}) s),
 f as (select service, regr_intercept(y, ylag) as c, regr_slope(y, ylag) as phi, arg_max(y, date) as last_y,
              max(date) as last_date from l group by service)
@@ -174,7 +227,7 @@ from f, range(1, 8) r(step)"""
 @query(
     "ts14_15_ar1_forecast",
     "TS-14 TS-15",
-    ["cost_aws_raw"],
+    ["cost_aws_raw", "cost_gcp_raw"],
     f"select service, {d_('date')} as date, step, round(forecast, 2) as forecast from ({AR1_SQL}) x",
 )
 def ts14_15_ar1_forecast(spark, sf_dir):
@@ -186,7 +239,7 @@ def ts14_15_ar1_forecast(spark, sf_dir):
 @query(
     "ts2_adf_lag0",
     "TS-2",
-    ["cost_aws_raw"],
+    ["cost_aws_raw", "cost_gcp_raw"],
     f"""with l as (select service, y - lag(y) over (partition by service order by date) as dy,
                   lag(y) over (partition by service order by date) as ylag from ({SERIES_SQL}) s),
 g as (select service, regr_count(dy, ylag) as nobs, regr_slope(dy, ylag) as beta, regr_sxx(dy, ylag) as sxx,
@@ -229,17 +282,17 @@ FORECASTS_SQL = f"select service, date, step, round(forecast, 2) as forecast fro
 @query(
     "agg4_forecast_by_date",
     "AGG-4",
-    ["cost_aws_raw"],
+    ["cost_aws_raw", "cost_gcp_raw"],
     f"select {d_('date')} as date, "
     + ", ".join(
-        f"cast(sum(cast(case when service = '{s}' then coalesce(forecast, 0.0) end as decimal(18,6))) as double) as \"{s}\""
-        for s in AWS_SERVICES
+        dsum_(f"case when service = '{s}' then coalesce(forecast, 0.0) end") + f' as "{s}"'
+        for s in SERVICES
     )
     + f" from ({FORECASTS_SQL}) f group by date",
 )
 def agg4_forecast_by_date(spark, sf_dir):
     """All services' forecasts by date, wide, in one job."""
-    return P.forecast_by_date(forecasts(Tables(spark, sf_dir)), AWS_SERVICES)
+    return P.forecast_by_date(forecasts(Tables(spark, sf_dir)), SERVICES)
 
 
 # ------------------------------------------------------------------ ALR
@@ -266,7 +319,7 @@ def alerts(t: Tables):
 @query(
     "alr1_overspend",
     "ALR-1",
-    ["cost_aws_raw"],
+    ["cost_aws_raw", "cost_gcp_raw"],
     f"select service, threshold, overspending, max_forecast, {d_('first_breach')} as first_breach from ({ALERTS_SQL}) a",
 )
 def alr1_overspend(spark, sf_dir):
@@ -318,7 +371,7 @@ def _findings_sql() -> str:
 
 
 def _findings_fixtures() -> list[str]:
-    names: list[str] = ["cost_aws_raw"]
+    names: list[str] = ["cost_aws_raw", "cost_gcp_raw"]
     for n in FINDING_QUERIES:
         for f in REGISTRY[n].fixtures:
             if f not in names:
@@ -448,8 +501,7 @@ def _scratch(spark, name: str) -> str:
 )
 def cln10_order_by_date(spark, sf_dir):
     """Clean GCP table sorted by date for display (a range-partitioned sort)."""
-    from costlens.operators import clean as C
-
+    
     return C.order_by_date(C.clean_gcp(Tables(spark, sf_dir).cost_gcp_raw))
 
 
@@ -463,8 +515,7 @@ def cln10_order_by_date(spark, sf_dir):
 def snk1_src4_clean_roundtrip(spark, sf_dir):
     """Both clean tables written partitioned by provider (sorted by date per
     file), then read back as one report."""
-    from costlens.operators import clean as C
-
+    
     t = Tables(spark, sf_dir)
     path = _scratch(spark, "clean")
     B.write_clean(aws_clean(t).unionByName(C.clean_gcp(t.cost_gcp_raw)), path)
@@ -476,7 +527,7 @@ def snk1_src4_clean_roundtrip(spark, sf_dir):
 @query(
     "snk3_src5_forecasts_roundtrip",
     "SNK-3 SRC-5",
-    ["cost_aws_raw"],
+    ["cost_aws_raw", "cost_gcp_raw"],
     f"select service, {d_('date')} as date, step, forecast from ({FORECASTS_SQL}) f",
 )
 def snk3_src5_forecasts_roundtrip(spark, sf_dir):
@@ -551,3 +602,48 @@ def src2_3_gcp_files_union(spark, sf_dir):
     return u.groupBy(F.col("Service description").alias("service")).agg(
         F.count(F.lit(1)).alias("n"), F.count("Cost (€)").alias("n_cost"), F.count("Discounts (€)").alias("n_disc")
     )
+
+
+@query(
+    "src1_columns_by_name",
+    "SRC-1 SRC-3",
+    ["cost_aws_raw"],
+    f"""select m as billing_period, line_item_product_code as code, product_region_code as region, count(*) as n,
+        {dsum_('line_item_blended_cost')} as blended,
+        {dsum_("case when m = '2024-01' then discount_total_discount end")} as discounts
+        from cost_aws_raw, (values ('2024-01'), ('2024-02')) months(m) group by all""",
+)
+def src1_columns_by_name(spark, sf_dir):
+    """Two months of the AWS export, the second with its columns in reverse order and one missing."""
+    raw = Tables(spark, sf_dir).cost_aws_raw
+    base = _scratch(spark, "aws-columns")
+    later = raw.select(*[c for c in reversed(raw.columns) if c != "discount_total_discount"])
+    for month, df in (("2024-01", raw), ("2024-02", later)):
+        df.write.option("header", True).option("compression", "gzip").csv(f"{base}/BILLING_PERIOD={month}/{_RUN}")
+    got = B.read_aws_billing(spark, base, file_prefix="part-")
+    return got.groupBy(
+        F.col("BILLING_PERIOD").cast("string").alias("billing_period"),
+        F.col("line_item_product_code").alias("code"),
+        F.col("product_region_code").alias("region"),
+    ).agg(
+        F.count(F.lit(1)).alias("n"), dsum("line_item_blended_cost").alias("blended"), dsum("discount_total_discount").alias("discounts")
+    )
+
+
+@query(
+    "src2_columns_by_name",
+    "SRC-2 SRC-3",
+    ["cost_gcp_raw"],
+    """select "Service description" as service, 2 * count(*) as n, 2 * count("Cost (€)") as n_cost,
+              count("Discounts (€)") as n_disc from cost_gcp_raw group by 1""",
+)
+def src2_columns_by_name(spark, sf_dir):
+    """Two GCP exports, the second with its columns in reverse order and one missing."""
+    raw = Tables(spark, sf_dir).cost_gcp_raw
+    folder = _scratch(spark, "gcp-columns")
+    raw.write.option("header", True).csv(folder)
+    later = raw.select(*[f"`{c}`" for c in reversed(raw.columns) if c != "Discounts (€)"])
+    later.write.mode("append").option("header", True).csv(folder)
+    return B.read_gcp_billing(spark, folder, "part-").groupBy(F.col("Service description").alias("service")).agg(
+        F.count(F.lit(1)).alias("n"), F.count("Cost (€)").alias("n_cost"), F.count("Discounts (€)").alias("n_disc")
+    )

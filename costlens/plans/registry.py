@@ -78,7 +78,7 @@ def ts_(expr: str) -> str:
 
 
 def dsum_(expr: str) -> str:
-    return f"cast(sum(cast({expr} as decimal(18,6))) as double)"
+    return f"cast(sum(cast({expr} as decimal(38,10))) as double)"
 
 
 def davg_(expr: str) -> str:

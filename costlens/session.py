@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -17,6 +19,7 @@ BASE_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "10000",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     "spark.sql.ansi.enabled": "true",
@@ -34,13 +37,11 @@ def get_session(
 ) -> SparkSession:
     """Build (or reuse) a session with the engine's settings.
 
-    ``master`` defaults to ``local[$BENCH_CPUS or *]`` when not running under a
-    cluster manager.  A checkpoint folder is only configured when the cluster
-    did not name one (``spark.checkpoint.dir``), as in tests.
+    No master is set unless one is given, so that the submitted one holds; tests
+    and the bench pass theirs.  A checkpoint folder is only configured when the
+    cluster did not name one (``spark.checkpoint.dir``), as in tests.
     """
     b = SparkSession.builder.appName(app)
-    if master is None and "SPARK_MASTER" not in os.environ:
-        master = f"local[{os.environ.get('BENCH_CPUS', '*')}]"
     if master:
         b = b.master(master)
     conf = dict(BASE_CONF)
@@ -68,6 +69,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
         cur = tempfile.mkdtemp(prefix="costlens-ckpt-")
+        atexit.register(shutil.rmtree, cur, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", cur)
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(cur)

@@ -7,6 +7,7 @@ file listing and pruning happen in Spark, not in a driver-side loop.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
 
@@ -23,31 +24,71 @@ AWS_RUN_FOLDER = (
 AWS_FILE_PREFIX = "daily_costs-00001"
 
 
+# Columns and types that the cleaning reads; amounts of the GCP export are text (CLN-7).
+AWS_SCHEMA = (
+    "identity_time_interval string, line_item_product_code string, product_region_code string, "
+    "product_servicecode string, product_location string, product_to_location string, "
+    "product_to_region_code string, line_item_blended_cost double, discount_bundled_discount double, "
+    "discount_total_discount double"
+)
+GCP_SCHEMA = (
+    "Date string, `Service description` string, `Cost (€)` string, `Discounts (€)` string, "
+    "`Promotions and others (€)` string"
+)
+
+
+def _struct(schema: T.StructType | str) -> T.StructType:
+    return T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+
+
+def _files(spark: SparkSession, pattern: str, name: str) -> list[str]:
+    """Paths of the files under `pattern` whose name matches the glob `name`: a listing, no content is read."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", name).load(pattern).select("path")
+    return sorted(found.toArrow().column("path").to_pylist())
+
+
+def read_by_name(spark: SparkSession, files: Sequence[str], schema: T.StructType | str, base: str | None = None) -> DataFrame:
+    """CSV files with a header, columns matched by name (Spark maps a given schema by position).
+
+    Files with the same header are read together; columns that a file lacks
+    become null, those that `schema` doesn't name are not read.  No files: an
+    empty table."""
+    want = _struct(schema)
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for f in files:
+        # reads the header line alone
+        groups.setdefault(tuple(spark.read.option("header", True).csv(f).columns), []).append(f)
+    types = {f.name: f.dataType for f in want}
+    parts = [spark.createDataFrame([], want)] if not groups else []
+    for header, same in groups.items():
+        layout = T.StructType([T.StructField(c, types.get(c, T.StringType())) for c in header])
+        r = spark.read.option("header", True).option("enforceSchema", False).schema(layout)
+        df = (r.option("basePath", base) if base else r).csv(same)
+        extra = [c for c in df.columns if c not in header]  # partition columns
+        cols = [F.col(f"`{f.name}`") if f.name in header else F.lit(None).cast(f.dataType).alias(f.name) for f in want]
+        parts.append(df.select(*cols, *extra))
+    return union_reports(parts)
+
+
 def read_aws_billing(
     spark: SparkSession, base: str, schema: T.StructType | str | None = None, file_prefix: str = AWS_FILE_PREFIX
 ) -> DataFrame:
-    """SRC-1: `base/BILLING_PERIOD=*/<run folder>/daily_costs-00001*.gz` CSVs.
+    """SRC-1: `base/BILLING_PERIOD=*/<run folder>/daily_costs-00001*.gz` CSVs, columns by name.
 
     `BILLING_PERIOD` becomes a partition column; run folders that do not
-    match the timestamp+UUID pattern are dropped by a filter on the file path
-    (file-level metadata, no data read for them).  `file_prefix` is the data
-    file name prefix (the export's by default)."""
-    r = (
-        spark.read.option("header", True)
-        .option("basePath", base)
-        .option("pathGlobFilter", f"{file_prefix}*.gz")
-    )
-    r = r.schema(schema) if schema is not None else r.option("inferSchema", False)
-    df = r.csv(f"{base.rstrip('/')}/{AWS_PARTITION_PREFIX}*/*")
-    run = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
-    return df.filter(run.rlike(AWS_RUN_FOLDER))
+    match the timestamp+UUID pattern are left out.  `schema` names the columns
+    to read (the billing columns by default); `file_prefix` is the data file
+    name prefix (the export's by default)."""
+    base = base.rstrip("/")
+    files = _files(spark, f"{base}/{AWS_PARTITION_PREFIX}*/*", f"{file_prefix}*.gz")
+    files = [f for f in files if re.match(AWS_RUN_FOLDER, f.split("/")[-2])]
+    return read_by_name(spark, files, AWS_SCHEMA if schema is None else schema, base)
 
 
 def read_gcp_billing(spark: SparkSession, folder: str, prefix: str, schema=None) -> DataFrame:
-    """SRC-2: GCP CSV exports whose file name starts with `prefix`."""
-    r = spark.read.option("header", True).option("pathGlobFilter", f"{prefix}*.csv")
-    r = r.schema(schema) if schema is not None else r
-    return r.csv(folder)
+    """SRC-2: GCP CSV exports whose file name starts with `prefix`, columns by name."""
+    files = _files(spark, folder, f"{prefix}*.csv")
+    return read_by_name(spark, files, GCP_SCHEMA if schema is None else schema)
 
 
 def union_reports(dfs: Sequence[DataFrame]) -> DataFrame:
@@ -66,8 +107,11 @@ def read_report(spark: SparkSession, path: str, schema=None, fmt: str = "csv") -
 
 def write_clean(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
     """SNK-1 (+ CLN-10): write the clean table partitioned by provider, each
-    file sorted by date (a per-partition sort, not a global range shuffle)."""
-    w = df.repartition("provider").sortWithinPartitions("date").write.mode(mode).partitionBy("provider")
+    file sorted by date (a per-partition sort, not a global range shuffle).
+    Rebalanced, so that tasks and files follow the size and not the number of
+    providers."""
+    even = df.hint("rebalance").sortWithinPartitions("provider", "date")
+    w = even.write.mode(mode).partitionBy("provider")
     if fmt == "csv":
         w.option("header", True).csv(path)
     else:

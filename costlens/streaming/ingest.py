@@ -26,6 +26,7 @@ def billing_stream(spark: SparkSession, base: str, schema, max_files_per_trigger
     r = (
         spark.readStream.schema(schema)
         .option("header", True)
+        .option("enforceSchema", False)  # a header that differs from the schema fails, it isn't read by position
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", f"{AWS_FILE_PREFIX}*.gz")
     )

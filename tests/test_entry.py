@@ -4,7 +4,7 @@ import __spark_entry__ as E
 def test_entry_runs(spark):
     df = E.entry(spark)
     rows = df.collect()
-    assert len(rows) >= 0
+    assert {r["service"] for r in rows} & {"ComputeEngine", "KubernetesEngine", "Networking"}
     assert "problem" in df.columns and "prompt" in df.columns
 
 

@@ -120,3 +120,40 @@ def test_forest_large_group_sampling_path(spark):
     assert len(m) == 100 and (m["psi"] == 256).all()
     s = AN.isolation_forest(df, "service", "cost", "row_id").agg(F.count("*"), F.min("raw"), F.max("raw")).first()
     assert s[0] == 60000 and -1 < s[1] <= s[2] < 0
+
+
+def test_pacf_and_exact_quantile(spark):
+    import datetime as dt
+
+    from costlens.operators import anomaly as AN
+    from costlens.operators import forecast as FC
+
+    rng = np.random.default_rng(0)
+    y = [0.0, 0.0]
+    for _ in range(120):
+        y.append(0.6 * y[-1] + 0.25 * y[-2] + rng.normal())
+    rows = [("a", dt.date(2024, 1, 1) + dt.timedelta(i), float(v)) for i, v in enumerate(y)]
+    rows += [("constant", dt.date(2024, 1, 1) + dt.timedelta(i), 1.0) for i in range(9)] + [("one", dt.date(2024, 1, 1), 5.0)]
+    df = spark.createDataFrame(rows, "service string, date date, y double")
+    got = FC.pacf(df).toPandas()
+    a = got[got.service == "a"].sort_values("lag").pacf.to_numpy()
+    z = np.array(y) - np.mean(y)
+    r = np.array([z[k:] @ z[: len(z) - k] for k in range(len(a))]) / (z @ z)
+    toeplitz = lambda k: np.array([[r[abs(i - j)] for j in range(k)] for i in range(k)])
+    want = [1.0] + [np.linalg.solve(toeplitz(k), r[1 : k + 1])[-1] for k in range(1, len(r))]
+    assert np.allclose(a, want)
+    order = {x["service"]: x["order"] for x in FC.choose_order(FC.pacf(df), value="pacf").collect()}
+    assert order == {"a": 2, "constant": 0, "one": 0}
+    x = rng.normal(size=3000).round(2)
+    scores = spark.createDataFrame([("g", float(v)) for v in x] + [("h", 1.0)], "g string, raw double")
+    for accuracy in (100, 1_000_000):
+        q = {o["g"]: o["offset"] for o in AN.exact_quantile(scores, "g", "raw", 0.2, accuracy).collect()}
+        assert abs(q["g"] - np.quantile(x, 0.2)) < 1e-12 and q["h"] == 1.0
+
+
+def test_session_leaves_the_submitted_master_alone():
+    import inspect
+
+    from costlens import session
+
+    assert "local[" not in inspect.getsource(session.get_session)
