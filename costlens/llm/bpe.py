@@ -29,7 +29,7 @@ from costlens.llm.common import worker_cache
 
 END = "\n"  # stands for the word-end suffix inside the encoder; no word holds white space
 BLOCK = 4096  # a word's matches are listed for so many places at a time
-MEMO = 500_000  # words whose ids a worker keeps at once
+MEMO = 300_000  # words whose ids a worker keeps at once
 MEMO_WORD = 48  # longer words are encoded anew each time
 
 # The letters and digits among the first 256 code points, lower case,
