@@ -100,11 +100,14 @@ def unoptimized_volumes(
     read_metric: str = "VolumeReadOps",
     write_metric: str = "VolumeWriteOps",
 ) -> DataFrame:
-    """EC2-4: (avg read ops < ops and avg write ops < ops) or size > `size` GB."""
+    """EC2-4: avg read ops < ops and avg write ops < ops (a, observed: the larger of both), else size > `size` GB (b)."""
     s = per_resource(points, as_of, {read_metric: "rd", write_metric: "wr"})
     v = volumes.join(s, volumes.volume_id == s.resource_id, "left")
-    bad = ((F.col("rd_avg") < ops) & (F.col("wr_avg") < ops)) | (F.col("size_gb") > size)
-    return flag(v.filter(bad), EC2, "EC2-4", 4, "volume_id", "size_gb", size)
+    idle = F.coalesce((F.col("rd_avg") < ops) & (F.col("wr_avg") < ops), F.lit(False))
+    low = v.filter(idle).withColumn("ops", F.greatest("rd_avg", "wr_avg"))
+    return flag(low, EC2, "EC2-4a", 4, "volume_id", "ops", ops).unionByName(
+        flag(v.filter(~idle & (F.col("size_gb") > size)), EC2, "EC2-4b", 4, "volume_id", "size_gb", size)
+    )
 
 
 def old_snapshots(snapshots: DataFrame, as_of, days: int = 180) -> DataFrame:
@@ -406,10 +409,12 @@ def open_acl_egress(acls: DataFrame) -> DataFrame:
 
 
 def many_rules(groups: DataFrame, ingress: int = 50, egress: int = 10) -> DataFrame:
-    """VPC-10: security group with more than `ingress` ingress or `egress` egress rules."""
+    """VPC-10: security group with more than `ingress` ingress rules (a), else more than `egress` egress rules (b)."""
     g = groups.withColumn("n_in", F.size("ip_permissions")).withColumn("n_out", F.size("ip_permissions_egress"))
-    g = g.filter((F.col("n_in") > ingress) | (F.col("n_out") > egress))
-    return flag(g, VPC, "VPC-10", 10, "group_id", "n_in", ingress)
+    many_in = F.coalesce(F.col("n_in") > ingress, F.lit(False))
+    return flag(g.filter(many_in), VPC, "VPC-10a", 10, "group_id", "n_in", ingress).unionByName(
+        flag(g.filter(~many_in & (F.col("n_out") > egress)), VPC, "VPC-10b", 10, "group_id", "n_out", egress)
+    )
 
 
 def many_cidrs(groups: DataFrame, limit: int = 10) -> DataFrame:

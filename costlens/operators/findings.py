@@ -52,7 +52,8 @@ PROBLEMS = {
     "EC2-2a": "High Inbound Data Transfer",
     "EC2-2b": "High Outbound Data Transfer",
     "EC2-3": "Instance ID: {id}, old instance",
-    "EC2-4": "Volume ID: {id}, unoptimized volume",
+    "EC2-4a": "Volume ID: {id}, unoptimized volume",
+    "EC2-4b": "Volume ID: {id}, unoptimized volume",
     "EC2-5": "Snapshot ID: {id}, old snapshot",
     "EKS-1": "Over-Provisioned and Idle Resources Detected",
     "EKS-2": "High Data Transfer Costs Detected in Amazon EKS",
@@ -79,7 +80,8 @@ PROBLEMS = {
     "VPC-7": "Blackhole route: {id}",
     "VPC-8": "Overly permissive rule: {id}",
     "VPC-9": "Overly permissive egress rule: {id}",
-    "VPC-10": "Security Group {id} has numerous rules:",
+    "VPC-10a": "Security Group {id} has numerous rules:",
+    "VPC-10b": "Security Group {id} has numerous rules:",
     "VPC-11a": "Security Group {id} has complex ingress CIDR blocks.",
     "VPC-11b": "Security Group {id} has complex egress CIDR blocks.",
     "VPC-12": "Excessive Traffic Monitoring in {id}",

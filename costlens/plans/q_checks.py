@@ -118,9 +118,11 @@ def ec2_3_old_instances(spark, sf_dir):
     "ec2_4_unoptimized_volumes",
     "EC2-4",
     ["volumes", "metric_points"],
-    f"select {flag_sql('AmazonEC2', 'EC2-4', 4, 'volume_id', 'size_gb', 200)} from volumes v "
-    f"left join {_pr({IN: 'rd', OUT: 'wr'})} s on v.volume_id = s.resource_id "
-    "where (rd_avg < 100 and wr_avg < 100) or size_gb > 200",
+    f"with v4 as (select v.*, rd_avg, wr_avg, coalesce(rd_avg < 100 and wr_avg < 100, false) as idle from volumes v "
+    f"left join {_pr({IN: 'rd', OUT: 'wr'})} s on v.volume_id = s.resource_id) "
+    f"select {flag_sql('AmazonEC2', 'EC2-4a', 4, 'volume_id', 'greatest(rd_avg, wr_avg)', 100)} from v4 where idle "
+    f"union all select {flag_sql('AmazonEC2', 'EC2-4b', 4, 'volume_id', 'size_gb', 200)} from v4 "
+    "where not idle and size_gb > 200",
 )
 def ec2_4_unoptimized_volumes(spark, sf_dir):
     t = Tables(spark, sf_dir)
@@ -468,9 +470,10 @@ def vpc9_open_acl_egress(spark, sf_dir):
     "vpc10_many_rules",
     "VPC-10",
     ["sg_flat"],
-    f"select {flag_sql('AmazonVPC', 'VPC-10', 10, 'group_id', 'n_in', 5)} from "
-    "(select group_id, count(*) filter (where ingress) as n_in, count(*) filter (where not ingress) as n_out "
-    "from sg_flat group by group_id) g where n_in > 5 or n_out > 5",
+    "with g10 as (select group_id, count(*) filter (where ingress) as n_in, "
+    "count(*) filter (where not ingress) as n_out from sg_flat group by group_id) "
+    f"select {flag_sql('AmazonVPC', 'VPC-10a', 10, 'group_id', 'n_in', 5)} from g10 where n_in > 5 union all "
+    f"select {flag_sql('AmazonVPC', 'VPC-10b', 10, 'group_id', 'n_out', 5)} from g10 where n_in <= 5 and n_out > 5",
 )
 def vpc10_many_rules(spark, sf_dir):
     return A.many_rules(Tables(spark, sf_dir).security_groups, 5, 5)
@@ -638,12 +641,12 @@ def gce1_underutilized(spark, sf_dir):
     "gce2_overutilized_preemptible",
     "GCE-2",
     ["instances", "metric_points"],
-    f"select {flag_sql('ComputeEngine', 'GCE-2', 2, 'instance_id', 'cpu', 100)} from ({_gce_cpu_sql()}) j "
-    "where not (cpu < 100) and cpu > 100 and preemptible",
+    f"select {flag_sql('ComputeEngine', 'GCE-2', 2, 'instance_id', 'cpu', 5)} from ({_gce_cpu_sql()}) j "
+    "where not (cpu < 5) and cpu > 5 and preemptible",
 )
 def gce2_overutilized_preemptible(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return G.overutilized_preemptible(t.instances, t.points, AS_OF, 100, low=100, cpu_metric=CPU)
+    return G.overutilized_preemptible(t.instances, t.points, AS_OF, 5, low=5, cpu_metric=CPU)
 
 
 @query(

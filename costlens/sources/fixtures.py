@@ -220,7 +220,10 @@ class Tables:
     def lb_targets(self) -> DataFrame:
         return self.orders.select(
             F.col("o_orderpriority").alias("lb"),
-            F.col("o_custkey").alias("target_id"),
+            # targets of low-priority balancers are machines of another account
+            (F.col("o_custkey") + F.when(F.col("o_orderpriority") == "5-LOW", F.lit(1_000_000_000)).otherwise(F.lit(0))).alias(
+                "target_id"
+            ),
             F.when(F.col("o_orderstatus") == "F", F.lit("healthy")).otherwise(F.lit("unhealthy")).alias("state"),
         )
 
@@ -501,7 +504,8 @@ FIXTURE_SQL = {
         "from region"
     ),
     "lb_targets": (
-        "select o_orderpriority lb, o_custkey target_id, "
+        "select o_orderpriority lb, "
+        "o_custkey + case when o_orderpriority='5-LOW' then 1000000000 else 0 end target_id, "
         "case when o_orderstatus='F' then 'healthy' else 'unhealthy' end state from orders"
     ),
     "objects": (
