@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from costlens.functions import canonical_service, interval_date, to_number
+from costlens.functions import canonical_service, dsum, interval_date, to_number
 
 NUMERIC_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
@@ -60,14 +60,20 @@ def fill_numeric(df: DataFrame, value: float = 0.0) -> DataFrame:
     return df.fillna(value, subset=num) if num else df
 
 
-def first_per_group(df: DataFrame, keys: Sequence[str], order: Column | Sequence[str]) -> DataFrame:
+def first_per_group(
+    df: DataFrame, keys: Sequence[str], order: Column | Sequence[str], agg: str = "first"
+) -> DataFrame:
     """CLN-4: per group, the first non-null value of *each column independently*.
 
-    "First" is by `order` (D1).  Rows with a null key are dropped (pandas
-    `groupby` default).  Implemented as one hash aggregate with partial
-    (map-side) combine: per column `min_by(value, order)` restricted to rows
-    where the value is not null — no sort, no window, safe under key skew.
+    "First" is by `order` (D1).  With `agg="sum"` numeric columns are added up
+    instead (D2).  Rows with a null key are dropped (pandas `groupby` default).
+    One aggregate with partial (map-side) combine: per column
+    `min_by(value, order)` over the rows where the value is not null; text
+    buffers make it a sort aggregate, but a key's rows meet as one partial row
+    per task, so key skew does no harm.
     """
+    if agg not in ("first", "sum"):
+        raise ValueError("agg must be 'first' or 'sum'")
     if not isinstance(order, Column):
         order = F.struct(*[F.col(c) for c in order])
     others = [c for c in df.columns if c not in keys]
@@ -76,7 +82,11 @@ def first_per_group(df: DataFrame, keys: Sequence[str], order: Column | Sequence
         cond = F.col(k).isNotNull()
         not_null_keys = cond if not_null_keys is None else not_null_keys & cond
     d = df.filter(not_null_keys).withColumn("__ord", order)
-    aggs = [F.min_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("__ord"))).alias(c) for c in others]
+    summed = {f.name for f in df.schema.fields if agg == "sum" and isinstance(f.dataType, NUMERIC_TYPES)}
+    aggs = [
+        dsum(c).alias(c) if c in summed else F.min_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("__ord"))).alias(c)
+        for c in others
+    ]
     return d.groupBy(*keys).agg(*aggs)
 
 
@@ -121,9 +131,11 @@ def parse_date(c) -> Column:
     return F.to_date(F.col(c) if isinstance(c, str) else c)
 
 
-def clean_aws(raw: DataFrame, order: Sequence[str] | Column | None = None) -> DataFrame:
+def clean_aws(raw: DataFrame, order: Sequence[str] | Column | None = None, agg: str = "first") -> DataFrame:
     """CLN-12: the whole AWS pipeline -> `cost_clean` rows with provider 'aws'.
 
+    `agg`: "first" amount of a group, or the "sum" of its amounts (D2).
+
     `order` defines "first" inside a group (D1).  Any order columns present in
     the raw table are carried through the pruning for that purpose.
     """
@@ -140,7 +152,7 @@ def clean_aws(raw: DataFrame, order: Sequence[str] | Column | None = None) -> Da
     else:
         ord_col = F.struct(*[F.col(c) for c in order_cols])
     df = df.withColumn("__order", ord_col).drop(*order_cols)
-    g = first_per_group(df, AWS_KEYS, F.col("__order")).drop("__order")
+    g = first_per_group(df, AWS_KEYS, F.col("__order"), agg).drop("__order")
     g = drop_zero_cost(net_cost_aws(g))
     return g.select(
         F.lit("aws").alias("provider"),

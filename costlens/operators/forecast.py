@@ -278,7 +278,7 @@ def choose_pdq(y: np.ndarray):
     w = np.asarray(y, dtype=float)
     d = 0
     p_val = adf_test(w)[1]
-    while (not np.isfinite(p_val) or p_val > 0.05) and d < 2 and len(w) > 6:
+    while (not np.isfinite(p_val) or p_val > 0.05) and d < 2 and len(w) > 1:
         d += 1
         w = np.diff(w)
         p_val = adf_test(w)[1]
@@ -360,16 +360,18 @@ def arima_fit(w: np.ndarray, p: int, q: int, const: bool, iters: int = 25):
     return params, sigma2, converged
 
 
-def arima_forecast(y: np.ndarray, p: int, d: int, q: int, steps: int = HORIZON, max_order: int = 10):
-    """TS-11..13: fit ARIMA(p, d, q) (constant only when d = 0), in-sample
-    one-step predictions of levels, and a `steps`-ahead forecast."""
+def arima_forecast(y: np.ndarray, p: int, d: int, q: int, steps: int = HORIZON):
+    """TS-11..13: fit ARIMA(p, d, q) (constant only when d = 0), one-step
+    predictions of every level, and a `steps`-ahead forecast.
+
+    The first max(p, q) values are predicted by the mean of the differenced
+    series; a level that has nothing before it by 0."""
     y = np.asarray(y, dtype=float)
-    pu, qu = min(p, max_order), min(q, max_order)
+    pu, qu = p, q
     w = np.diff(y, n=d) if d else y.copy()
     const = d == 0
-    if len(w) < 10:
-        mean = float(np.mean(y)) if len(y) else float("nan")
-        return np.full(steps, mean), np.full(len(y), np.nan), dict(pu=pu, qu=qu, sigma2=float("nan"), converged=False, short=True)
+    if not len(w):  # as many differences as values: the last level goes on
+        return np.full(steps, y[-1]), np.r_[0.0, y[:-1]], dict(pu=pu, qu=qu, sigma2=float("nan"), converged=False)
     params, sigma2, conv = arima_fit(w, pu, qu, const)
     c = params[0] if const else 0.0
     phi = params[int(const) : int(const) + pu]
@@ -377,15 +379,15 @@ def arima_forecast(y: np.ndarray, p: int, d: int, q: int, steps: int = HORIZON,
     _, e = _css_resid(params, w, pu, qu, const)
     m = max(pu, qu)
     # one-step predictions of w, then of levels
-    what = np.full(len(w), np.nan)
+    what = np.full(len(w), float(np.mean(w)))
     for t in range(m, len(w)):
         what[t] = w[t] - e[t]
-    pred = np.full(len(y), np.nan)
+    pred = np.r_[0.0, y[:-1]]
     if d == 0:
         pred = what
     else:
         # level prediction = prediction of the d-th difference + last known levels
-        for t in range(m, len(w)):
+        for t in range(len(w)):
             idx = t + d
             base = y[idx - 1] if d == 1 else 2 * y[idx - 1] - y[idx - 2]
             pred[idx] = base + what[t]
@@ -406,7 +408,7 @@ def arima_forecast(y: np.ndarray, p: int, d: int, q: int, steps: int = HORIZON,
         last_diff = y[-1] - y[-2]
         diffs = last_diff + np.cumsum(fc)
         fc = y[-1] + np.cumsum(diffs)
-    return fc, pred, dict(pu=pu, qu=qu, sigma2=sigma2, converged=conv, short=False)
+    return fc, pred, dict(pu=pu, qu=qu, sigma2=sigma2, converged=conv)
 
 
 MODEL_OUT = (
@@ -416,7 +418,7 @@ MODEL_OUT = (
 )
 
 
-def _arima_group(horizon: int, max_order: int):
+def _arima_group(horizon: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("date")
         svc = str(pdf["service"].iloc[0])
@@ -425,7 +427,7 @@ def _arima_group(horizon: int, max_order: int):
         tau, pv, lag, _ = adf_test(y)
         form = stationary_form(y)
         p, d, q, _ = choose_pdq(y)
-        fc, pred, info = arima_forecast(y, p, d, q, horizon, max_order)
+        fc, pred, info = arima_forecast(y, p, d, q, horizon)
         last = pd.Timestamp(dates[-1])
         fdates = [(last + pd.Timedelta(days=h)).date() for h in range(1, horizon + 1)]
         common = dict(p=p, d=d, q=q, p_used=info["pu"], q_used=info["qu"], adf_tau=tau, adf_p=pv, adf_lag=lag,
@@ -439,11 +441,11 @@ def _arima_group(horizon: int, max_order: int):
     return run
 
 
-def arima_job(series: DataFrame, group: str = "service", horizon: int = HORIZON, max_order: int = 10) -> DataFrame:
+def arima_job(series: DataFrame, group: str = "service", horizon: int = HORIZON) -> DataFrame:
     """TS-2, 5..8, 11..13 in one grouped job over daily series: one Python task
     per service, input = that service's days (bounded by the history length)."""
     s = series.select(F.col(group).alias("service"), "date", "y")
-    return s.groupBy("service").applyInPandas(_arima_group(horizon, max_order), MODEL_OUT)
+    return s.groupBy("service").applyInPandas(_arima_group(horizon), MODEL_OUT)
 
 
 def arima_forecasts(series: DataFrame, group: str = "service", horizon: int = HORIZON) -> DataFrame:

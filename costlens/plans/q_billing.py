@@ -91,6 +91,25 @@ def cln12_clean_aws(spark, sf_dir):
     return aws_clean(Tables(spark, sf_dir))
 
 
+# CLEAN_AWS_SQL with the amounts of a group added up (D2).
+CLEAN_AWS_SUM_SQL = CLEAN_AWS_SQL
+for _c in ("line_item_blended_cost", "discount_bundled_discount", "discount_total_discount"):
+    CLEAN_AWS_SUM_SQL = CLEAN_AWS_SUM_SQL.replace(_first(_c), f"{dsum_(_c)} as {_c}")
+
+
+@query(
+    "cln12_clean_aws_sum",
+    "CLN-4 CLN-12",
+    ["cost_aws_raw"],
+    f"select provider, {d_('date')} as date, service, product_code, region, location, round(cost, 6) as cost "
+    f"from ({CLEAN_AWS_SUM_SQL})",
+)
+def cln12_clean_aws_sum(spark, sf_dir):
+    """The AWS clean pipeline with the amounts of a group added up."""
+    clean = C.clean_aws(Tables(spark, sf_dir).cost_aws_raw, order=AWS_ORDER, agg="sum")
+    return clean.withColumn("cost", F.round("cost", 6))
+
+
 @query(
     "cln13_clean_gcp",
     "CLN-1 CLN-7 CLN-8 CLN-9 CLN-11 CLN-13",

@@ -327,6 +327,15 @@ def alr1_overspend(spark, sf_dir):
     return alerts(Tables(spark, sf_dir))
 
 
+@query("ano6_alr1_end_to_end", "ANO-1 ANO-2 ANO-5 ANO-6 ALR-1")
+def ano6_alr1_end_to_end(spark, sf_dir):
+    """Forest thresholds of every service against its forecasts (rows-only): what the batch job hands to the alerts."""
+    t = Tables(spark, sf_dir)
+    scored = AN.isolation_forest(_cost_rows(t), "service", "cost", "row_id")
+    starts = {s: 0.3 if i % 2 == 0 else -0.05 for i, s in enumerate(SERVICES)}
+    return AL.overspend(forecasts(t), AN.calibrate_threshold(scored, "service", starts))
+
+
 # Check queries whose output is the findings table; their union is the report input.
 FINDING_QUERIES = [
     "cw1_excessive_metrics", "cw2_excessive_log_groups", "cw3_excessive_log_streams", "cw4_high_data_points",
