@@ -35,6 +35,19 @@ def overspend(forecasts: DataFrame, thresholds: DataFrame, service: str = "servi
     )
 
 
+def alerting_services(alerts: DataFrame, service_map: DataFrame | None = None) -> list[str]:
+    """Check services whose checks have to run: at most one name per service that has checks.
+
+    The reference runs a service's checks only when it overspends; this short
+    list lets the caller plan just those."""
+    hot = alerts.filter(F.col("overspending")).select("service")
+    if service_map is not None:
+        hot = hot.join(service_map, "service").select(F.col("check_service").alias("service"))
+    known = sorted(set(PREFIX_SERVICE.values()))
+    names = hot.filter(F.col("service").isin(known)).distinct().limit(len(known)).toArrow()
+    return sorted(names.column("service").to_pylist())
+
+
 def findings_for(alerts: DataFrame, findings: DataFrame, service_map: DataFrame | None = None) -> DataFrame:
     """ALR-2: findings of overspending services only (left semi join).
 

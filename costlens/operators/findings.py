@@ -25,6 +25,11 @@ FINDING_COLUMNS = [
     "prompt_id",
 ]
 
+FINDING_SCHEMA = (
+    "service string, check_name string, rule_rank int, resource_id string, problem string, "
+    "observed double, threshold double, prompt_id string"
+)
+
 # Canonical service keys (one key per service; the reference's writers and
 # reader spell some differently, SURVEY 2.5).
 SERVICES = [

@@ -13,7 +13,7 @@ recompute the cleaning, and a lost executor only repeats its own stage.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,7 +22,8 @@ from costlens.operators import alerts as AL
 from costlens.operators import anomaly as AN
 from costlens.operators import clean as C
 from costlens.operators import forecast as FC
-from costlens.operators.findings import union_findings
+from costlens.operators.findings import FINDING_SCHEMA, union_findings
+from costlens.session import materialize
 from costlens.sources import billing as B
 
 
@@ -61,11 +62,20 @@ def alert_job(
     spark: SparkSession,
     forecasts: DataFrame,
     threshold_history: DataFrame,
-    findings: Sequence[DataFrame],
+    findings: Sequence[DataFrame] | Mapping[str, Callable[[], DataFrame]],
     service_map: DataFrame | None = None,
 ) -> DataFrame:
     """Forecasts vs the latest threshold of each service; report the findings
-    of overspending services with their advice questions."""
+    of overspending services with their advice questions.
+
+    `findings`: findings tables, or a builder of the findings table for each
+    service, of which only the alerting services' ones are called."""
     alerts = AL.overspend(forecasts, B.latest_thresholds(threshold_history))
+    if isinstance(findings, Mapping):
+        alerts = materialize(alerts)
+        names = AL.alerting_services(alerts, service_map)
+        empty = spark.createDataFrame([], FINDING_SCHEMA)
+        built = [findings[n]() for n in names if n in findings]
+        return AL.report(union_findings([empty, *built]), AL.prompts(spark))
     hot = AL.findings_for(alerts, union_findings(list(findings)), service_map)
     return AL.report(hot, AL.prompts(spark))

@@ -375,6 +375,12 @@ def all_findings(spark, sf_dir, shared_cube: bool = True, services: list[str] |
         return union_findings([REGISTRY[n].fn(spark, sf_dir) for n in names])
 
 
+def hot_findings(spark, sf_dir):
+    """The findings of the alerting services: only their checks are planned and run."""
+    names = AL.alerting_services(alerts(Tables(spark, sf_dir)), service_map(spark))
+    return all_findings(spark, sf_dir, services=names)
+
+
 def _findings_sql() -> str:
     return " union all ".join(f"({REGISTRY[n].raw_sql})" for n in FINDING_QUERIES)
 
@@ -407,9 +413,8 @@ def _late_registrations():
 
     @query("alr2_findings_for", "ALR-2", _findings_fixtures(), _hot_findings_sql())
     def alr2_findings_for(spark, sf_dir):
-        """Findings of the services whose forecast breaches the threshold (semi join)."""
-        t = Tables(spark, sf_dir)
-        return AL.findings_for(alerts(t), all_findings(spark, sf_dir), service_map(spark))
+        """Findings of the services whose forecast breaches the threshold; only their checks are planned."""
+        return hot_findings(spark, sf_dir)
 
     @query(
         "alr3_report",
@@ -420,9 +425,7 @@ def _late_registrations():
     def alr3_report(spark, sf_dir):
         """Flagship: clean cost -> AR(1) forecasts -> alerts -> every finding of the
         alerting services with its advice question."""
-        t = Tables(spark, sf_dir)
-        hot = AL.findings_for(alerts(t), all_findings(spark, sf_dir), service_map(spark))
-        return AL.report(hot, AL.prompts(spark))
+        return AL.report(hot_findings(spark, sf_dir), AL.prompts(spark))
 
     @query(
         "alr4_first_finding",

@@ -58,3 +58,23 @@ def test_row_ids_are_unique(spark):
 
     rows = _cost_rows(Tables(spark, SMOKE))
     assert rows.select("row_id").distinct().count() == rows.count()
+
+
+def test_alert_job_builds_only_the_alerting_services_checks(spark):
+    t = Tables(spark, SMOKE)
+    fc = spark.createDataFrame([("AmazonEC2", None, 1, 5.0), ("AmazonVPC", None, 1, 1.0)],
+                               "service string, date date, step int, forecast double")
+    th = spark.createDataFrame([("AmazonEC2", 2.0, 1), ("AmazonVPC", 2.0, 1)], "service string, threshold double, run_ts int")
+    called = []
+
+    def build(name, make):
+        return lambda: (called.append(name), make())[1]
+
+    checks = {
+        "AmazonEC2": build("AmazonEC2", lambda: A.old_snapshots(t.snapshots, "2001-08-02", 180)),
+        "AmazonVPC": build("AmazonVPC", lambda: A.unused_addresses(t.addresses)),
+    }
+    rows = alert_job(spark, fc, th, checks).collect()
+    assert called == ["AmazonEC2"] and {r["service"] for r in rows} == {"AmazonEC2"}
+    quiet = th.withColumn("threshold", F.lit(9.0))
+    assert alert_job(spark, fc, quiet, checks).count() == 0 and called == ["AmazonEC2"]
