@@ -71,13 +71,12 @@ class Codec:
 
     def __init__(self, file: bytes):
         import ahocorasick
-        from tokenizers import Tokenizer
 
+        self.file, self._library = file, None
         d = json.loads(file)
         model = d["model"]
         suffix = model["end_of_word_suffix"]
         inner = lambda t: t[: -len(suffix)] + END if t.endswith(suffix) else t
-        self.library = Tokenizer.from_str(file.decode())
         self.letters = byte_letters()
         self.ids = {inner(t): i for t, i in model["vocab"].items()}
         self.special = {t["content"]: t["id"] for t in d["added_tokens"]}
@@ -115,8 +114,17 @@ class Codec:
         self.texts = Table([f"{strings[i]} ".encode() for i in range(len(strings))])
         self.numbers = Table([b"%d " % i for i in range(len(strings))])
         self.memo: dict[str, bytes] = {}
-        self.at_pair = np.full(1 << 21, -1, dtype=np.int64)  # pairs met before, by a hash of the two ids
-        self.fit_pair = np.zeros(1 << 21, dtype=bool)
+        self.at_pair = np.full(1 << 20, -1, dtype=np.int64)  # pairs met before, by a hash of the two ids
+        self.fit_pair = np.zeros(1 << 20, dtype=bool)
+
+    @property
+    def library(self):
+        """The library's tokenizer, loaded when a text needs its normalizer."""
+        if self._library is None:
+            from tokenizers import Tokenizer
+
+            self._library = Tokenizer.from_str(self.file.decode())
+        return self._library
 
     # -- pair compatibility
 
@@ -311,7 +319,7 @@ class Codec:
         at = 0
         while at < len(texts):
             size, end = 0, at
-            while end < len(texts) and (end == at or size + len(texts[end]) <= 1_000_000):
+            while end < len(texts) and (end == at or size + len(texts[end]) <= 500_000):
                 size += len(texts[end])
                 end += 1
             if len(self.memo) > MEMO:
@@ -319,8 +327,8 @@ class Codec:
             cut = [self._cut(t) for t in texts[at:end]]
             new = [w for w in set().union(*[p for c in cut for p in c if isinstance(p, list)]) if w not in self.memo]
             short = [w for w in new if len(w) <= MEMO_WORD]
-            for k in range(0, len(short), 20_000):
-                self.memo.update(zip(short[k : k + 20_000], self.encode_words(short[k : k + 20_000])))
+            for k in range(0, len(short), 4096):
+                self.memo.update(zip(short[k : k + 4096], self.encode_words(short[k : k + 4096])))
             long = [w for w in new if len(w) > MEMO_WORD]
             self.memo.update((w, self.encode_word(w)) for w in long)
             get = self.memo.__getitem__
