@@ -5,12 +5,12 @@ from __future__ import annotations
 import sys
 import types
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from costlens.session import materialize
 
-__all__ = ["materialize", "rename_map", "shuffle_partitions", "table", "worker_cache"]
+__all__ = ["free_name", "materialize", "shuffle_partitions", "table", "text_or_empty", "worker_cache"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,7 +36,7 @@ def worker_cache(kind: str, key, make):
     return held[1]
 
 
-def rename_map(df: DataFrame, taken: set[str], stem: str) -> str:
+def free_name(df: DataFrame, taken: set[str], stem: str) -> str:
     """A column name starting with `stem` that no column of `df` (and none of `taken`) has, in any case."""
     used = {c.lower() for c in df.columns} | {c.lower() for c in taken}
     name = stem
@@ -45,5 +45,5 @@ def rename_map(df: DataFrame, taken: set[str], stem: str) -> str:
     return name
 
 
-def text_or_empty(c) -> F.Column:
+def text_or_empty(c: Column | str) -> Column:
     return F.coalesce(F.col(c).cast("string") if isinstance(c, str) else c.cast("string"), F.lit(""))

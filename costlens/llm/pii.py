@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from costlens.llm.common import rename_map, text_or_empty
+from costlens.llm.common import free_name, text_or_empty
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "iban", "ssn")
@@ -193,7 +193,7 @@ def add_spans(docs: DataFrame, text: str = "text", out: str = "pii") -> DataFram
     keep every confirmed match whatever its score; added kinds need `KEEP`.  A
     null or empty text has no spans.  Spans of different kinds may overlap.
     """
-    names = {k: rename_map(docs, {out}, f"_{k}") for k in KINDS}
+    names = {k: free_name(docs, {out}, f"_{k}") for k in KINDS}
     t = text_or_empty(text)
     pairs = docs.select("*", *[_pairs(t, k).alias(n) for k, n in names.items()])
     spans = F.array_sort(F.concat(*[_spans(F.col(n), k) for k, n in names.items()]))
@@ -235,7 +235,7 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     A null text stays null.
     """
     size = 1024
-    pii, chunks = rename_map(docs, set(), "_pii"), rename_map(docs, set(), "_chunks")
+    pii, chunks = free_name(docs, set(), "_pii"), free_name(docs, set(), "_chunks")
     found = add_spans(docs, text, pii)
     cut = F.regexp_extract_all(text_or_empty(text), F.lit(rf"(?s).{{1,{size}}}"), F.lit(0))
     found = found.withColumn(chunks, F.when(F.size(pii) > 0, cut))
@@ -251,7 +251,7 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
         none = F.array().cast("array<string>")
         return F.greatest(pos, x["end"]), F.when(x["start"] >= pos, out).otherwise(none)
 
-    folded = rename_map(docs, {pii, chunks}, "_folded")
+    folded = free_name(docs, {pii, chunks}, "_folded")
     found = found.withColumn(folded, F.when(F.size(pii) > 0, fold(F.col(pii), "string", step)))
     rest = between(F.col(folded)["pos"], F.length(text_or_empty(text)))
     masked = F.array_join(F.concat(F.col(folded)["out"], F.array(rest)), "")

@@ -115,7 +115,7 @@ def moved_share(sharded: DataFrame) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 24, key: str = "doc_id", files_per_shard: int = 1) -> None:
-    """Write `docs` under `path`/shard=N; each shard is spread over `files_per_shard` tasks."""
+    """Write `docs` under `path`/shard=N; each shard is spread over `files_per_shard` tasks by input partition."""
     keyed = docs.withColumn("shard", jump_shards(F.xxhash64(F.col(key)), [shards])[0])
-    salt = (F.rand(7) * files_per_shard).cast("int")
+    salt = F.spark_partition_id() % files_per_shard
     keyed.repartition(shards * files_per_shard, "shard", salt).write.partitionBy("shard").mode("error").parquet(path)

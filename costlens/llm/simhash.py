@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from costlens.llm.common import materialize, rename_map, shuffle_partitions
+from costlens.llm.common import materialize, free_name, shuffle_partitions
 from costlens.llm.components import components
 
 BYTES = 8
@@ -256,7 +256,7 @@ def drop_near_duplicates(
     # A key stays if it names its component; with several rows, if one of them does.
     ids = found.join(classes.where("component_id is not null"), "fp").where("key = component_id").select("key").distinct()
     kept = materialize(ids.join(named.select("key", "n"), "key"))
-    mark = rename_map(docs, set(), "_kept")
+    mark = free_name(docs, set(), "_kept")
     one = kept.where("n = 1").select(F.col("key").alias(mark))
     out = docs.join(one, docs[key] == one[mark], "left_semi")
     several = kept.where("n > 1").select(F.col("key").alias(mark))
@@ -265,7 +265,7 @@ def drop_near_duplicates(
         out = out.union(_one_each(rows, F.col(key), docs.columns))
     unnamed = classes.where("component_id is null").select("fp", "root")
     if not unnamed.isEmpty():
-        root = rename_map(docs, {mark}, "_root")
+        root = free_name(docs, {mark}, "_root")
         rows = _with_fingerprint(docs.where(F.col(key).isNull()), text, mark, words)
         rows = rows.join(unnamed.select(F.col("fp").alias(mark), F.col("root").alias(root)), mark)
         out = out.union(_one_each(rows, F.col(root), docs.columns))
