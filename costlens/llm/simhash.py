@@ -247,8 +247,9 @@ def drop_near_duplicates(
 ) -> DataFrame:
     """One row of `docs` for each component: that with the least key; same columns.
 
-    Of rows that repeat that key any one stays.  Rows with a null key stay only
-    where their component has no other key, one for each component.
+    A key that repeats names every component it is the least of; of the rows
+    that repeat it within one component any one stays.  Rows with a null key
+    stay only where their component has no other key, one for each component.
     """
     found = materialize(fingerprints(docs, key, text, words))
     classes = near_classes(found, bits)
@@ -261,8 +262,11 @@ def drop_near_duplicates(
     out = docs.join(one, docs[key] == one[mark], "left_semi")
     several = kept.where("n > 1").select(F.col("key").alias(mark))
     if not several.isEmpty():
+        fp, root, name = (free_name(docs, {mark}, stem) for stem in ("_fp", "_root", "_name"))
         rows = docs.join(several, docs[key] == several[mark], "left_semi")
-        out = out.union(_one_each(rows, F.col(key), docs.columns))
+        least = classes.select(F.col("fp").alias(fp), F.col("root").alias(root), F.col("component_id").alias(name))
+        rows = _with_fingerprint(rows, text, fp, words).join(least, fp).where(F.col(key) == F.col(name))
+        out = out.union(_one_each(rows, F.col(root), docs.columns))
     unnamed = classes.where("component_id is null").select("fp", "root")
     if not unnamed.isEmpty():
         root = free_name(docs, {mark}, "_root")

@@ -91,6 +91,18 @@ def test_rows(odd_rows, no_rows):
     assert S.simhash_duplicates(no_rows).count() == 0 and S.drop_near_duplicates(no_rows).count() == 0
 
 
+def test_repeated_key_keeps_every_component(spark):
+    random.seed(4)
+    texts = [" ".join(random.choices([f"w{i}" for i in range(300)], k=80)) for _ in range(6)]
+    # key 1 is the least of texts 0 to 3, and repeats there; text 4 is also under 0, which names it
+    rows = [(1, texts[0]), (1, texts[1]), (1, texts[1]), (1, texts[2]), (5, texts[2]), (1, texts[3]), (1, texts[4])]
+    rows += [(0, texts[4]), (7, texts[5])]
+    kept = S.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(tuple(r) for r in kept.collect()) == sorted(
+        [(1, texts[0]), (1, texts[1]), (1, texts[2]), (1, texts[3]), (0, texts[4]), (7, texts[5])]
+    )
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 60)] + [(7, 7), (None, 3), (41, 40)]
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
