@@ -1,10 +1,10 @@
 """Operator 2: personal data, in DataFrame functions only.
 
 Regular expressions propose spans, checksums (Luhn, mod 97) and ranges confirm
-them, and words just before a span raise or lower its score.  Matches of a
-pattern are found once per text: `split` gives the gaps and
-`regexp_extract_all` the matches between them, so a running sum of lengths
-gives every start and end in code points.
+them, and words near a span raise or lower its score.  Matches of a pattern
+are found once per text: `split` gives the gaps and `regexp_extract_all` the
+matches between them, so a running sum of lengths gives every start and end in
+code points.
 
 The patterns run in linear time on long runs: loops are possessive, and an
 attempt begins only where a run begins or the last match ended.
@@ -20,7 +20,7 @@ from costlens.llm.common import free_name, text_or_empty
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "iban", "ssn")
 KEEP = 0.5  # spans of the added kinds below this score are dropped
-NEAR = 40  # code points before a span that are read for context words
+NEAR = 40  # code points before and after a span that are read for context words
 
 _LOCAL = "A-Za-z0-9._%+-"
 PATTERNS = {
@@ -44,6 +44,8 @@ WORDS_FOR = {
     "iban": r"\b(?:iban|account|bank|transfer)\b",
     "ssn": r"\b(?:ssn|social security|tax id)\b",
 }
+#: What may stand between the numbers of a list, which share their context words.
+LISTED = r"(?i)^[\s,;:/|&+*.-]*(?:(?:and|or)\b[\s,;:/|&+*.-]*)?$"
 WORDS_AGAINST = r"\b(?:version|release|isbn|order|invoice|model|serial)\b"
 
 # Lengths of international bank account numbers by country.
@@ -114,12 +116,14 @@ def _checked(kind: str, hit: Column) -> tuple[Column, Column]:
     return F.lit(True), whole
 
 
-def fold(items: Column, kind: str, step) -> Column:
+def fold(items: Column, kind: str, step, start: Column | None = None) -> Column:
     """struct<pos, out>: runs `step(pos, item) -> (pos, array of results)` over an array column, results end to end.
 
-    `items` must be a plain column.  Groups of 512 items are folded one by one
-    and joined at the end, so that no long array is copied for every item.
+    `items` must be a plain column; pos begins as `start`, or 0.  Groups of 512
+    items are folded one by one and joined at the end, so that no long array is
+    copied for every item.
     """
+    start = F.lit(0) if start is None else start
     size = 512
     none = F.array().cast(f"array<{kind}>")
 
@@ -137,14 +141,14 @@ def fold(items: Column, kind: str, step) -> Column:
 
     last = F.floor((F.size(items) - 1) / size).cast("int")
     groups = F.transform(F.sequence(F.lit(0), last), lambda g: F.slice(items, g * size + 1, F.lit(size)))
-    zero = F.struct(F.lit(0).alias("pos"), F.array().cast(f"array<array<{kind}>>").alias("out"))
+    zero = F.struct(start.alias("pos"), F.array().cast(f"array<array<{kind}>>").alias("out"))
     done = F.aggregate(
         F.when(F.size(items) > 0, groups),
         zero,
         group,
         lambda s: F.struct(s["pos"].alias("pos"), F.flatten(s["out"]).alias("out")),
     )
-    return F.coalesce(done, F.struct(F.lit(0).alias("pos"), none.alias("out")))
+    return F.coalesce(done, F.struct(start.alias("pos"), none.alias("out")))
 
 
 def _pairs(text: Column, kind: str) -> Column:
@@ -159,19 +163,41 @@ def _pairs(text: Column, kind: str) -> Column:
     ).otherwise(F.array().cast("array<struct<gap:string,hit:string>>"))
 
 
-def _spans(pairs: Column, kind: str) -> Column:
-    """array<span> of one kind."""
+def _near(pairs: Column, kind: str, after: bool) -> Column:
+    """array<boolean>: whether a context word for `kind` is near each match of a plain column of pairs, on one side.
+
+    `after` says which side, and the pairs come last to first for it.  The text
+    of that side is read whatever matched there.  The numbers of a list, with
+    no more than separators between them, share the words of its first and last.
+    """
+    state = F.struct(F.lit("").alias("side"), F.lit("").alias("gap"), F.lit(False).alias("near"))
+
+    def step(s: Column, x: Column) -> tuple[Column, Column]:
+        gap, hit = x["gap"], F.coalesce(x["hit"], F.lit(""))
+        side = s["side"] if after else F.right(F.concat(s["side"], gap), F.lit(NEAR))
+        listed = (s["gap"] if after else gap).rlike(LISTED)
+        near = F.lower(side).rlike(WORDS_FOR[kind]) | (s["near"] & listed)
+        side = F.left(F.concat(gap, hit, side), F.lit(NEAR)) if after else F.concat(side, hit)
+        near = F.when(x["hit"].isNull(), False).otherwise(near)
+        return F.struct(side.alias("side"), gap.alias("gap"), near.alias("near")), F.array(near)
+
+    return fold(pairs, "boolean", step, state)["out"]
+
+
+def _spans(items: Column, kind: str) -> Column:
+    """array<span> of one kind from array<struct<gap, hit, before, after>>."""
     none = F.array().cast(f"array<{_SPAN}>")
     rank = KINDS.index(kind) + 1
 
     def step(pos: Column, x: Column) -> tuple[Column, Column]:
         start = pos + F.length(x["gap"])
         good, length = _checked(kind, x["hit"])
-        before = F.lower(F.right(x["gap"], F.lit(NEAR)))
+        # Words against are read since the last match only, as they speak of one number.
+        against = F.lower(F.right(x["gap"], F.lit(NEAR))).rlike(WORDS_AGAINST)
         score = (
             F.lit(PRIOR[kind])
-            + F.when(before.rlike(WORDS_FOR[kind]), 0.3).otherwise(0.0)
-            - F.when(before.rlike(WORDS_AGAINST), 0.2).otherwise(0.0)
+            + F.when(x["before"] | x["after"], 0.3).otherwise(0.0)
+            - F.when(against, 0.2).otherwise(0.0)
         )
         score = F.round(F.least(F.lit(1.0), score), 2)
         if kind not in BASE:
@@ -183,7 +209,7 @@ def _spans(pairs: Column, kind: str) -> Column:
         good = F.when(x["hit"].isNull(), False).otherwise(good)
         return start + F.coalesce(F.length(x["hit"]), F.lit(0)), F.when(good, F.array(span)).otherwise(none)
 
-    return fold(pairs, _SPAN, step)["out"]
+    return fold(items, _SPAN, step)["out"]
 
 
 def add_spans(docs: DataFrame, text: str = "text", out: str = "pii") -> DataFrame:
@@ -196,6 +222,28 @@ def add_spans(docs: DataFrame, text: str = "text", out: str = "pii") -> DataFram
     names = {k: free_name(docs, {out}, f"_{k}") for k in KINDS}
     t = text_or_empty(text)
     pairs = docs.select("*", *[_pairs(t, k).alias(n) for k, n in names.items()])
+    taken = {out, *names.values()}
+    back, before, after = ({k: free_name(docs, taken, f"_{k}_{side}") for k in KINDS} for side in ("back", "before", "after"))
+    pairs = pairs.select("*", *[F.reverse(F.col(n)).alias(back[k]) for k, n in names.items()])
+    pairs = pairs.select(
+        "*",
+        *[_near(F.col(n), k, False).alias(before[k]) for k, n in names.items()],
+        *[F.reverse(_near(F.col(back[k]), k, True)).alias(after[k]) for k in KINDS],
+    )
+
+    def with_sides(k: str) -> Column:
+        # zip_with takes whole columns: one named in a lambda may be computed anew for every item
+        sides = F.zip_with(before[k], after[k], lambda b, a: F.struct(b.alias("before"), a.alias("after")))
+        return F.zip_with(
+            names[k],
+            sides,
+            lambda x, s: F.struct(
+                x["gap"].alias("gap"), x["hit"].alias("hit"), s["before"].alias("before"), s["after"].alias("after")
+            ),
+        )
+
+    # The items take the pairs' columns.
+    pairs = pairs.withColumns({n: with_sides(k) for k, n in names.items()})
     spans = F.array_sort(F.concat(*[_spans(F.col(n), k) for k, n in names.items()]))
     return pairs.select(*[F.col(f"`{c}`") for c in docs.columns], spans.alias(out))
 

@@ -74,6 +74,27 @@ def test_added_kinds(spark):
     assert got[5].spans == "email:9:17" and got[5].pii[0].score == 1.0
 
 
+def test_context_of_lists_and_words_after(spark):
+    many = [f"{100 + i}-45-6789" for i in range(30)]
+    rows = [
+        (1, "ssn: 123-45-6789, 234-56-7890"),
+        (2, "123-45-6789 (SSN)"),
+        (3, "ssn " + ", ".join(many)),
+        (4, " and ".join(many) + " are social security numbers"),
+        (5, "part 123-45-6789, 234-56-7890"),
+        (6, "ssn 123-45-6789; " + "of a long way off " * 3 + "234-56-7890"),
+        (7, "ssn 123-45-6789, order 5, ssn 234-56-7890"),
+        (8, "order 123-45-6789 ssn 234-56-7890"),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in redact(df).collect()}
+    assert got[1] == "ssn: [SSN], [SSN]" and got[2] == "[SSN] (SSN)"
+    assert got[3] == "ssn " + ", ".join(["[SSN]"] * 30)
+    assert got[4] == " and ".join(["[SSN]"] * 30) + " are social security numbers"
+    assert got[5] == rows[4][1] and got[6] == rows[5][1].replace("123-45-6789", "[SSN]")
+    assert got[8].endswith(" ssn [SSN]")
+
+
 def test_many_spans_and_long_runs(spark):
     rows = [(1, "10.0.0.1 " * 3000), (2, "a" * 200_000), (3, "1" * 200_000), (4, "+" + ". " * 100_000), (5, "a." * 100_000)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
