@@ -22,6 +22,22 @@ KINDS = (*BASE, "iban", "ssn")
 KEEP = 0.5  # spans of the added kinds below this score are dropped
 NEAR = 40  # code points before and after a span that are read for context words
 
+# Lengths of international bank account numbers by country (the IBAN registry).
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BI": 27,
+    "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DJ": 27, "DK": 18, "DO": 28,
+    "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FK": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23,
+    "GL": 18, "GR": 27, "GT": 28, "HN": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26,
+    "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20, "LV": 21,
+    "LY": 25, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MN": 20, "MR": 27, "MT": 31, "MU": 30, "NI": 28,
+    "NL": 18, "NO": 15, "OM": 23, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22,
+    "RU": 33, "SA": 24, "SC": 31, "SD": 18, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "SO": 23, "ST": 25,
+    "SV": 28, "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20, "YE": 30,
+}
+_IBAN = "|".join(
+    rf"(?:{'|'.join(c for c, n in IBAN_LENGTHS.items() if n == length)})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{length - 4}}}"
+    for length in sorted(set(IBAN_LENGTHS.values()))
+)
 _LOCAL = "A-Za-z0-9._%+-"
 PATTERNS = {
     "email": rf"(?:\G|(?<![{_LOCAL}]))[{_LOCAL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -29,7 +45,8 @@ PATTERNS = {
     # runs of fewer than 12 digits can't be cards and are not listed
     "card": r"[0-9](?:[\x20-]?[0-9]){11,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}",
+    # the country code alone is taken, with the whole number ahead as group 1: a wrong one can't hide the next
+    "iban": rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?=({_IBAN}))[A-Z]{{2}}",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
 }
 #: A cheap test that a text may hold the kind at all.
@@ -48,14 +65,6 @@ WORDS_FOR = {
 LISTED = r"(?i)^[\s,;:/|&+*.-]*(?:(?:and|or)\b[\s,;:/|&+*.-]*)?$"
 WORDS_AGAINST = r"\b(?:version|release|isbn|order|invoice|model|serial)\b"
 
-# Lengths of international bank account numbers by country.
-IBAN_LENGTHS = {
-    "AD": 24, "AE": 23, "AT": 20, "BE": 16, "BG": 22, "CH": 21, "CY": 28, "CZ": 24, "DE": 22, "DK": 18,
-    "EE": 20, "ES": 24, "FI": 18, "FR": 27, "GB": 22, "GR": 27, "HR": 21, "HU": 28, "IE": 22, "IL": 23,
-    "IS": 26, "IT": 27, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "MC": 27, "MT": 31, "NL": 18, "NO": 15,
-    "PL": 28, "PT": 25, "RO": 24, "SA": 24, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "TR": 26, "UA": 29,
-}
-
 _SPAN = "struct<start:int,rank:int,end:int,kind:string,score:double>"
 
 
@@ -86,34 +95,26 @@ def mod97(account: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(turned)), F.lit(0), add) == 1
 
 
-def _iban_end(hit: Column) -> Column:
-    """Code points of `hit` that hold as many letters and digits as its country's numbers have; null if too few."""
-    lengths = F.create_map(*[F.lit(x) for pair in IBAN_LENGTHS.items() for x in pair])
-    want = F.try_element_at(lengths, F.substring(hit, F.lit(1), F.lit(2)))
-    full = F.filter(
-        F.sequence(F.lit(1), F.length(hit)), lambda i: F.length(F.replace(F.substring(hit, F.lit(1), i), F.lit(" "))) == want
-    )
-    return F.try_element_at(full, F.lit(1))
+def _taken(kind: str, hit: Column) -> Column:
+    """How many code points of a hit the search has gone on by."""
+    return F.lit(2) if kind == "iban" else F.length(hit)
 
 
-def _checked(kind: str, hit: Column) -> tuple[Column, Column]:
-    """(confirmed, length in code points) of a proposed span."""
-    whole = F.length(hit)
+def _checked(kind: str, hit: Column) -> Column:
+    """Whether a proposed span is confirmed."""
     if kind == "ip":
         part = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
-        return hit.rlike(rf"^{part}(?:\.{part}){{3}}$"), whole
+        return hit.rlike(rf"^{part}(?:\.{part}){{3}}$")
     if kind == "card":
         digits = _digits(hit)
-        return F.when(F.length(digits).between(12, 19), luhn(digits)).otherwise(False), whole
+        return F.when(F.length(digits).between(12, 19), luhn(digits)).otherwise(False)
     if kind == "phone":
-        return F.length(_digits(hit)).between(9, 15), whole
+        return F.length(_digits(hit)).between(9, 15)
     if kind == "iban":
-        end = _iban_end(hit)
-        number = F.replace(F.substring(hit, F.lit(1), end), F.lit(" "))
-        return F.when(end.isNotNull(), mod97(number)).otherwise(False), F.coalesce(end, whole)
+        return mod97(F.replace(hit, F.lit(" ")))
     if kind == "ssn":
-        return ~hit.rlike("^(?:000|666|9)") & ~hit.rlike("-00-|-0000$"), whole
-    return F.lit(True), whole
+        return ~hit.rlike("^(?:000|666|9)") & ~hit.rlike("-00-|-0000$")
+    return F.lit(True)
 
 
 def fold(items: Column, kind: str, step, start: Column | None = None) -> Column:
@@ -153,12 +154,12 @@ def fold(items: Column, kind: str, step, start: Column | None = None) -> Column:
 
 def _pairs(text: Column, kind: str) -> Column:
     """array<struct<gap, hit>> of one kind: each match after the text before it; a last gap without a match."""
-    pattern = PATTERNS[kind]
+    pattern, group = PATTERNS[kind], int(kind == "iban")
     may = F.contains(text, F.lit(_MAY_HOLD[kind])) if kind in _MAY_HOLD else F.lit(True)
     return F.when(
         may & text.rlike(pattern),
         F.arrays_zip(
-            F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit")
+            F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("hit")
         ),
     ).otherwise(F.array().cast("array<struct<gap:string,hit:string>>"))
 
@@ -170,16 +171,25 @@ def _near(pairs: Column, kind: str, after: bool) -> Column:
     of that side is read whatever matched there.  The numbers of a list, with
     no more than separators between them, share the words of its first and last.
     """
-    state = F.struct(F.lit("").alias("side"), F.lit("").alias("gap"), F.lit(False).alias("near"))
+    state = F.struct(
+        F.lit("").alias("side"), F.lit("").alias("gap"), F.lit(0).alias("over"), F.lit(False).alias("near")
+    )
+    reach = NEAR + max(IBAN_LENGTHS.values()) * 2  # a hit may go on in the gap after it
 
     def step(s: Column, x: Column) -> tuple[Column, Column]:
         gap, hit = x["gap"], F.coalesce(x["hit"], F.lit(""))
-        side = s["side"] if after else F.right(F.concat(s["side"], gap), F.lit(NEAR))
-        listed = (s["gap"] if after else gap).rlike(LISTED)
+        taken = F.substring(hit, F.lit(1), _taken(kind, hit))
+        over = F.length(hit) - F.length(taken)
+        if after:
+            side, between = F.substring(s["side"], over + 1, F.lit(NEAR)), F.substring(s["gap"], over + 1, F.length(s["gap"]))
+        else:
+            side = F.right(F.concat(s["side"], gap), F.lit(NEAR))
+            between = F.substring(gap, s["over"] + 1, F.length(gap))
+        listed = between.rlike(LISTED)
         near = F.lower(side).rlike(WORDS_FOR[kind]) | (s["near"] & listed)
-        side = F.left(F.concat(gap, hit, side), F.lit(NEAR)) if after else F.concat(side, hit)
+        side = F.left(F.concat(gap, taken, s["side"]), F.lit(reach)) if after else F.concat(side, taken)
         near = F.when(x["hit"].isNull(), False).otherwise(near)
-        return F.struct(side.alias("side"), gap.alias("gap"), near.alias("near")), F.array(near)
+        return F.struct(side.alias("side"), gap.alias("gap"), over.alias("over"), near.alias("near")), F.array(near)
 
     return fold(pairs, "boolean", step, state)["out"]
 
@@ -189,9 +199,10 @@ def _spans(items: Column, kind: str) -> Column:
     none = F.array().cast(f"array<{_SPAN}>")
     rank = KINDS.index(kind) + 1
 
-    def step(pos: Column, x: Column) -> tuple[Column, Column]:
-        start = pos + F.length(x["gap"])
-        good, length = _checked(kind, x["hit"])
+    def step(s: Column, x: Column) -> tuple[Column, Column]:
+        start = s["at"] + F.length(x["gap"])
+        end = start + F.length(x["hit"])
+        good = _checked(kind, x["hit"]) & (start >= s["end"])
         # Words against are read since the last match only, as they speak of one number.
         against = F.lower(F.right(x["gap"], F.lit(NEAR))).rlike(WORDS_AGAINST)
         score = (
@@ -203,13 +214,15 @@ def _spans(items: Column, kind: str) -> Column:
         if kind not in BASE:
             good = good & (score >= KEEP)
         span = F.struct(
-            start.alias("start"), F.lit(rank).alias("rank"), (start + length).alias("end"), F.lit(kind).alias("kind"),
+            start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"),
             score.alias("score"),
         )
         good = F.when(x["hit"].isNull(), False).otherwise(good)
-        return start + F.coalesce(F.length(x["hit"]), F.lit(0)), F.when(good, F.array(span)).otherwise(none)
+        at = start + F.coalesce(_taken(kind, x["hit"]), F.lit(0))
+        state = F.struct(at.alias("at"), F.when(good, end).otherwise(s["end"]).alias("end"))
+        return state, F.when(good, F.array(span)).otherwise(none)
 
-    return fold(items, _SPAN, step)["out"]
+    return fold(items, _SPAN, step, F.struct(F.lit(0).alias("at"), F.lit(0).alias("end")))["out"]
 
 
 def add_spans(docs: DataFrame, text: str = "text", out: str = "pii") -> DataFrame:

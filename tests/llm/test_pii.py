@@ -2,7 +2,7 @@ import hashlib
 import random
 import re
 
-from costlens.llm.pii import find_pii, redact
+from costlens.llm.pii import IBAN_LENGTHS, find_pii, redact
 
 
 def luhn(d):
@@ -95,6 +95,26 @@ def test_context_of_lists_and_words_after(spark):
     assert got[8].endswith(" ssn [SSN]")
 
 
+def iban(country, rest):
+    """An account number with right check digits, in groups of four."""
+    code = "".join(str(int(c, 36)) for c in rest + country + "00")
+    whole = f"{country}{98 - int(code) % 97:02d}{rest}"
+    return " ".join(whole[i : i + 4] for i in range(0, len(whole), 4))
+
+
+def test_accounts_end_where_they_end(spark):
+    de, gb = "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32"
+    rows = [(1, f"{de} {gb}"), (2, f"AB12 {de}"), (3, f"FR12 {de} A {gb} THE END"), (4, f"{gb}, {de}, {gb} and {de}")]
+    rest = {c: ("1234567890" * 4)[: n - 4] for c, n in IBAN_LENGTHS.items()}
+    rows += [(5, " ".join(iban(c, r) for c, r in rest.items())), (6, "DE88 3704 0044 0532 0130 00 DE89")]
+    got = {r.doc_id: r.text for r in redact(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == "[IBAN] [IBAN]" and got[2] == "AB12 [IBAN]" and got[3] == "FR12 [IBAN] A [IBAN] THE END"
+    assert got[4] == "[IBAN], [IBAN], [IBAN] and [IBAN]" and got[6] == rows[5][1]
+    found = find_pii(spark.createDataFrame(rows[4:5], "doc_id long, text string")).first()
+    assert sum(s.kind == "iban" for s in found.pii) == len(IBAN_LENGTHS)
+    assert {"BR", "PK", "RS", "QA", "EG", "KZ", "JO"} <= set(IBAN_LENGTHS)
+
+
 def test_many_spans_and_long_runs(spark):
     rows = [(1, "10.0.0.1 " * 3000), (2, "a" * 200_000), (3, "1" * 200_000), (4, "+" + ". " * 100_000), (5, "a." * 100_000)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
