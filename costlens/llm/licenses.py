@@ -5,6 +5,10 @@ alignment; the longest increasing subsequence of the anchors is kept, and the
 gaps between them are aligned in the same way, where other words are unique.
 Coverage is the share of the template's words that are aligned.
 
+The words of a template in braces name the license and its version.  All of
+them must be aligned besides, and those of one brace next to each other, so
+that a neighbour (LGPL for GPL, another version) is not taken for it.
+
 Where a template may be at all is settled first, without loss: a stretch with
 enough coverage holds at least one of any set of template words that is too
 large to be missed whole, so only the surroundings of that set's occurrences
@@ -24,24 +28,24 @@ from pyspark.sql import types as T
 
 # Notices and headers of common licenses.
 TEMPLATES = {
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
+    "GPL-3.0": "This work is licensed under the {GNU General Public License}, version {3}.",
     "GPL-3.0-header": (
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General "
-        "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your "
+        "This program is free software: you can redistribute it and/or modify it under the terms of the {GNU General "
+        "Public License} as published by the Free Software Foundation, either version {3} of the License, or (at your "
         "option) any later version."
     ),
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "MIT": "Released under the MIT License.",
+    "CC-BY-NC-4.0": "Licensed under {CC BY-NC 4.0}.",
+    "MIT": "Released under the {MIT} License.",
     "MIT-text": (
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
         'documentation files (the "Software"), to deal in the Software without restriction, including without '
         "limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of "
-        "the Software, and to permit persons to whom the Software is furnished to do so, subject to the following "
-        "conditions:"
+        "the Software, and to permit persons to whom the Software is furnished to do so, {subject to the following "
+        "conditions}:"
     ),
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
+    "Apache-2.0": "Licensed under the {Apache License}, Version {2.0}.",
     "Apache-2.0-header": (
-        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in '
+        'Licensed under the {Apache License}, Version {2.0} (the "License"); you may not use this file except in '
         "compliance with the License. You may obtain a copy of the License at "
         "http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, "
         'software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS '
@@ -50,6 +54,7 @@ TEMPLATES = {
     "All-rights-reserved": "All rights reserved.",
 }
 MIN_COVERAGE = 0.8
+FORM = re.compile("-(?:header|text|title)$")
 WORD = re.compile(r"[a-z0-9]+(?:[.\-][a-z0-9]+)*")
 
 
@@ -112,6 +117,14 @@ class Template:
         self.spare = len(self.words) - self.need
         count = Counter(self.words)
         self.count = count
+        # Places of the words in braces, brace by brace.
+        self.marked, n = [], 0
+        for k, piece in enumerate(re.split("[{}]", text)):
+            more = len(words(piece))
+            if k % 2:
+                self.marked.append(range(n, n + more))
+            n += more
+        self.names = sorted({self.words[i] for m in self.marked for i in m}, key=lambda w: (-len(w), w))
         # Longest words whose occurrences can't all be missing.
         self.keys, missing = [], 0
         for w in sorted(count, key=lambda w: (-len(w), w)):
@@ -123,11 +136,14 @@ class Template:
     def windows(self, text: list[str], at: dict[str, list[int]]) -> list[tuple[int, int]]:
         """Stretches of the text that may hold the template: around the rarest words that can't all be missing."""
         missing, places = 0, []
-        for w in sorted(self.count, key=lambda w: (len(at.get(w, ())), w)):
-            places += at.get(w, ())
-            missing += self.count[w]
-            if missing > self.spare:
-                break
+        if self.names:  # none of them may be missing
+            places = min((at.get(w, []) for w in self.names), key=len)
+        else:
+            for w in sorted(self.count, key=lambda w: (len(at.get(w, ())), w)):
+                places += at.get(w, ())
+                missing += self.count[w]
+                if missing > self.spare:
+                    break
         reach = len(self.words) + self.spare
         out: list[tuple[int, int]] = []
         for p in sorted(places):
@@ -157,18 +173,29 @@ class Template:
     def _from(self, text: list[str], lo: int, end: int) -> tuple[int, int, float] | None:
         """The alignment of the stretch that begins at `lo`, if it covers enough."""
         part = text[lo : min(end, lo + len(self.words) + self.spare)]
+        here = set(part)
+        if any(w not in here for w in self.names):
+            return None
         if sum((Counter(part) & self.count).values()) < self.need:
             return None
         pairs = align(part, self.words)
-        if len(pairs) < self.need:
+        if len(pairs) < self.need or not self._named(pairs):
             return None
         return lo + pairs[0][0], lo + pairs[-1][0] + 1, len(pairs) / len(self.words)
 
 
+    def _named(self, pairs: list[tuple[int, int]]) -> bool:
+        """Whether the words of each brace are aligned, side by side in the text."""
+        place = {j: i for i, j in pairs}
+        return all(
+            m[0] in place and all(place.get(j) == place[m[0]] + j - m[0] for j in m) for m in self.marked
+        )
+
+
 def scan(text: str, templates: list[Template]) -> list[tuple[str, int, int, float]]:
     """(license, start, end, coverage) of the notices in a whole text, in code points, by place."""
     low = text.lower()
-    some = [t for t in templates if any(k in low for k in t.keys)]
+    some = [t for t in templates if all(k in low for k in t.names) and any(k in low for k in t.keys)]
     if not some:
         return []
     wanted = set().union(*(t.count for t in some))
@@ -179,13 +206,17 @@ def scan(text: str, templates: list[Template]) -> list[tuple[str, int, int, floa
         if x in wanted:
             at.setdefault(x, []).append(i)
     found = [
-        (t.name, spans[a][0], spans[b - 1][1], cover) for t in some for a, b, cover in t.find(w, at)
-    ]
-    # a notice inside a longer one of another license is part of that one
-    out = [
-        f for f in found
-        if not any(g is not f and g[1] <= f[1] and f[2] <= g[2] and g[2] - g[1] > f[2] - f[1] for g in found)
+        (t.name, spans[a][0], spans[b - 1][1], cover, round(cover * len(t.words)))
+        for t in some for a, b, cover in t.find(w, at)
     ]
+    def part_of(f, g) -> bool:
+        """Whether `f` goes with `g`: it lies inside, or both are forms of one license that overlap and `g` fits better."""
+        if g[1] <= f[1] and f[2] <= g[2]:
+            return (g[2] - g[1], g[4]) > (f[2] - f[1], f[4])
+        apart = g[1] >= f[2] or f[1] >= g[2] or f[1] <= g[1] and g[2] <= f[2]
+        return not apart and FORM.sub("", f[0]) == FORM.sub("", g[0]) and (g[3], g[4]) > (f[3], f[4])
+
+    out = [f[:4] for f in found if not any(part_of(f, g) for g in found)]
     return sorted(out, key=lambda f: (f[1], f[0]))
 
 

@@ -53,6 +53,22 @@ def test_changed_notice_and_coverage():
     assert [n for n, *_ in L.scan(twice, READY)] == ["MIT", "MIT"]
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        "Released under the BSD License.",
+        "Licensed under CC BY 4.0.",
+        "Licensed under CC BY-SA 4.0.",
+        "Licensed under the Mozilla Public License, Version 2.0.",
+        "This work is licensed under the GNU General Public License, version 2.",
+        "This work is licensed under the GNU Lesser General Public License, version 3.",
+    ],
+)
+def test_neighbours_are_not_taken_for_these(text):
+    own = [t for t in READY if t.name in ("GPL-3.0", "GPL-3.0-header", "CC-BY-NC-4.0", "MIT", "MIT-text", "Apache-2.0")]
+    assert L.scan(text, own) == [] and L.scan(f"before {text.upper()} after", own) == []
+
+
 def test_rows(odd_rows, no_rows, spark):
     got = L.scan_licenses(odd_rows).collect()
     assert len(got) == odd_rows.count() and all((r.n_notices, r.best, r.coverage) == (0, None, 0.0) for r in got)
