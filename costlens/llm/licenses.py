@@ -53,6 +53,84 @@ TEMPLATES = {
     ),
     "All-rights-reserved": "All rights reserved.",
 }
+# The other licenses' short notices, headers and the openings of their texts.
+for _name, _words, _version in (
+    ("GPL-2.0", "GNU General Public License", "2"),
+    ("LGPL-2.1", "GNU Lesser General Public License", "2.1"),
+    ("LGPL-3.0", "GNU Lesser General Public License", "3"),
+    ("AGPL-3.0", "GNU Affero General Public License", "3"),
+):
+    TEMPLATES[_name] = f"This work is licensed under the {{{_words}}}, version {{{_version}}}."
+    TEMPLATES[f"{_name}-header"] = TEMPLATES["GPL-3.0-header"].replace("GNU General Public License", _words).replace(
+        "{3}", f"{{{_version}}}"
+    )
+for _name, _words, _version, _date in (
+    ("GPL-2.0", "GNU General Public License", "2", "June 1991"),
+    ("GPL-3.0", "GNU General Public License", "3", "29 June 2007"),
+    ("LGPL-2.1", "GNU Lesser General Public License", "2.1", "February 1999"),
+    ("LGPL-3.0", "GNU Lesser General Public License", "3", "29 June 2007"),
+    ("AGPL-3.0", "GNU Affero General Public License", "3", "19 November 2007"),
+):
+    TEMPLATES[f"{_name}-title"] = f"{{{_words}}} Version {{{_version}}}, {_date}"
+for _name, _words in (("BSD", "BSD"), ("BSD-2-Clause", "BSD 2-Clause"), ("BSD-3-Clause", "BSD 3-Clause"), ("ISC", "ISC")):
+    TEMPLATES[_name] = f"Released under the {{{_words}}} License."
+for _name, _words, _version in (
+    ("MPL-1.1", "Mozilla Public License", "1.1"),
+    ("MPL-2.0", "Mozilla Public License", "2.0"),
+    ("EPL-1.0", "Eclipse Public License", "1.0"),
+    ("EPL-2.0", "Eclipse Public License", "2.0"),
+):
+    TEMPLATES[_name] = f"Licensed under the {{{_words}}}, Version {{{_version}}}."
+for _short, _long in (
+    ("BY", "Attribution"),
+    ("BY-SA", "Attribution-ShareAlike"),
+    ("BY-ND", "Attribution-NoDerivatives"),
+    ("BY-NC", "Attribution-NonCommercial"),
+    ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"),
+    ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"),
+):
+    TEMPLATES[f"CC-{_short}-4.0"] = f"Licensed under {{CC {_short} 4.0}}."
+    TEMPLATES[f"CC-{_short}-3.0"] = f"Licensed under {{CC {_short} 3.0}}."
+    TEMPLATES[f"CC-{_short}-4.0-header"] = (
+        f"This work is licensed under a {{Creative Commons {_long} 4.0}} International License."
+    )
+_BSD_2 = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+    "following conditions are met: {Redistributions of source code must retain the above copyright notice}, this list "
+    "of conditions and the following disclaimer. {Redistributions in binary form must reproduce the above copyright "
+    "notice}, this list of conditions and the following disclaimer in the documentation and/or other materials "
+    "provided with the distribution."
+)
+TEMPLATES |= {
+    "BSD-2-Clause-text": _BSD_2,
+    "BSD-3-Clause-text": (
+        f"{_BSD_2} {{Neither the name of}} the copyright holder nor the names of its contributors may be used to "
+        "endorse or promote products derived from this software without specific prior written permission."
+    ),
+    "ISC-text": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is "
+        "hereby granted, {provided that the above copyright notice and this permission notice appear in all copies}."
+    ),
+    "MPL-2.0-header": (
+        "This Source Code Form is subject to the terms of the {Mozilla Public License}, v. {2.0}. If a copy of the "
+        "MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."
+    ),
+    "EPL-2.0-header": (
+        "This program and the accompanying materials are made available under the terms of the {Eclipse Public "
+        "License} {2.0} which is available at"
+    ),
+    "CC0-1.0": "Licensed under {CC0 1.0}.",
+    "CC0-1.0-text": "{Creative Commons CC0 1.0} Universal",
+    "Unlicense": "Released under the {Unlicense}.",
+    "Unlicense-text": (
+        "This is {free and unencumbered software} released into the public domain. Anyone is free to copy, modify, "
+        "publish, use, compile, sell, or distribute this software, either in source code form or as a compiled "
+        "binary, for any purpose, commercial or non-commercial, and by any means."
+    ),
+    "Apache-2.0-title": "{Apache License} Version {2.0}, January 2004",
+    "MPL-2.0-title": "{Mozilla Public License} Version {2.0} 1. Definitions",
+    "EPL-2.0-title": "{Eclipse Public License} v {2.0} THE ACCOMPANYING PROGRAM IS PROVIDED UNDER THE TERMS OF THIS",
+}
 MIN_COVERAGE = 0.8
 FORM = re.compile("-(?:header|text|title)$")
 WORD = re.compile(r"[a-z0-9]+(?:[.\-][a-z0-9]+)*")

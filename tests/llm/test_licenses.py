@@ -53,6 +53,33 @@ def test_changed_notice_and_coverage():
     assert [n for n, *_ in L.scan(twice, READY)] == ["MIT", "MIT"]
 
 
+@pytest.mark.parametrize(
+    "text, name",
+    [
+        ("Released under the BSD License.", "BSD"),
+        ("Licensed under CC BY 4.0.", "CC-BY-4.0"),
+        ("Licensed under CC BY-SA 4.0.", "CC-BY-SA-4.0"),
+        ("Licensed under the Mozilla Public License, Version 2.0.", "MPL-2.0"),
+        ("This work is licensed under the GNU General Public License, version 2.", "GPL-2.0"),
+        ("This work is licensed under the GNU Lesser General Public License, version 3.", "LGPL-3.0"),
+        ("This work is licensed under the GNU Affero General Public License, version 3.", "AGPL-3.0"),
+        ("This project is licensed under the MIT License", "MIT"),
+        ("Released under the BSD 3-Clause License.", "BSD-3-Clause"),
+        ("Released under the ISC License.", "ISC"),
+        ("Licensed under the Eclipse Public License, Version 2.0.", "EPL-2.0"),
+        ("Released under the Unlicense.", "Unlicense"),
+        ("Licensed under CC0 1.0.", "CC0-1.0"),
+        ("Released under the Zope License.", None),
+        ("Licensed under CC BY-NC 2.5.", None),
+        ("Licensed under the Apache License, Version 1.1.", None),
+        ("This work is licensed under the GNU General Public License, version 1.", None),
+    ],
+)
+def test_neighbours_are_told_apart(text, name):
+    for t in (text, f"some words before\n{text.upper()}\nand words after"):
+        assert [n for n, *_ in L.scan(t, READY)] == ([name] if name else [])
+
+
 @pytest.mark.parametrize(
     "text",
     [
