@@ -26,8 +26,9 @@ from pyspark.sql import types as T
 from costlens.llm.common import materialize, shuffle_partitions
 from costlens.llm.components import components
 
-TABLES = 12
+TABLES = 12  # at least
 PROBES = 3
+RECALL = 0.995  # of pairs at the threshold, by which the tables are counted
 CHUNK = 512  # classes of a bucket that are compared at a time
 
 
@@ -86,6 +87,31 @@ def bucket_codes(x: np.ndarray, tables: int, hashes: int, probes: int, seed: int
     return out
 
 
+def tables_for(hashes: int, d: int, threshold: float, probes: int = PROBES, recall: float = RECALL) -> int:
+    """How many tables find `recall` of the pairs of `d` components at a cosine of `threshold`.
+
+    The share that one table finds is counted on random pairs at that cosine,
+    less two standard errors.
+    """
+    if d < 2:
+        return TABLES  # cosines are 1 and -1 only
+    c, n = min(max(threshold, -1.0), 1.0), max(128, min(2000, 200_000 // d))
+    rng = np.random.default_rng(17)
+    a = rng.normal(size=(n, d))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b = rng.normal(size=a.shape)
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    x, y = (bucket_codes(v, TABLES, hashes, probes) for v in (a, c * a + math.sqrt(1 - c * c) * b))
+    met = (x[:, :, :, None] == y[:, :, None, :]).any(axis=(2, 3))
+    share = met.mean() - 2 * math.sqrt(met.mean() * (1 - met.mean()) / met.size)
+    if share >= recall:
+        return TABLES
+    if share <= 0:
+        raise ValueError("too few pairs at this threshold share a bucket")
+    return max(TABLES, math.ceil(math.log(1 - recall) / math.log(1 - share)))
+
+
 def _unit(values: list) -> np.ndarray:
     x = np.array(values, dtype=np.float64)
     x = x / np.abs(x).max(axis=1, keepdims=True)  # no overflow in the squares
@@ -97,14 +123,15 @@ def vector_duplicates(
     key: str = "vec_id",
     vector: str = "embedding",
     threshold: float = 0.9,
-    tables: int = TABLES,
+    tables: int | None = None,
     probes: int = PROBES,
 ) -> DataFrame:
     """`key`, n_links, component_id, kept of every row of `vectors`.
 
     Links: pairs found with cosine >= `threshold`, never one below it.  Vectors
     that are null, empty or zero, or hold a null or non-finite component, link
-    with nothing; vectors of different lengths don't link.  Equal vectors link
+    with nothing; vectors of different lengths don't link.  Without `tables`,
+    as many are used as find RECALL of the pairs at the threshold.  Equal vectors link
     whatever the tables.  Repeated rows count as vectors of their own; rows
     that share a key get the same component's name.  A null key gets a row; a
     component of null keys has a null name and keeps its rows.  An empty table
@@ -131,6 +158,8 @@ def vector_duplicates(
     width = 1 << max(0, (int(shapes) - 1).bit_length())
     # At least as many buckets in a table as entries.
     hashes = max(3, math.ceil(math.log(max(n, 2) * probes) / math.log(2 * width)))
+    if tables is None:
+        tables = tables_for(hashes, int(shapes), threshold, probes)
 
     slots = tables * probes
     placed = T.StructType(
@@ -153,7 +182,7 @@ def vector_duplicates(
                 table = np.arange(slots) // probes
                 # one number: length, table, bucket
                 with np.errstate(over="ignore"):
-                    mixed = (codes * 64 + table) * np.int64(0x9E3779B97F4A7C15 - (1 << 64)) + d
+                    mixed = (codes * max(64, tables) + table) * np.int64(0x9E3779B97F4A7C15 - (1 << 64)) + d
                 for j, i in enumerate(at):
                     values[i] = x[j]
                     buckets[i] = mixed[j]

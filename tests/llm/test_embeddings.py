@@ -53,6 +53,20 @@ def test_recall_at_the_threshold():
     assert (x[:, :, :, None] == y[:, :, None, :]).any(axis=(1, 2, 3)).mean() > 0.98
 
 
+@pytest.mark.parametrize("hashes, d", [(3, 64), (4, 64), (5, 64), (4, 24)])
+def test_recall_stays_with_more_hashes(hashes, d):
+    rng = np.random.default_rng(1)
+    a = rng.normal(size=(1500, d))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b = rng.normal(size=a.shape)
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    b = 0.9 * a + np.sqrt(1 - 0.81) * b
+    tables = M.tables_for(hashes, d, 0.9)
+    x, y = (M.bucket_codes(v, tables, hashes, M.PROBES) for v in (a, b))
+    assert (x[:, :, :, None] == y[:, :, None, :]).any(axis=(1, 2, 3)).mean() > 0.985
+
+
 def test_hadamard_keeps_lengths():
     x = np.random.default_rng(1).normal(size=(5, 16))
     y = M.hadamard(x)
