@@ -31,7 +31,7 @@ DEPTH = 8  # of a byte's embedding
 PAD = 256  # the byte after the text's end
 PER_LANGUAGE = 400  # labelled keys of a language that the network is trained on, at most
 PER_TEXT = 8  # windows of each
-STEPS = 700
+STEPS = 500
 BATCH = 64
 FOLDS = 5  # held out: crc32 of the key as text, mod 5, is 0
 
@@ -82,9 +82,9 @@ class Network:
         d /= n
         back = (d @ self.out.T) * (act > 0)
         grown = back[:, :, None] * self.conv.T[None]  # to the patches
-        embed = np.zeros_like(self.embed)
-        np.add.at(embed, seen.reshape(-1), grown.reshape(-1, DEPTH))
-        conv = np.einsum("nfk,nf->kf", patch, back) * self.used
+        by, sums = seen.reshape(-1), grown.reshape(-1, DEPTH)
+        embed = np.stack([np.bincount(by, weights=sums[:, k], minlength=257) for k in range(DEPTH)], axis=1)
+        conv = np.einsum("nfk,nf->kf", patch, back, optimize=True) * self.used
         return {"embed": embed, "conv": conv, "shift": back.sum(axis=0), "out": act.T @ d, "bias": d.sum(axis=0)}
 
 
@@ -142,7 +142,7 @@ class Tables:
         steps = np.arange(LENGTH + 3)
         for lo in range(0, len(begin), 64):
             at = begin[lo : lo + 64, None] + steps
-            ids = np.where(at < end[lo : lo + 64, None], data[np.minimum(at, len(data) - 1)], PAD).astype(np.int32)
+            ids = np.where(at < end[lo : lo + 64, None], data[np.minimum(at, len(data) - 1)], PAD)
             pair = ids[:, :-1] * 257 + ids[:, 1:]
             sums = self.front[pair[:, :LENGTH]]
             sums[:, :, FILTERS:] += self.rest[pair[:, 2:]]
@@ -171,11 +171,11 @@ def text_probabilities(tables: Tables, texts: pa.Array) -> np.ndarray:
     return out / np.bincount(owner, weights=weight, minlength=len(texts))[:, None]
 
 
-LOWER = np.arange(256, dtype=np.uint8)
+LOWER = np.arange(256, dtype=np.int32)
 LOWER[65:91] += 32  # A-Z
 
 
-def _cut(text: bytes, key: str) -> list[bytes]:
+def _cut(text: bytes) -> list[bytes]:
     """Up to PER_TEXT windows spread over the whole text; all of them where there are no more."""
     count = max(1, -(-len(text) // LENGTH))
     some = range(count) if count <= PER_TEXT else [k * count // PER_TEXT for k in range(PER_TEXT)]
@@ -202,7 +202,7 @@ def sample(docs: DataFrame, key: str, text: str, label: str, held: Column, per_l
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [_cut(t.as_py(), "") for t in batch.column(2)]
+            made = [_cut(t.as_py()) for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(made, pa.list_(pa.binary()))], ["y", "k", "w"]
             )
