@@ -6,6 +6,7 @@ import atexit
 import os
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -81,3 +82,25 @@ def materialize(df):
     lineage (reliable `checkpoint()`, never `localCheckpoint`)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def scratch_table(df, stem: str):
+    """`df` written as compressed Parquet under the session's checkpoint folder and read again.
+
+    For what several jobs read, as `materialize` is, but columnar and smaller.
+    The folder is removed when the session's file system is closed.
+    """
+    spark = df.sparkSession
+    path = scratch_folder(spark, stem)
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.parquet(path)
+
+
+def scratch_folder(spark: SparkSession, stem: str) -> str:
+    """A path under the checkpoint folder that is no other's, removed when the session's file system is closed."""
+    path = f"{ensure_checkpoint_dir(spark)}/{stem}-{uuid.uuid4().hex}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(folder.getParent())
+    files.deleteOnExit(folder)
+    return path
