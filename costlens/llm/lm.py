@@ -12,6 +12,10 @@ class transitions and of word emissions.
 * Each rarer word moves out of the unassigned class in the same way, by its own
   neighbours, where its occurrences are gathered.
 
+A neighbour counts by its class if it is a type or was seen SEEN times, else as
+unassigned: classes of rarer words were fitted to the very pairs that they would
+then explain, and held-out text gets less likely (README has figures).
+
 Only words that training text doesn't hold have no neighbours: their class is
 the one that most once-seen words of their shape (last letters) have.  The
 corpus is encoded once (numbers of the frequent words, the rare words as they
@@ -44,6 +48,7 @@ LONGEST = 64  # bytes of these words,
 LONG = 500  # but for so many more of at most
 LONGEST_LONG = 4096  # bytes each
 ROUNDS = 2  # of the frequent words
+SEEN = 200  # times that a word must be seen for its neighbours to go by its class
 SHAPES = 255  # of words unseen in training
 FLUSH = 250_000  # words that a task counts before it sends them on
 SALT = 7  # held-out: crc32 of the key as text, mod 7
@@ -352,17 +357,17 @@ class Gains:
         return out
 
 
-def _regroup(encoded: DataFrame, class_of: np.ndarray, k: int, types: int) -> np.ndarray:
+def _regroup(encoded: DataFrame, near: np.ndarray, k: int, types: int) -> np.ndarray:
     """One round: the classes of the frequent words beyond `types`, each by its own neighbours.
 
-    Every task sums (word, cell) in its part of the text, so what is sent on
+    near: the classes that words go by as neighbours, k for none.  Every task sums (word, cell) in its part of the text, so what is sent on
     for a word is bounded by its cells and the number of tasks.
     """
     spark = encoded.sparkSession
-    table = _table(class_of, k)
+    table = _table(near, k)
     # arrays only: broadcasts name classes by their module, which the workers may not have
-    sent = spark.sparkContext.broadcast((table, class_of, class_bigrams(encoded, table, k)))
-    side, count = k + 2, len(class_of)
+    sent = spark.sparkContext.broadcast((table, near, class_bigrams(encoded, table, k)))
+    side, count = k + 2, len(near)
 
     def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = sent.value[0]
@@ -427,12 +432,12 @@ def _regroup(encoded: DataFrame, class_of: np.ndarray, k: int, types: int) -> np
     summed = encoded.where(~F.col("held")).select("id", "ids").mapInArrow(neighbours, "word int, cells binary, counts binary")
     dealt = summed.repartition(shuffle_partitions(spark), "word")
     got = dealt.mapInArrow(move, "word int, class int").toArrow()  # a row for each frequent word
-    out = class_of.copy()
+    out = near.copy()
     out[got.column("word").to_numpy()] = got.column("class").to_numpy()
     return out
 
 
-def rare_words(encoded: DataFrame, class_of: np.ndarray, k: int) -> DataFrame:
+def rare_words(encoded: DataFrame, near: np.ndarray, k: int) -> DataFrame:
     """(word, n, class, places) of every word without a number.
 
     n: its tokens in training text; class: by exchange out of the unassigned
@@ -442,7 +447,7 @@ def rare_words(encoded: DataFrame, class_of: np.ndarray, k: int) -> DataFrame:
     FREQUENT of the tokens.
     """
     spark = encoded.sparkSession
-    table = _table(class_of, k)
+    table = _table(near, k)
     sent = spark.sparkContext.broadcast((table, class_bigrams(encoded, table, k)))
     side = k + 2
 
@@ -649,10 +654,11 @@ class Trained:
         bigrams = class_bigrams(self.encoded, of_type, types)[: types + 1, : types + 1]
         self.class_of = np.full(len(self.words), k, dtype=np.int64)
         self.class_of[:types] = exchange(bigrams, k)
-        if types < len(self.words):
-            for _ in range(ROUNDS):
-                self.class_of = _regroup(self.encoded, self.class_of, k, types)
-        self.rare = rare_words(self.encoded, self.class_of, k)
+        known = (np.arange(len(self.words)) < types) | (self.count >= SEEN)
+        for _ in range(ROUNDS if types < len(self.words) else 0):
+            self.class_of = _regroup(self.encoded, np.where(known, self.class_of, k), k, types)
+        self.near = np.where(known, self.class_of, k)
+        self.rare = rare_words(self.encoded, self.near, k)
         self.by_text = _by_text(self.rare, k)
         sums = self.by_text.where("id < 0").select("id", "words", "tokens").toArrow()  # k + SHAPES x k rows at most
         cell = -1 - sums.column("id").to_numpy()

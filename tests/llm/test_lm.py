@@ -45,6 +45,7 @@ def small(monkeypatch):
     monkeypatch.setattr(M, "TYPES", 60)
     monkeypatch.setattr(M, "classes_for", lambda v: 9)
     monkeypatch.setattr(M, "MOST", 500)
+    monkeypatch.setattr(M, "SEEN", 18)
 
 
 def test_base_and_gain(spark, small):
@@ -108,7 +109,7 @@ def test_every_training_word_moves_by_its_own_neighbours(spark, small):
     rows = corpus(120)
     t = M.Trained(M._texts(spark.createDataFrame(rows, "key long, text string")))
     k, number = 9, {w: i for i, w in enumerate(t.words)}
-    of = lambda w: int(t.class_of[number[w]]) if w in number else k
+    of = lambda w: int(t.near[number[w]]) if w in number else k
     pair, near = Counter(), {}
     for i, x in rows:
         if held(i):
@@ -125,6 +126,7 @@ def test_every_training_word_moves_by_its_own_neighbours(spark, small):
     got = {bytes(r.word): r for r in t.rare.collect()}
     seen = {w: r for w, r in got.items() if r.n}
     assert set(seen) == set(near) and len(near) > 300
+    assert (t.class_of < k).all() and (t.near == k).any()
 
     def gain(w, c):
         cells = near[w]
