@@ -6,10 +6,15 @@ Several such hashes make a bucket of a table; a vector also goes to the
 buckets of its next-best axes (multiprobe).  Pairs that meet in a bucket are
 verified by their cosine in double precision.
 
-Equal vectors are one class first, so copies are never paired.  Buckets with
-many classes are cut into chunks, and pairs of chunks are compared, each in a
-task's memory; a pair that meets several times is counted where its first
-common bucket is.
+Equal vectors are one class first, so copies are never paired.  Where few
+classes meet, their pairs are decided from 8-bit vectors with a bound on their
+error; what the bound leaves open is decided from the vectors.
+
+A class in a large bucket belongs to the group of its least large bucket; a
+group is cut into chunks, and two groups are compared, chunk against chunk, if
+members of them meet in a large bucket.  So a pair is compared once, however
+many buckets it shares, and a chunk of vectors goes to each comparison once,
+where one matrix product gives the counts.
 """
 
 from __future__ import annotations
@@ -29,18 +34,33 @@ from costlens.llm.components import components
 TABLES = 12  # at least
 PROBES = 3
 RECALL = 0.995  # of pairs at the threshold, by which the tables are counted
-CHUNK = 512  # classes of a bucket that are compared at a time
+SMALL = 64  # classes of a bucket whose pairs are looked at one by one
+CHUNK = 2048  # classes of a group that are compared at a time
+
+
+def _sylvester(n: int) -> np.ndarray:
+    out = np.ones((1, 1))
+    while len(out) < n:
+        out = np.block([[out, out], [out, -out]])
+    return out
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
-    """Fast Walsh-Hadamard transform of each row, scaled to keep lengths; the width is a power of two."""
+    """Fast Walsh-Hadamard transform of each row, scaled to keep lengths; the width is a power of two.
+
+    The butterflies are done eight at a time, as products with the transform of that width.
+    """
     n, d = x.shape
     step = 1
     while step < d:
-        y = x.reshape(n, d // (2 * step), 2, step)
-        x = np.stack([y[:, :, 0] + y[:, :, 1], y[:, :, 0] - y[:, :, 1]], axis=2).reshape(n, d)
-        step *= 2
-    return x / math.sqrt(d)
+        wide = min(8, d // step)
+        h = _sylvester(wide)
+        if step == 1:
+            x = x.reshape(-1, wide) @ h
+        else:
+            x = np.matmul(h, x.reshape(-1, wide, step))
+        step *= wide
+    return x.reshape(n, d) / math.sqrt(d)
 
 
 def bucket_codes(x: np.ndarray, tables: int, hashes: int, probes: int, seed: int = 5) -> np.ndarray:
@@ -161,59 +181,18 @@ def vector_duplicates(
     if tables is None:
         tables = tables_for(hashes, int(shapes), threshold, probes)
 
-    slots = tables * probes
-    placed = T.StructType(
-        [
-            T.StructField("node", T.LongType()),
-            T.StructField("weight", T.LongType()),
-            T.StructField("v", T.ArrayType(T.DoubleType())),
-            T.StructField("buckets", T.ArrayType(T.LongType())),
-        ]
-    )
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values = batch.column(2).to_pylist()
-            buckets: list = [None] * len(values)
-            for d in {len(x) for x in values}:
-                at = [i for i, x in enumerate(values) if len(x) == d]
-                x = _unit([values[i] for i in at])
-                codes = bucket_codes(x, tables, hashes, probes).reshape(len(at), slots)
-                table = np.arange(slots) // probes
-                # one number: length, table, bucket
-                with np.errstate(over="ignore"):
-                    mixed = (codes * max(64, tables) + table) * np.int64(0x9E3779B97F4A7C15 - (1 << 64)) + d
-                for j, i in enumerate(at):
-                    values[i] = x[j]
-                    buckets[i] = mixed[j]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    batch.column(1),
-                    pa.array(values, pa.list_(pa.float64())),
-                    pa.array(buckets, pa.list_(pa.int64())),
-                ],
-                placed.names,
-            )
-
-    spread = materialize(classes.select("node", "weight", "v").mapInArrow(place, placed))
-    entries = spread.select("node", F.explode(F.array_distinct("buckets")).alias("bucket"))
-    sizes = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    # Only vectors that share a bucket are compared; each entry gets a chunk within its bucket.
-    entries = entries.join(sizes, "bucket").withColumn("chunks", F.ceil(F.col("size") / CHUNK).cast("int"))
-    entries = entries.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-    # Chunk pairs (a, b) with a <= b: an entry goes to those that hold its chunk.
-    pairs = F.transform(
-        F.sequence(F.lit(0), F.col("chunks") - 1),
-        lambda o: F.struct(F.least(o, "chunk").alias("a"), F.greatest(o, "chunk").alias("b")),
-    )
-    cells = entries.withColumn("cell", F.explode(pairs)).select("node", "bucket", "chunk", "cell.a", "cell.b")
-    cells = cells.join(spread, "node").select(
-        F.size("v").alias("d"), "bucket", "a", "b", "chunk", "node", "weight", "v", "buckets"
-    )
-    found = materialize(_verified(cells, threshold, probes))
-    counted = found.groupBy("node").agg(F.sum("links").alias("links"))
-    roots = components(found.where("node != root").select(F.col("node").alias("a"), F.col("root").alias("b")))
+    spread = materialize(_spread(classes, tables, hashes, probes))
+    entries = spread.select("node", "d", F.explode(F.array_distinct("buckets")).alias("bucket"))
+    sizes = entries.groupBy("d", "bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    # only what shares a bucket is compared
+    shared = materialize(entries.join(sizes, ["d", "bucket"]))
+    leaders, meeting = _groups(shared.where(F.col("size") > SMALL))
+    many = materialize(_between_chunks(spread, leaders, meeting, threshold))
+    few = materialize(_unless_grouped(_within_buckets(spread, shared.where(F.col("size") <= SMALL), threshold), leaders, meeting))
+    links = many.select("node", "links").union(few.select("a", "wb")).union(few.select("b", "wa"))
+    counted = links.groupBy("node").agg(F.sum("links").alias("links"))
+    edges = many.where("node != root").select(F.col("node").alias("a"), F.col("root").alias("b")).union(few.select("a", "b"))
+    roots = components(edges)
     named = materialize(
         classes.select("node", "c", "v", "weight", "least")
         .join(counted, "node", "left")
@@ -231,35 +210,73 @@ def vector_duplicates(
     )
 
 
-def _verified(cells: DataFrame, threshold: float, probes: int) -> DataFrame:
-    """(node, links, root) from the pairs of each cell (d, bucket, a, b): counts, and one link that joins each node.
+def _spread(classes: DataFrame, tables: int, hashes: int, probes: int) -> DataFrame:
+    """(node, weight, d, v, small, scale, error, buckets) of `classes` (node, weight, v).
 
-    A cell is two chunks at most; whole cells are taken from sorted partitions,
-    many small ones or one large one at a time.
+    v: the unit vector; small x scale: its 8-bit form, `error` away from it.
     """
-    by = ["d", "bucket", "a", "b"]
+    slots = tables * probes
+    schema = T.StructType(
+        [
+            T.StructField("node", T.LongType()),
+            T.StructField("weight", T.LongType()),
+            T.StructField("d", T.IntegerType()),
+            T.StructField("v", T.ArrayType(T.DoubleType())),
+            T.StructField("small", T.BinaryType()),
+            T.StructField("scale", T.DoubleType()),
+            T.StructField("error", T.DoubleType()),
+            T.StructField("buckets", T.ArrayType(T.LongType())),
+        ]
+    )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        rows = 0
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                held.append(batch.slice(at, 4096))
-                rows += held[-1].num_rows
-                if rows >= 16_384:
-                    whole = pa.Table.from_batches(held)
-                    starts = np.flatnonzero(_starts(whole, by))
-                    end = int(starts[-1])
-                    if end:
-                        yield from _pairs_of(whole.slice(0, end), by, threshold, probes)
-                    held = whole.slice(end).to_batches()
-                    rows = whole.num_rows - end
-        if rows:
-            yield from _pairs_of(pa.Table.from_batches(held), by, threshold, probes)
-
-    parts = shuffle_partitions(cells.sparkSession)
-    dealt = cells.repartition(parts, *by).sortWithinPartitions(*by)
-    return dealt.mapInArrow(run, "node long, links long, root long")
+            values = batch.column(2).to_pylist()
+            lengths = np.array([len(x) for x in values], dtype=np.int32)
+            for d in np.unique(lengths):
+                at = np.flatnonzero(lengths == d)
+                x = _unit([values[i] for i in at])
+                codes = bucket_codes(x, tables, hashes, probes).reshape(len(at), slots)
+                table = np.arange(slots) // probes
+                with np.errstate(over="ignore"):  # one number: table, bucket
+                    mixed = (codes * max(64, tables) + table) * np.int64(0x9E3779B97F4A7C15 - (1 << 64))
+                scale = np.abs(x).max(axis=1) / 127
+                small = np.rint(x / scale[:, None]).astype(np.int8)
+                error = np.sqrt(((x - small * scale[:, None]) ** 2).sum(axis=1)) + 1e-12
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).take(pa.array(at)),
+                        batch.column(1).take(pa.array(at)),
+                        pa.array(lengths[at]),
+                        pa.array(list(x), pa.list_(pa.float64())),
+                        pa.array([r.tobytes() for r in small], pa.binary()),
+                        pa.array(scale),
+                        pa.array(error),
+                        pa.array(list(mixed), pa.list_(pa.int64())),
+                    ],
+                    schema.names,
+                )
+
+    return classes.select("node", "weight", "v").mapInArrow(place, schema)
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch], by: list[str], rows: int) -> Iterator[pa.Table]:
+    """Tables of whole groups from batches that are ordered by `by`, about `rows` rows each or one larger group."""
+    held: list[pa.RecordBatch] = []
+    seen = 0
+    for batch in batches:
+        for at in range(0, batch.num_rows, 4096):
+            held.append(batch.slice(at, 4096))
+            seen += held[-1].num_rows
+            if seen >= rows:
+                whole = pa.Table.from_batches(held)
+                end = int(np.flatnonzero(_starts(whole, by))[-1])
+                if end:
+                    yield whole.slice(0, end)
+                held = whole.slice(end).to_batches()
+                seen = whole.num_rows - end
+    if seen:
+        yield pa.Table.from_batches(held)
 
 
 def _starts(cells: pa.Table, by: list[str]) -> np.ndarray:
@@ -271,71 +288,142 @@ def _starts(cells: pa.Table, by: list[str]) -> np.ndarray:
     return new
 
 
-def _pairs_of(cells: pa.Table, by: list[str], threshold: float, probes: int) -> Iterator[pa.RecordBatch]:
-    length = cells.column("d").to_numpy()
-    for d in np.unique(length):
-        one = cells.filter(pa.array(length == d))
-        flat = lambda c: one.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(one.num_rows, -1)  # noqa: E731, B023
-        x, own = flat("v"), flat("buckets")
-        bucket, a, b, chunk, name, weight = (
-            one.column(c).to_numpy() for c in ("bucket", "a", "b", "chunk", "node", "weight")
-        )
+def _within_buckets(spread: DataFrame, shared: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, wa, wb): linked pairs a < b with their weights, each once, of the classes that meet in small buckets."""
+    by = ["d", "bucket"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in _whole_groups(batches, by, 16_384):
+            length = whole.column("d").to_numpy()
+            for d in np.unique(length):
+                yield from pairs(whole.filter(pa.array(length == d)), int(d))
+
+    def pairs(one: pa.Table, d: int) -> Iterator[pa.RecordBatch]:
+        x = np.frombuffer(b"".join(one.column("small").to_pylist()), dtype=np.int8).reshape(-1, d).astype(np.float32)
+        node, weight, scale, error = (one.column(c).to_numpy() for c in ("node", "weight", "scale", "error"))
         begin = np.flatnonzero(_starts(one, by))
         size = np.diff(np.r_[begin, one.num_rows])
-        nodes, node = np.unique(name, return_inverse=True)
-        links, root = np.zeros(len(nodes), dtype=np.int64), np.arange(len(nodes))
-
-        def take(i: np.ndarray, j: np.ndarray) -> None:
-            for lo in range(0, len(i), 1 << 14):
-                p, q = i[lo : lo + (1 << 14)], j[lo : lo + (1 << 14)]
-                good = (x[p] * x[q]).sum(axis=1) >= threshold
-                p, q = p[good], q[good]
-                most = np.iinfo(np.int64).max
-                common = np.full(len(p), most)
-                for t in range(0, own.shape[1], probes):
-                    here, there = own[p, t : t + probes], own[q, t : t + probes]
-                    meet = (here[:, :, None] == there[:, None, :]).any(axis=2)
-                    common = np.minimum(common, np.where(meet, here, most).min(axis=1))
-                first = common == bucket[p]  # a pair counts in its least common bucket only
-                p, q = p[first], q[first]
-                np.add.at(links, node[p], weight[q])
-                np.add.at(links, node[q], weight[p])
-                _join(root, node[p], node[q])
-
         rest = np.repeat(size, size) - (np.arange(one.num_rows) - np.repeat(begin, size))
-        at, step = np.flatnonzero(np.repeat(size <= 64, size)), 1
+        at, step = np.arange(one.num_rows), 1
         while True:
             at = at[rest[at] > step]
             if not len(at):
-                break
+                return
             i, j = at, at + step
-            cross = (a[i] == b[i]) | (chunk[i] != chunk[j])
-            take(i[cross], j[cross])
+            near = np.einsum("ij,ij->i", x[i], x[j]).astype(np.float64) * scale[i] * scale[j]
+            bound = error[i] + (1 + error[i]) * error[j] + 1e-6 * d  # and what 32-bit sums may lose
+            some = near + bound >= threshold
+            i, j, sure = i[some], j[some], (near - bound >= threshold)[some]
+            turn = node[i] > node[j]
+            a, b = np.where(turn, j, i), np.where(turn, i, j)
+            yield pa.RecordBatch.from_arrays(
+                [*(pa.array(v) for v in (node[a], node[b], weight[a], weight[b], sure))], ["a", "b", "wa", "wb", "sure"]
+            )
             step += 1
-        for k in np.flatnonzero(size > 64):
-            here = np.arange(begin[k], begin[k] + size[k])
-            left, right = here[chunk[here] == a[here[0]]], here[chunk[here] == b[here[0]]]
-            i, j = np.nonzero(x[left] @ x[right].T >= threshold - 1e-9)
-            i, j = left[i], right[j]
-            if a[here[0]] == b[here[0]]:
-                i, j = i[i < j], j[i < j]
-            take(i, j)
+
+    parts = shuffle_partitions(spread.sparkSession)
+    met = shared.select("node", "d", "bucket").join(spread.select("node", "weight", "small", "scale", "error"), "node")
+    dealt = met.repartition(parts, *by).sortWithinPartitions(*by)
+    found = dealt.mapInArrow(run, "a long, b long, wa long, wb long, sure boolean")
+    found = materialize(found.groupBy("a", "b").agg(F.first("wa").alias("wa"), F.first("wb").alias("wb"), F.first("sure").alias("sure")))
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fine = [
+                float((np.asarray(x.values) * np.asarray(y.values)).sum()) >= threshold
+                for x, y in zip(batch.column(4), batch.column(5))
+            ]
+            yield pa.RecordBatch.from_arrays(batch.columns[:4], ["a", "b", "wa", "wb"]).filter(pa.array(fine, pa.bool_()))
+
+    vectors = spread.select("node", "v")
+    left = vectors.select(F.col("node").alias("a"), F.col("v").alias("x"))
+    right = vectors.select(F.col("node").alias("b"), F.col("v").alias("y"))
+    open_ = found.where("not sure").join(left, "a").join(right, "b").select("a", "b", "wa", "wb", "x", "y")
+    return found.where("sure").select("a", "b", "wa", "wb").union(open_.mapInArrow(exact, "a long, b long, wa long, wb long"))
+
+
+def _groups(shared: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, d, leader) of the classes in large buckets, and (d, p, q) of the groups p <= q that meet in one.
+
+    From keys alone.  A class's leader is its least large bucket, so the
+    classes of a large bucket belong to few groups.
+    """
+    leaders = materialize(shared.groupBy("node", "d").agg(F.min("bucket").alias("leader")))
+    there = shared.join(leaders, ["node", "d"]).select("d", "bucket", "leader").distinct()
+    one, two = there.withColumnRenamed("leader", "p"), there.withColumnRenamed("leader", "q")
+    meeting = one.join(two, ["d", "bucket"]).where("p <= q").select("d", "p", "q").distinct()
+    return leaders, materialize(meeting)
+
+
+def _unless_grouped(pairs: DataFrame, leaders: DataFrame, meeting: DataFrame) -> DataFrame:
+    """`pairs` without those whose groups are compared anyhow."""
+    one = leaders.select(F.col("node").alias("a"), F.col("d"), F.col("leader").alias("la"))
+    two = leaders.select(F.col("node").alias("b"), F.col("leader").alias("lb"))
+    told = pairs.join(one, "a", "left").join(two, "b", "left")
+    told = told.withColumn("p", F.when(F.col("lb").isNotNull(), F.least("la", "lb")))
+    told = told.withColumn("q", F.when(F.col("la").isNotNull(), F.greatest("la", "lb")))
+    return told.join(meeting, ["d", "p", "q"], "left_anti").select("a", "b", "wa", "wb")
+
+
+def _between_chunks(spread: DataFrame, leaders: DataFrame, meeting: DataFrame, threshold: float) -> DataFrame:
+    """(node, links, root) from the pairs of the groups that meet: counts, and a link that joins each linked class.
+
+    A cell is two chunks (or one with itself), compared by one matrix product in a task's memory.
+    """
+    sizes = leaders.groupBy("d", "leader").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
+    sizes = materialize(sizes)
+    chunk = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk")
+    members = leaders.join(sizes, ["d", "leader"]).select("node", "d", "leader", chunk)
+    of = lambda c, n: sizes.select("d", F.col("leader").alias(c), F.col("chunks").alias(n))
+    cells = meeting.join(of("p", "np"), ["d", "p"]).join(of("q", "nq"), ["d", "q"])
+    cells = cells.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("np") - 1)))
+    cells = cells.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nq") - 1))).where("p < q or i <= j")
+    cells = cells.select("d", "p", "q", "i", "j")
+    first = cells.select("*", F.col("p").alias("leader"), F.col("i").alias("chunk"), F.lit(0).alias("side"))
+    second = cells.where("p < q or i < j").select("*", F.col("q").alias("leader"), F.col("j").alias("chunk"), F.lit(1).alias("side"))
+    by = ["d", "p", "q", "i", "j"]
+    dealt = first.union(second).join(members, ["d", "leader", "chunk"]).join(spread.select("node", "weight", "v"), "node")
+    dealt = dealt.select(*by, "side", "node", "weight", "v")
+    dealt = dealt.repartition(shuffle_partitions(spread.sparkSession), *by).sortWithinPartitions(*by, "side", "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in _whole_groups(batches, by, 2 * CHUNK):
+            begin = np.flatnonzero(_starts(whole, by))
+            for lo, hi in zip(begin, np.r_[begin[1:], whole.num_rows]):
+                yield compare(whole.slice(lo, hi - lo))
+
+    def compare(cell: pa.Table) -> pa.RecordBatch:
+        node, weight, side = (cell.column(c).to_numpy() for c in ("node", "weight", "side"))
+        x = cell.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(node), -1)
+        n = int((side == 0).sum())
+        if n == len(node):  # a chunk with itself
+            linked = x @ x.T >= threshold
+            np.fill_diagonal(linked, False)
+            links, root = linked @ weight, _least_reached(linked, True)
+        else:
+            linked = x[:n] @ x[n:].T >= threshold
+            links = np.r_[linked @ weight[n:], linked.T @ weight[:n]]
+            root = _least_reached(linked, False)
         some = links > 0
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(nodes[some]), pa.array(links[some]), pa.array(nodes[root[some]])], ["node", "links", "root"]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(node[some]), pa.array(links[some]), pa.array(node[root[some]])], ["node", "links", "root"]
         )
 
+    return dealt.mapInArrow(run, "node long, links long, root long")
+
 
-def _join(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
-    while len(a):
-        x, y = root[a], root[b]
-        apart = x != y
-        if not apart.any():
-            return
-        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
-        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
-        while True:
-            up = root[root]
-            if (up == root).all():
-                break
-            root[:] = up
+def _least_reached(linked: np.ndarray, same: bool) -> np.ndarray:
+    """The least place that each place reaches by links; `same`: rows and columns are the same places, else columns follow the rows."""
+    n = linked.shape[0]
+    most = np.iinfo(np.int64).max
+    root = np.arange(n if same else n + linked.shape[1])
+    while True:
+        left, right = (root, root) if same else (root[:n], root[n:])
+        now = np.minimum(left, np.where(linked, right, most).min(axis=1, initial=most))
+        if not same:
+            now = np.r_[now, np.minimum(right, np.where(linked, now[:, None], most).min(axis=0, initial=most))]
+        np.minimum.at(now, root, now.copy())  # what a place's root is reached by
+        now = np.minimum(now, now[now])
+        if (now == root).all():
+            return root
+        root = now
