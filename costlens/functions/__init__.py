@@ -3,6 +3,8 @@
 from costlens.functions.columns import (
     canonical_service,
     dsum,
+    exact,
+    finite,
     davg,
     interval_date,
     to_number,
@@ -16,6 +18,8 @@ from costlens.functions.columns import (
 __all__ = [
     "canonical_service",
     "dsum",
+    "exact",
+    "finite",
     "davg",
     "interval_date",
     "to_number",

@@ -20,19 +20,34 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def finite(c) -> Column:
+    """The value, or null if it is NaN or infinite."""
+    return F.when(F.abs(_c(c)) < float("inf"), _c(c))  # NaN is above infinity
+
+
+def exact(c) -> Column:
+    """A finite value as an exact decimal, or null if it is 1e28 or more."""
+    return finite(c).try_cast(MONEY)
+
+
 def dsum(c) -> Column:
-    """Order-independent sum of a double column, returned as double."""
-    return F.sum(_c(c).cast(MONEY)).cast("double")
+    """Order-independent sum of a double column, returned as double.
+
+    NaN and infinite values are left out, as nulls are.  Null if a value or
+    the sum is out of the decimal's range (1e28); parts of a value under 5e-11
+    are rounded away."""
+    fits = F.count(exact(c)) == F.count(finite(c))
+    return F.when(fits, F.try_sum(exact(c)).cast("double"))
 
 
 def davg(c) -> Column:
-    """Mean whose value does not depend on partition order (exact sum / count)."""
-    return F.try_divide(dsum(c), F.count(_c(c)).cast("double"))
+    """Mean of the finite values, not dependent on partition order (exact sum / count); null where `dsum` is."""
+    return F.try_divide(dsum(c), F.count(finite(c)).cast("double"))
 
 
 def interval_date(c) -> Column:
-    """CLN-3: date part of an ISO interval `start/end` — text before the first `T`."""
-    return F.to_date(F.substring_index(_c(c), "T", 1))
+    """CLN-3: date part of an ISO interval `start/end` — text before the first `T`; null if that isn't a date."""
+    return F.substring_index(_c(c), "T", 1).try_cast("date")
 
 
 # A plain decimal literal, optionally signed, with an optional exponent, blanks

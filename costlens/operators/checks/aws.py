@@ -472,10 +472,9 @@ KMS_OPERATIONS = [
 ]
 
 
-def many_keys(audit_events: DataFrame, limit: int = 5) -> DataFrame:
-    """KMS-1: more than `limit` keys."""
-    keys = audit_events.select("key_id").distinct()
-    return flag(_count_over(keys, limit), KMS, "KMS-1", 1, F.lit("account"), "n", limit)
+def many_keys(keys: DataFrame, limit: int = 5) -> DataFrame:
+    """KMS-1: more than `limit` listed keys (key_id), whether they are in use or not."""
+    return flag(_count_over(keys.select("key_id").distinct(), limit), KMS, "KMS-1", 1, F.lit("account"), "n", limit)
 
 
 def operation_counts(audit_events: DataFrame, as_of, ops: Sequence[str] = tuple(KMS_OPERATIONS), hours: int = 24):

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from costlens.functions import cpu_milli, mem_mib
 from costlens.operators.findings import flag
-from costlens.operators.metrics import align_rate, peak, per_resource
+from costlens.operators.metrics import align_rate, in_window, peak, per_resource
 
 GCE, GKE, NET = "ComputeEngine", "KubernetesEngine", "Networking"
 GIB = float(2**30)
@@ -171,12 +171,12 @@ def ingress_rate(points: DataFrame, as_of, limit: float = 1e9,
     return _rate_over(points, as_of, metric, limit, "NET-2", 2)
 
 
-def log_counts(log_entries: DataFrame) -> DataFrame:
-    """NET-3 (counts): entries per log name."""
-    return log_entries.groupBy("log_name").agg(F.count(F.lit(1)).alias("n"))
+def log_counts(log_entries: DataFrame, as_of, lookback: str = "1 day") -> DataFrame:
+    """NET-3 (counts): entries per log name in the window."""
+    return in_window(log_entries, as_of, lookback).groupBy("log_name").agg(F.count(F.lit(1)).alias("n"))
 
 
-def excessive_logging(log_entries: DataFrame, limit: int = 300) -> DataFrame:
+def excessive_logging(log_entries: DataFrame, as_of, limit: int = 300, lookback: str = "1 day") -> DataFrame:
     """NET-3: more than `limit` log entries in the window (one finding)."""
-    t = log_counts(log_entries).agg(F.sum("n").alias("total")).filter(F.col("total") > limit)
+    t = log_counts(log_entries, as_of, lookback).agg(F.sum("n").alias("total")).filter(F.col("total") > limit)
     return flag(t, NET, "NET-3", 3, F.lit("project"), "total", limit)

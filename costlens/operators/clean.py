@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -127,32 +128,57 @@ def order_by_date(df: DataFrame, col: str = "date") -> DataFrame:
 
 
 def parse_date(c) -> Column:
-    """CLN-11: date text -> date."""
-    return F.to_date(F.col(c) if isinstance(c, str) else c)
+    """CLN-11: date text -> date; null if it isn't one."""
+    return (F.col(c) if isinstance(c, str) else c).try_cast("date")
 
 
-def clean_aws(raw: DataFrame, order: Sequence[str] | Column | None = None, agg: str = "first") -> DataFrame:
+FILE_ORDER = "__file_order"
+
+
+def file_order(raw: DataFrame) -> tuple[DataFrame, list[str]]:
+    """`raw` with a column that orders its rows by file path, block of the file and place in it.
+
+    Spark deals files out to partitions by size, so a row's partition doesn't
+    tell its file.  A table that already has the column (the by-name readers
+    add it) keeps it; one that isn't a plain read of files is ordered by its
+    partitions."""
+    if FILE_ORDER in raw.columns:
+        return raw, [FILE_ORDER]
+    try:
+        meta = [raw["_metadata.file_path"], raw["_metadata.file_block_start"]]
+    except AnalysisException:
+        meta = []
+    place = F.struct(*meta, F.monotonically_increasing_id().alias("id"))
+    return raw.withColumn(FILE_ORDER, place), [FILE_ORDER]
+
+
+def clean_aws(
+    raw: DataFrame, order: Sequence[str] | Column | None = None, agg: str = "first", period: str | None = None
+) -> DataFrame:
     """CLN-12: the whole AWS pipeline -> `cost_clean` rows with provider 'aws'.
 
     `agg`: "first" amount of a group, or the "sum" of its amounts (D2).
+    `period`: a column of the raw table (the billing period) that is kept;
+    groups are then within a period.
 
-    `order` defines "first" inside a group (D1).  Any order columns present in
-    the raw table are carried through the pruning for that purpose.
+    `order` defines "first" inside a group (D1): columns of the raw table, or
+    by default the order of the lines in the files, by path (`file_order`).
+    Rows whose date is malformed belong to no group, as those with a null key.
     """
-    order_cols = [] if order is None or isinstance(order, Column) else list(order)
-    keep = AWS_KEEP + [c for c in order_cols if c not in AWS_KEEP]
+    if order is None:
+        raw, order = file_order(raw)
+    order_cols = [] if isinstance(order, Column) else list(order)
+    periods = [] if period is None else [period]
+    keep = periods + AWS_KEEP + [c for c in order_cols if c not in AWS_KEEP]
     df = prune_columns(raw, keep, optional=["product_to_location", "product_to_region_code"])
     df = fill_numeric(df)
     df = df.withColumn("date", interval_date("identity_time_interval")).drop("identity_time_interval")
-    if order is None:
-        # file order of a plain read: partition index, then position in it
-        ord_col = F.monotonically_increasing_id()
-    elif isinstance(order, Column):
+    if isinstance(order, Column):
         ord_col = order
     else:
         ord_col = F.struct(*[F.col(c) for c in order_cols])
     df = df.withColumn("__order", ord_col).drop(*order_cols)
-    g = first_per_group(df, AWS_KEYS, F.col("__order"), agg).drop("__order")
+    g = first_per_group(df, periods + AWS_KEYS, F.col("__order"), agg).drop("__order")
     g = drop_zero_cost(net_cost_aws(g))
     return g.select(
         F.lit("aws").alias("provider"),
@@ -162,6 +188,7 @@ def clean_aws(raw: DataFrame, order: Sequence[str] | Column | None = None, agg:
         F.col("product_region_code").alias("region"),
         F.col("product_location").alias("location"),
         "cost",
+        *periods,
     )
 
 

@@ -11,16 +11,14 @@ from __future__ import annotations
 
 import datetime as _dt
 import re
-import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from costlens.functions import davg, dsum, lit_ts
-from costlens.functions.columns import MONEY
-from costlens.session import ensure_checkpoint_dir
+from costlens.functions import davg, dsum, exact, finite, lit_ts
+from costlens.session import scratch_folder
 
 KEYS = ("namespace", "metric", "resource_id")
 
@@ -74,7 +72,7 @@ class MetricCube:
     cells.  Sums are kept as exact decimals, so statistics re-aggregated from
     the cube equal the ones computed from the raw points."""
 
-    df: DataFrame  # KEYS, cell_start, vsum (decimal), vcnt, nrows, vmax
+    df: DataFrame  # KEYS, cell_start, vsum (decimal), vfit, vcnt (values in the sum's range, finite values), nrows, vmax
     as_of: object
     lookback_s: int
     grain_s: int
@@ -116,14 +114,15 @@ def metric_cube(
     cut = b + F.expr(f"INTERVAL {off} SECONDS")
     cell = F.when(F.col("ts") >= cut, cut).otherwise(b) if off else b
     df = p.groupBy(*KEYS, cell.alias("cell_start")).agg(
-        F.sum(F.col("value").cast(MONEY)).alias("vsum"),
-        F.count("value").alias("vcnt"),
+        F.try_sum(exact("value")).alias("vsum"),
+        F.count(exact("value")).alias("vfit"),
+        F.count(finite("value")).alias("vcnt"),
         F.count(F.lit(1)).alias("nrows"),
-        F.max("value").alias("vmax"),
+        F.max(finite("value")).alias("vmax"),
     )
     if materialize:
         # Parquet, sorted by metric: a check reads only its columns and the row groups of its metrics.
-        path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/cube-{uuid.uuid4().hex}"
+        path = scratch_folder(df.sparkSession, "cube")
         df.sortWithinPartitions("metric", "cell_start").write.parquet(path)
         df = df.sparkSession.read.schema(df.schema).parquet(path)
     return MetricCube(df, as_of, lb, grain_seconds)
@@ -142,7 +141,7 @@ def peak(points, as_of, lookback: str = "1 day", metrics=None) -> DataFrame:
         c = only_metrics(points.window(as_of, lookback), metrics)
         return c.groupBy("resource_id").agg(F.max("vmax").alias("peak"))
     p = only_metrics(in_window(points, as_of, lookback), metrics)
-    return p.groupBy("resource_id").agg(F.max("value").alias("peak"))
+    return p.groupBy("resource_id").agg(F.max(finite("value")).alias("peak"))
 
 
 def metric_stats(
@@ -154,14 +153,15 @@ def metric_stats(
     keys: Sequence[str] = KEYS,
 ) -> DataFrame:
     """MET-1 / MET-2: per metric and resource, `period` buckets of sum, average
-    and count over the last `lookback` -> `metric_stats` table.
+    and count of the finite values over the last `lookback` -> `metric_stats` table
+    (a bucket's sum and average are null if it holds a value of 1e28 or more).
 
     `points` is the raw point table or a `MetricCube` of it."""
     if isinstance(points, MetricCube):
         points.check_period(period)
         c = only_metrics(points.window(as_of, lookback), metrics)
-        tot = F.sum("vsum").cast("double")
         n = F.sum("vcnt")
+        tot = F.when(F.sum("vfit") == n, F.try_sum("vsum").cast("double"))
         return (
             c.groupBy(*keys, F.window("cell_start", period).alias("w"))
             .agg(tot.alias("sum"), F.try_divide(tot, n.cast("double")).alias("avg"), n.alias("cnt"))
@@ -170,7 +170,7 @@ def metric_stats(
     p = only_metrics(in_window(points, as_of, lookback), metrics)
     return (
         p.groupBy(*keys, F.window("ts", period).alias("w"))
-        .agg(dsum("value").alias("sum"), davg("value").alias("avg"), F.count("value").alias("cnt"))
+        .agg(dsum("value").alias("sum"), davg("value").alias("avg"), F.count(finite("value")).alias("cnt"))
         .select(*keys, F.col("w.start").alias("bucket_start"), "sum", "avg", "cnt")
     )
 

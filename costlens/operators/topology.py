@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 
 def cluster_instances(nodegroups: DataFrame, asg_members: DataFrame) -> DataFrame:
     """TOP-1: (cluster, nodegroup, asgs[]) ⨝ scaling-group members using the
-    first scaling group of each nodegroup -> (cluster, nodegroup, asg, instance_id).
+    first scaling group of each nodegroup -> (cluster, nodegroup, asg, instance_id);
+    a nodegroup without scaling groups has no instances.
 
     `asg_members` is either the flat edge table (asg, instance_id) — the form
     to export at scale — or the API shape (asg, instance_ids[])."""
-    ng = nodegroups.select("cluster", "nodegroup", F.element_at("asgs", 1).alias("asg"))
+    ng = nodegroups.select("cluster", "nodegroup", F.get("asgs", F.lit(0)).alias("asg"))
     if "instance_ids" in asg_members.columns:
         mem = asg_members.select("asg", F.explode("instance_ids").alias("instance_id"))
     else:

@@ -553,12 +553,12 @@ def cfg4_stale_delivery(spark, sf_dir):
 @query(
     "kms1_many_keys",
     "KMS-1",
-    ["audit_events"],
+    ["keys"],
     f"select {flag_sql('AWSKMS', 'KMS-1', 1, chr(39) + 'account' + chr(39), 'n', 5)} from "
-    "(select count(distinct key_id) as n from audit_events) c where n > 5",
+    "(select count(distinct key_id) as n from keys) c where n > 5",
 )
 def kms1_many_keys(spark, sf_dir):
-    return A.many_keys(Tables(spark, sf_dir).audit_events, 5)
+    return A.many_keys(Tables(spark, sf_dir).keys, 5)
 
 
 _OPS_VALUES = ", ".join(f"('{o}')" for o in A.KMS_OPERATIONS)
@@ -799,13 +799,18 @@ def net2_ingress_rate(spark, sf_dir):
     "NET-3",
     ["log_entries"],
     f"select {flag_sql('Networking', 'NET-3', 3, chr(39) + 'project' + chr(39), 'total', 300)} from "
-    "(select count(*) as total from log_entries) t where total > 300",
+    f"(select count(*) as total from log_entries where {window_sql(AS_OF, '1 day')}) t where total > 300",
 )
 def net3_excessive_logging(spark, sf_dir):
-    return G.excessive_logging(Tables(spark, sf_dir).log_entries, 300)
+    return G.excessive_logging(Tables(spark, sf_dir).log_entries, AS_OF, 300)
 
 
-@query("net3_log_counts", "NET-3", ["log_entries"], "select log_name, count(*) as n from log_entries group by log_name")
+@query(
+    "net3_log_counts",
+    "NET-3",
+    ["log_entries"],
+    f"select log_name, count(*) as n from log_entries where {window_sql(AS_OF, '1 day')} group by log_name",
+)
 def net3_log_counts(spark, sf_dir):
-    return G.log_counts(Tables(spark, sf_dir).log_entries)
+    return G.log_counts(Tables(spark, sf_dir).log_entries, AS_OF)
 

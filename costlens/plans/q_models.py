@@ -12,10 +12,10 @@ from costlens.operators import clean as C
 from costlens.operators import forecast as FC
 from costlens.operators import pivots as P
 from costlens.operators.findings import union_findings
-from costlens.plans.q_billing import AWS_SERVICES, CLEAN_AWS_SQL, CLEAN_GCP_SQL, GCP_SERVICES, aws_clean, gcp_clean
+from costlens.plans.q_billing import AWS_ORDER, AWS_SERVICES, CLEAN_AWS_SQL, CLEAN_GCP_SQL, GCP_SERVICES, aws_clean, gcp_clean
 from costlens.functions import dsum
 from costlens.plans.registry import REGISTRY, d_, dsum_, query
-from costlens.session import materialize
+from costlens.session import materialize, scratch_folder
 from costlens.sources import billing as B
 from costlens.sources.fixtures import SERVICE_MAP_SQL, Tables, service_map
 
@@ -497,11 +497,7 @@ def src7_thresholds_wide(spark, sf_dir):
 # ------------------------------------------------------------------ sinks and sources, round trips
 def _scratch(spark, name: str) -> str:
     """A fresh folder under the cluster's shared checkpoint directory."""
-    import uuid
-
-    from costlens.session import ensure_checkpoint_dir
-
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/roundtrip/{name}-{uuid.uuid4().hex}"
+    return scratch_folder(spark, f"roundtrip-{name}")
 
 
 @query(
@@ -659,3 +655,64 @@ def src2_columns_by_name(spark, sf_dir):
     return B.read_gcp_billing(spark, folder, "part-").groupBy(F.col("Service description").alias("service")).agg(
         F.count(F.lit(1)).alias("n"), F.count("Cost (€)").alias("n_cost"), F.count("Discounts (€)").alias("n_disc")
     )
+
+
+@query(
+    "snk1_incremental_clean",
+    "SRC-1 SNK-1 CLN-12",
+    ["cost_aws_raw"],
+    f"select provider, {d_('date')} as date, service, product_code, region, location, cost, "
+    f"strftime(date, '%Y') as billing_period from ({CLEAN_AWS_SQL}) c",
+)
+def snk1_incremental_clean(spark, sf_dir):
+    """The AWS export in yearly periods, cleaned in two runs: the second one finds
+    a new run folder in one period (with a half of its lines before, all after)
+    and reads and replaces that period alone.  Equal to one cleaning of it all."""
+    raw = Tables(spark, sf_dir).cost_aws_raw
+    raw = raw.withColumn("BILLING_PERIOD", F.substring("identity_time_interval", 1, 4))
+    base, table, manifest = (_scratch(spark, n) for n in ("aws-runs", "aws-clean", "aws-manifest"))
+    write = lambda df, run, mode: (
+        df.withColumn("run", F.lit(run)).write.mode(mode).option("header", True).option("compression", "gzip")
+        .partitionBy("BILLING_PERIOD", "run").csv(f"{base}-staged")
+    )
+    write(raw.where("BILLING_PERIOD <> '1995' or l_orderkey % 2 = 0"), _RUN, "overwrite")
+    _as_run_folders(spark, f"{base}-staged", base)
+    columns = [c for c in raw.columns if c != "BILLING_PERIOD"]
+    schema = raw.select(*columns).schema
+    clean = lambda df: C.clean_aws(df, order=AWS_ORDER, period="BILLING_PERIOD")
+    B.update_clean_aws(spark, base, table, manifest, clean, schema, file_prefix="part-")
+    write(raw.where("BILLING_PERIOD = '1995' and l_orderkey % 2 <> 0"), _LATER_RUN, "append")
+    _as_run_folders(spark, f"{base}-staged", base)
+    B.update_clean_aws(spark, base, table, manifest, clean, schema, file_prefix="part-")
+    got = spark.read.parquet(table).withColumn("billing_period", F.col("BILLING_PERIOD").cast("string"))
+    return got.select("provider", "date", "service", "product_code", "region", "location", "cost", "billing_period")
+
+
+_LATER_RUN = "2024-03-01T10_00_00.000Z-0123abcd-0123-4567-89ab-0123456789ab"
+
+
+def _as_run_folders(spark, staged: str, base: str) -> None:
+    """Gives the export its layout: `run=<folder>` becomes `<folder>`."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files = path(staged).getFileSystem(spark._jsc.hadoopConfiguration())
+    for period in files.listStatus(path(staged)):
+        if period.isDirectory():
+            to = path(base, period.getPath().getName())
+            files.mkdirs(to)
+            for run in files.listStatus(period.getPath()):
+                files.rename(run.getPath(), path(to, run.getPath().getName().removeprefix("run=")))
+
+
+@query(
+    "snk2_repeated_run",
+    "SNK-2 SRC-6",
+    ["metric_points"],
+    "select metric as service, threshold, 1 as rows from (" + REGISTRY["ano3_6_thresholds"].raw_sql + ") t",
+)
+def snk2_repeated_run(spark, sf_dir):
+    """A run written twice (the first time with other values) leaves its rows once."""
+    th = ano3_6_thresholds(spark, sf_dir).select(F.col("metric").alias("service"), "threshold", "accuracy")
+    path = _scratch(spark, "thresholds-again")
+    for factor in (3, 1):
+        B.append_thresholds(th.withColumn("threshold", F.col("threshold") * factor), path, "2024-01-01 00:00:00", "run-1")
+    return spark.read.parquet(path).groupBy("service").agg(F.max("threshold").alias("threshold"), F.count(F.lit(1)).cast("int").alias("rows"))

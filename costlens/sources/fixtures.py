@@ -365,6 +365,10 @@ class Tables:
         )
         return self.events.select(name.alias("event_name"), F.col("user_id").alias("key_id"), "ts")
 
+    @property
+    def keys(self) -> DataFrame:
+        return self.customer.select(F.col("c_custkey").alias("key_id"))
+
     @property
     def advisor_checks(self) -> DataFrame:
         return self.part.select(F.col("p_partkey").alias("check_id"), F.col("p_name").alias("name"))
@@ -413,7 +417,7 @@ class Tables:
 
     @property
     def log_entries(self) -> DataFrame:
-        return self.conversations.select(F.col("role").alias("log_name"), "conv_id", "turn")
+        return self.events.select(F.col("event_type").alias("log_name"), "event_id", "ts")
 
 
 # Fixed values of the fixture: billing service names of the test data mapped
@@ -550,6 +554,7 @@ FIXTURE_SQL = {
         "when 'purchase' then 'DescribeKey' when 'signup' then 'RotateKey' else 'Other' end event_name, "
         "user_id key_id, ts from events"
     ),
+    "keys": "select c_custkey key_id from customer",
     "advisor_checks": "select p_partkey check_id, p_name name from part",
     "advisor_flagged": "select l_partkey check_id, l_orderkey resource_id from lineitem",
     "nodes": "select n_name node_name, '4' cpu, '8388608Ki' memory from nation",
@@ -562,7 +567,7 @@ FIXTURE_SQL = {
         "select distinct substr(n_name,1,length(n_name)-1) pool, "
         "case when n_regionkey<2 then 'n1-standard-64' else 'e2-small' end machine_type from nation"
     ),
-    "log_entries": "select role log_name, conv_id, turn from conversations",
+    "log_entries": "select event_type log_name, event_id, ts from events",
 }
 
 

@@ -6,6 +6,7 @@
 * `metric_buckets_stream` — hourly (or other) metric buckets (MET-1) kept
   incrementally with a watermark, so late points within the allowed delay
   still land in their bucket and finished buckets are emitted once.
+* `start_by_name` — the same files, columns by name: each batch groups its files by header.
 * `start_ingest` — exactly-once append into a Parquet table (file sink +
   checkpoint in the cluster's shared checkpoint folder).
 """
@@ -16,9 +17,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from costlens.functions import davg, dsum
+from costlens.functions import davg, dsum, finite
 from costlens.session import ensure_checkpoint_dir
-from costlens.sources.billing import AWS_FILE_PREFIX, AWS_PARTITION_PREFIX, AWS_RUN_FOLDER
+from costlens.operators.clean import FILE_ORDER
+from costlens.sources.billing import AWS_FILE_PREFIX, AWS_PARTITION_PREFIX, AWS_RUN_FOLDER, read_by_name
 
 
 def billing_stream(spark: SparkSession, base: str, schema, max_files_per_trigger: int | None = None) -> DataFrame:
@@ -48,7 +50,7 @@ def metric_buckets_stream(points: DataFrame, period: str = "1 hour", delay: str
     return (
         points.withWatermark("ts", delay)
         .groupBy("namespace", "metric", "resource_id", F.window("ts", period).alias("w"))
-        .agg(dsum("value").alias("sum"), davg("value").alias("avg"), F.count("value").alias("cnt"))
+        .agg(dsum("value").alias("sum"), davg("value").alias("avg"), F.count(finite("value")).alias("cnt"))
         .select("namespace", "metric", "resource_id", F.col("w.start").alias("bucket_start"), "sum", "avg", "cnt")
     )
 
@@ -64,3 +66,33 @@ def start_ingest(stream: DataFrame, out_path: str, name: str, partition_by: str
         w = w.partitionBy(partition_by)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=processing_time)
     return w.queryName(name).start()
+
+
+def start_by_name(
+    spark: SparkSession, base: str, schema: str, out_path: str, name: str, file_prefix: str = AWS_FILE_PREFIX
+) -> StreamingQuery:
+    """SRC-3 as a stream: export files as they arrive, whatever the order and choice of their columns.
+
+    A batch is a list of new files (the stream reads their names alone).  Its
+    files are read by name, like those of one export, and written under
+    `batch=<number>`, which a repeated batch replaces.
+    """
+    files = (
+        spark.readStream.format("binaryFile")
+        .option("recursiveFileLookup", True)
+        .option("pathGlobFilter", f"{file_prefix}*.gz")
+        .schema("path string, modificationTime timestamp, length long, content binary")
+        .load(base)
+        .select("path")
+    )
+
+    def unite(batch: DataFrame, number: int) -> None:
+        # the names of a trigger's files, which Spark's own file source lists on the driver as well
+        paths = sorted(batch.where(F.element_at(F.split("path", "/"), -2).rlike(AWS_RUN_FOLDER)).toArrow().column("path").to_pylist())
+        if paths:
+            rows = read_by_name(batch.sparkSession, paths, f"{file_prefix}*.gz", schema).withColumn("source_file", F.col(f"{FILE_ORDER}.file_path"))
+            period = F.regexp_extract("source_file", f"{AWS_PARTITION_PREFIX}([^/]+)/", 1)
+            rows.drop(FILE_ORDER).withColumn("BILLING_PERIOD", period).write.mode("overwrite").parquet(f"{out_path}/batch={number}")
+
+    ckpt = f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/{name}"
+    return files.writeStream.foreachBatch(unite).option("checkpointLocation", ckpt).trigger(availableNow=True).queryName(name).start()
