@@ -11,6 +11,7 @@ from costlens.operators import anomaly as AN
 from costlens.operators import clean as C
 from costlens.operators import forecast as FC
 from costlens.operators import pivots as P
+from costlens.operators import report as RP
 from costlens.operators.findings import union_findings
 from costlens.plans.q_billing import AWS_ORDER, AWS_SERVICES, CLEAN_AWS_SQL, CLEAN_GCP_SQL, GCP_SERVICES, aws_clean, gcp_clean
 from costlens.functions import dsum
@@ -355,24 +356,40 @@ FINDING_QUERIES = [
 ]
 
 
-def all_findings(spark, sf_dir, shared_cube: bool = True, services: list[str] | None = None):
-    """Every check's findings in one table (or only the checks of `services`).
-    The metric checks share one metric cube (one scan, one aggregate of the
-    widest window, written once to the checkpoint folder) instead of scanning
-    the points once each."""
-    names = [n for n in FINDING_QUERIES if services is None or AL.service_of_check(REGISTRY[n].ops[0]) in services]
-    if not names:  # no service alerts: an empty findings table
-        schema = union_findings([REGISTRY[FINDING_QUERIES[0]].fn(spark, sf_dir)]).schema
-        return spark.createDataFrame([], schema)
-    if not shared_cube:
-        return union_findings([REGISTRY[n].fn(spark, sf_dir) for n in names])
+def fixture_setup() -> RP.Setup:
+    """The limits, dates and metric names under which the fixture's checks are registered (q_checks)."""
+    from costlens.plans.q_checks import AS_OF, CPU, IN, MEM, OTHER, OUT
+
+    names = {
+        "cpu": CPU, "mem": MEM, "nin": IN, "nout": OUT, "rdops": IN, "wrops": OUT, "idle": OTHER, "pod": CPU, "node": MEM,
+        "req": OTHER, "nat_out": IN, "nat_in": OUT, "vpn_in": CPU, "vpn_out": MEM, "flow": IN, "pk_in": IN, "pk_out": OUT,
+        "gcpu": CPU, "geg": OUT, "grd": IN, "gwr": OUT, "keg": OUT, "klog": OTHER, "kmon": MEM, "veg": OUT, "vin": IN,
+    }
+    limits = RP._limits() | {
+        "CW-2": 2, "CW-3": 10, "CW-4": 50, "CW-4 minutes": 1440, "EC2-1": 100, "EC2-2": 200, "EC2-4b": 200, "EKS-1": 100,
+        "EKS-1 memory": 100, "EKS-2": 200, "EKS-6": 150, "EKS-7": 200, "EKS-9": 300, "EKS-11": 100, "S3-5": 1, "VPC-1": 100,
+        "VPC-3": 300, "VPC-4": 100, "VPC-10a": 5, "VPC-10b": 5, "VPC-11": 40, "VPC-12": 100, "GCE-1": 100, "GCE-2": 5,
+        "GCE-2 low": 5, "GCE-3": 2e-7, "GCE-4": 1e-6, "GKE-3": 0.7, "GKE-3 memory": 3.0, "GKE-4": 200, "GKE-5": 180,
+        "NET-1": 0.5, "NET-2": 0.3,
+    }
+    dates = {"EC2-3": "1995-12-01", "EC2-5": "2001-08-02", "S3-1": "2024-02-15", "CFG-4": "2024-03-05"}
+    return RP.Setup(AS_OF, dates, names, limits, "red widget")
+
+
+def all_findings(spark, sf_dir, services: list[str] | None = None):
+    """Every check's findings in one table (or those of the checks of `services`), a branch per source."""
     from costlens.operators.metrics import metric_cube
     from costlens.plans.q_checks import AS_OF
-    from costlens.sources.fixtures import metric_cube_scope
 
-    cube = metric_cube(Tables(spark, sf_dir).metric_points, AS_OF, "7 days")
-    with metric_cube_scope(spark, sf_dir, cube):
-        return union_findings([REGISTRY[n].fn(spark, sf_dir) for n in names])
+    t = Tables(spark, sf_dir)
+    names = sorted(set(AL.PREFIX_SERVICE.values())) if services is None else services
+    cube = metric_cube(t.metric_points, AS_OF, "7 days", materialize=bool(names))
+    return RP.findings(t, cube, fixture_setup(), names)
+
+
+def union_of_checks(spark, sf_dir):
+    """The same findings from the check functions, one branch each: what the compiled rules are tested against."""
+    return union_findings([REGISTRY[n].fn(spark, sf_dir) for n in FINDING_QUERIES])
 
 
 def hot_findings(spark, sf_dir):

@@ -39,11 +39,11 @@ def test_cube_rejects_uncovered_windows(spark):
 
 
 def test_report_reads_metrics_once(spark):
-    from costlens.plans.q_models import all_findings
+    from costlens.plans.q_models import all_findings, union_of_checks
 
     def scans(shared):
-        plan = all_findings(spark, SF, shared_cube=shared)._jdf.queryExecution().executedPlan().toString()
-        return plan.count("events.parquet")
+        made = (all_findings if shared else union_of_checks)(spark, SF)
+        return made._jdf.queryExecution().executedPlan().toString().count("events.parquet")
 
     # every windowed metric check reads the cube; the remaining scans of the
     # events table are the other inventories built on it (objects, audit
