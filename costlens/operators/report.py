@@ -20,11 +20,19 @@ from costlens.operators.checks import aws as A
 from costlens.operators.checks import gcp as G
 from costlens.operators.findings import FINDING_SCHEMA
 from costlens.operators.metrics import MetricCube, in_window, metric_stats, window_rows
-from costlens.operators.rules import Rule, compile_rules, resource_stats
+from costlens.operators.rules import Rule, compile_rules, resource_stats, stat_columns
 from costlens.session import scratch_table
 
 GIB = float(2**30)
 
+# The statistics that rules read.
+STATS = (
+    "cpu_avg", "cpu_max", "cpu_buckets", "mem_avg", "mem_max", "mem_buckets", "nin_total", "nin_max", "nout_total", "nout_max",
+    "rdops_avg", "wrops_avg", "idle_total", "pod_total", "node_total", "req_total", "nat_out_total", "nat_in_total",
+    "vpn_in_total", "vpn_out_total", "flow_total", "gcpu_avg7", "geg_sumavg7", "grd_total7", "gwr_total7",
+    "keg_peak", "klog_peak", "kmon_peak", "veg_rate", "vin_rate",
+)
+
 
 def _metrics() -> dict[str, str]:
     """Prefix of the statistics -> metric; the clouds' names."""
@@ -185,7 +193,8 @@ def sources(t, cube: MetricCube, s: Setup, services: Sequence[str]) -> dict[str,
         return kept[name]
 
     def stats() -> DataFrame:
-        return once("stats", lambda: resource_stats(cube, s.as_of, s.metrics))
+        kept = once("stats", lambda: resource_stats(cube, s.as_of, s.metrics.values()))
+        return stat_columns(kept, s.metrics, STATS)
 
     def members() -> DataFrame:
         made = lambda: TP.cluster_instances(t.nodegroups, t.asg_members).select("cluster", "instance_id").distinct()

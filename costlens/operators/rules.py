@@ -67,20 +67,20 @@ def compile_rules(sources: Mapping[str, Callable[[], DataFrame]], rules: Iterabl
     return union_findings([judge(sources[name](), some) for name, some in by.items()])
 
 
-def resource_stats(cube: MetricCube, as_of, metrics: Mapping[str, str]) -> DataFrame:
-    """Every statistic that rules read, one row per resource, from one pass over the cells of a cube.
+def resource_stats(cube: MetricCube, as_of, metrics: Iterable[str]) -> DataFrame:
+    """(resource_id, stats): every statistic that rules read, from one pass over the cells of a cube.
 
-    `metrics`: prefix of the output columns -> metric.  For each prefix, over
-    the last day: `_avg` (mean of hourly means), `_total`, `_max` (largest
-    hourly mean), `_buckets` (hours with points), `_rate` (largest per-second
-    rate in 300 s), `_peak` (largest point); over seven days: `_avg7`,
-    `_sumavg7` (sum of hourly means) and `_total7` (of daily sums).
+    stats maps each of `metrics` to a struct; over the last day: avg (mean of
+    hourly means), total, max (largest hourly mean), buckets (hours with
+    points), rate (largest per-second rate in 300 s), peak (largest point);
+    over seven days: avg7, sumavg7 (sum of hourly means) and total7 (of daily
+    sums).
 
     Cells are dealt by resource once; the buckets of 300 s, hours and days and
     the resource are grouped in that order without another shuffle, and a
     resource has a bounded number of cells.
     """
-    cells = cube.window(as_of, "7 days").where(F.col("metric").isin(list(set(metrics.values()))))
+    cells = cube.window(as_of, "7 days").where(F.col("metric").isin(sorted(set(metrics))))
     last = F.col("cell_start") >= lit_ts(as_of) - F.expr("INTERVAL 1 DAY")
     fit = lambda n, f, s: F.when(F.sum(n) == F.sum(f), F.try_sum(s))  # noqa: E731  a sum out of range is null
     one = lambda c: F.when(last, F.col(c))
@@ -112,20 +112,27 @@ def resource_stats(cube: MetricCube, as_of, metrics: Mapping[str, str]) -> DataF
         F.try_sum(exact("avg7")).alias("a7"), F.count(finite("avg7")).alias("k7"),
         F.max("rate").alias("rate"), F.max("peak").alias("peak"),
     )
-    out: list[Column] = []
-    for prefix, name in metrics.items():
-        of = lambda c: F.when(F.col("metric") == name, F.col(c))  # noqa: B023, E731
-        total = lambda c: F.try_sum(of(c))  # noqa: B023, E731
-        out += [
-            F.try_divide(total("a1").cast("double"), F.sum(of("k1")).cast("double")).alias(f"{prefix}_avg"),
-            total("t1").cast("double").alias(f"{prefix}_total"),
-            F.max(of("m1")).alias(f"{prefix}_max"),
-            F.coalesce(F.sum(of("n1")), F.lit(0)).alias(f"{prefix}_buckets"),
-            F.max(of("rate")).alias(f"{prefix}_rate"),
-            F.max(of("peak")).alias(f"{prefix}_peak"),
-            F.try_divide(total("a7").cast("double"), F.sum(of("k7")).cast("double")).alias(f"{prefix}_avg7"),
-            total("a7").cast("double").alias(f"{prefix}_sumavg7"),
-            F.try_sum(exact(of("day7"))).cast("double").alias(f"{prefix}_total7"),
-        ]
-    return days.groupBy("resource_id").agg(*out)
+    total = lambda c: F.try_sum(c).cast("double")
+    each = days.groupBy("resource_id", "metric").agg(
+        F.struct(
+            F.try_divide(total("a1"), F.sum("k1").cast("double")).alias("avg"),
+            total("t1").alias("total"),
+            F.max("m1").alias("max"),
+            F.sum("n1").alias("buckets"),
+            F.max("rate").alias("rate"),
+            F.max("peak").alias("peak"),
+            F.try_divide(total("a7"), F.sum("k7").cast("double")).alias("avg7"),
+            total("a7").alias("sumavg7"),
+            total(exact("day7")).alias("total7"),
+        ).alias("of")
+    )
+    # a resource's metrics, at most those named
+    return each.groupBy("resource_id").agg(F.map_from_entries(F.collect_list(F.struct("metric", "of"))).alias("stats"))
+
 
+def stat_columns(stats: DataFrame, metrics: Mapping[str, str], wanted: Iterable[str]) -> DataFrame:
+    """(resource_id, the `wanted` columns): `<prefix>_<statistic>` of the metric with that prefix."""
+    told = [w.rsplit("_", 1) for w in wanted]
+    return stats.select(
+        "resource_id", *[F.col("stats").getItem(metrics[prefix])[what].alias(f"{prefix}_{what}") for prefix, what in told]
+    )
