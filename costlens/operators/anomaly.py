@@ -6,10 +6,9 @@ fitted and scored per group (service) entirely inside Spark:
 * fit: rows are hash-sampled to (group, tree) pairs so each tree sees at most
   `psi` rows; `groupBy(group).applyInPandas` builds a group's trees from its
   sample (<= trees x psi rows, never a whole service);
-* score: rows are salted into buckets per group, the (small, bounded) model of
-  the group is replicated to each bucket, and `cogroup(...).applyInPandas`
-  scores a bucket with numpy — no group is ever pulled into one task, and
-  nothing passes through the driver.
+* score: a group's trees are merged into one step function of the value, which
+  two binary searches in DataFrame functions look up — rows are neither
+  shuffled nor sent to Python, and nothing passes through the driver.
 
 ANO-3..6 (offset, labels, threshold search) are plain aggregates.
 """
@@ -119,7 +118,10 @@ def anomaly_label(decision) -> Column:
 
 def with_decision(scores: DataFrame, group: str, raw: str = "raw", q: float = 0.2, exact: bool = True) -> DataFrame:
     """ANO-2/3/4: decision = raw − offset(group), anomaly label from its sign."""
-    off = per_group(contamination_offset(scores, group, raw, q, exact))
+    return _decided(scores, per_group(contamination_offset(scores, group, raw, q, exact)), group, raw)
+
+
+def _decided(scores: DataFrame, off: DataFrame, group: str, raw: str) -> DataFrame:
     return (
         scores.join(off, group)
         .withColumn("score", F.col(raw) - F.col("offset"))
@@ -283,48 +285,93 @@ def iforest_fit(df: DataFrame, group: str, value: str, row_id: str, trees: int =
 
 
 # ------------------------------------------------------------------ ANO-2 score
-SCORE_SCHEMA = "g string, rid long, v double, raw double"
-
-
-def _score_bucket(rows: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
-    if rows.empty:
-        return pd.DataFrame({"g": [], "rid": [], "v": [], "raw": []})
-    x = rows["v"].to_numpy(dtype=float)
-    total = np.zeros(len(x))
-    for splits, depths in zip(model["splits"], model["depths"]):
-        s = np.asarray(splits, dtype=float)
-        dep = np.asarray(depths, dtype=float)
-        total += dep[np.searchsorted(s, x, side="right")]
-    eh = total / max(len(model), 1)
-    cn = c_factor(float(model["psi"].max())) if len(model) else 0.0
-    raw = -np.power(2.0, -eh / cn) if cn > 0 else np.full(len(x), -1.0)
-    return pd.DataFrame({"g": rows["g"].astype(str).to_numpy(), "rid": rows["rid"].to_numpy(), "v": x, "raw": raw})
-
-
-def iforest_score(df: DataFrame, model: DataFrame, group: str, value: str, row_id: str,
-                  rows_per_task: int = 1_000_000) -> DataFrame:
+BLOCK = 256  # steps of a group's score function that are looked up together
+STEP_SCHEMA = "g string, block int, begins double, breaks array<double>, raws array<double>"
+
+
+def _merge(model: pd.DataFrame) -> pd.DataFrame:
+    """The trees of a group as one step function of the value, in blocks of BLOCK steps.
+
+    A step begins where a split of any tree is; its score is -2^(-E[h]/c(psi)),
+    E[h] being the mean path length of the trees there.  At most trees x psi
+    steps, whatever the group's size."""
+    splits = [np.asarray(s, dtype=float) for s in model["splits"]]
+    breaks = np.unique(np.concatenate(splits))
+    at = np.r_[-np.inf, breaks]
+    total = np.zeros(len(at))
+    for s, depths in zip(splits, model["depths"]):
+        total += np.asarray(depths, dtype=float)[np.searchsorted(s, at, side="right")]
+    cn = c_factor(float(model["psi"].max()))
+    raw = -np.power(2.0, -(total / len(model)) / cn) if cn > 0 else np.full(len(at), -1.0)
+    rows = []
+    for k, lo in enumerate(range(0, len(raw), BLOCK)):
+        own = breaks[lo : lo + BLOCK - 1]
+        part = raw[lo : lo + BLOCK]
+        pad = BLOCK - 1 - len(own)  # steps that are never reached, but by infinity and NaN, which are in the last one
+        rows.append((str(model["g"].iloc[0]), k, at[lo], np.r_[own, np.full(pad, np.inf)], np.r_[part, np.full(BLOCK - len(part), part[-1])]))
+    return pd.DataFrame(rows, columns=["g", "block", "begins", "breaks", "raws"])
+
+
+def step_function(model: DataFrame) -> DataFrame:
+    """(g, block, begins, breaks, raws): each group's score by value, from its trees."""
+    return model.groupBy("g").applyInPandas(_merge, STEP_SCHEMA)
+
+
+def _count_not_above(df: DataFrame, array: str, value: str, size: int, out: str) -> DataFrame:
+    """`df` with `out`: how many of the first size - 1 entries of a sorted array aren't above `value`.
+
+    A binary search in as many projections as it has steps; `size` is a power of two."""
+    df = df.withColumn(out, F.lit(0))
+    step = size // 2
+    while step:
+        here = F.get(array, F.col(out) + F.lit(step - 1)) <= F.col(value)
+        df = df.withColumn(out, F.when(here, F.col(out) + F.lit(step)).otherwise(F.col(out)))
+        step //= 2
+    return df
+
+
+def iforest_score(df: DataFrame, model: DataFrame, group: str, value: str, row_id: str, trees: int = 100, psi: int = 256) -> DataFrame:
     """ANO-2: raw score (−2^(−E[h]/c(psi)), sklearn's `score_samples`) of every row.
 
-    Rows of a group are split into ceil(n / rows_per_task) salted buckets and
-    the group's model (<= trees × 2·psi numbers) is copied to each bucket, so
-    a hot group is spread over many tasks."""
+    The group's trees are one step function, looked up by two binary searches:
+    the block of steps, then the step.  Both tables are bounded by trees x psi
+    numbers a group and are broadcast behind a checked count of groups, so no
+    row is shuffled and none goes through Python."""
     d = df.select(F.col(group).cast("string").alias("g"), F.col(row_id).cast("long").alias("rid"),
                   F.col(value).cast("double").alias("v")).filter(F.col("v").isNotNull())
-    nb = per_group(
-        d.groupBy("g").agg(F.count(F.lit(1)).alias("n")).select(
-            "g", F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(float(rows_per_task)))).cast("int").alias("nb")
-        )
-    )
-    rows = d.join(nb, "g").withColumn("b", F.pmod(F.xxhash64("rid"), F.col("nb")).cast("int")).drop("nb")
-    mx = model.join(nb, "g").withColumn("b", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).drop("nb")
-    return rows.groupBy("g", "b").cogroup(mx.groupBy("g", "b")).applyInPandas(
-        lambda r, m: _score_bucket(r, m), SCORE_SCHEMA
+    steps = _write_once(step_function(model))
+    size = 1 << max(1, math.ceil(trees * psi / BLOCK)).bit_length()
+    begins = F.sort_array(F.collect_list(F.when(F.col("block") > 0, F.col("begins"))))
+    pad = F.array_repeat(F.lit(float("inf")), F.lit(size))
+    blocks = steps.groupBy("g").agg(F.concat(begins, pad).alias("begins"), (F.count(F.lit(1)) - 1).cast("int").alias("last"))
+    blocks = _write_once(blocks)
+    few = blocks.count() <= MAX_BROADCAST_GROUPS // 100  # a group's blocks are some hundred kB at most
+    told = F.broadcast if few else (lambda x: x)
+    rows = _count_not_above(d.join(told(blocks), "g"), "begins", "v", size, "block")
+    rows = rows.withColumn("block", F.least("block", "last")).drop("begins", "last")
+    found = _count_not_above(rows.join(told(steps.drop("begins")), ["g", "block"]), "breaks", "v", BLOCK, "step")
+    return found.select("g", "rid", "v", F.get("raws", F.col("step")).alias("raw"))
+
+
+def step_quantile(scores: DataFrame, group: str, raw: str, q: float) -> DataFrame:
+    """(group, offset): the interpolated `q` quantile of scores that take few values, from the count of each.
+
+    The scores of a forest are steps, at most trees x psi a group: counted
+    before the shuffle, and ranked by running totals."""
+    counts = scores.where(F.col(raw).isNotNull()).groupBy(F.col(group).alias("g"), F.col(raw).alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    each = Window.partitionBy("g")
+    upto = F.sum("c").over(each.orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = counts.select("g", "v", upto.alias("upto"), F.sum("c").over(each).alias("n"))
+    h = (F.col("n") - 1).cast("double") * F.lit(float(q))
+    at = lambda k: F.min(F.when(F.col("upto") > k, F.col("v")))
+    got = ranked.groupBy("g").agg(
+        at(F.floor(h)).alias("a"), at(F.least(F.floor(h) + 1, F.col("n") - 1)).alias("b"), F.first(h - F.floor(h)).alias("w")
     )
+    return got.select(F.col("g").alias(group), (F.col("a") + (F.col("b") - F.col("a")) * F.col("w")).alias("offset"))
 
 
 def isolation_forest(df: DataFrame, group: str, value: str, row_id: str, contamination: float = 0.2,
-                     trees: int = 100, psi: int = 256, seed: int = 42, rows_per_task: int = 1_000_000,
-                     exact_offset: bool = True, materialize: bool = True) -> DataFrame:
+                     trees: int = 100, psi: int = 256, seed: int = 42, materialize: bool = True) -> DataFrame:
     """ANO-1..4: fit, score, offset and label -> (group, row_id, value, raw, score, anomaly).
 
     `score` is the decision value (raw − offset) the reference stores in its
@@ -334,15 +381,15 @@ def isolation_forest(df: DataFrame, group: str, value: str, row_id: str, contami
     the raw scores by the offset and the labelling.  With `materialize`, the
     three input columns and the raw scores are each written once to the
     checkpoint folder, so the upstream plan (e.g. billing cleaning) and the
-    Python scoring run once, not once per consumer."""
+    scoring run once, not once per consumer."""
     df = df.select(group, value, row_id)
     if materialize:
         df = _write_once(df)
     model = iforest_fit(df, group, value, row_id, trees, psi, seed)
-    raw = iforest_score(df, model, group, value, row_id, rows_per_task)
+    raw = iforest_score(df, model, group, value, row_id, trees, psi)
     if materialize:
         raw = _write_once(raw)
-    out = with_decision(raw, "g", "raw", contamination, exact_offset)
+    out = _decided(raw, per_group(step_quantile(raw, "g", "raw", contamination)), "g", "raw")
     return out.select(
         F.col("g").alias(group), F.col("rid").alias(row_id), F.col("v").alias(value), "raw", "score", "anomaly"
     )

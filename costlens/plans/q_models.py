@@ -254,23 +254,6 @@ def ts2_adf_lag0(spark, sf_dir):
     return a.select("service", "nobs", F.round("beta", 9).alias("beta"), F.round("tau", 6).alias("tau"))
 
 
-@query("ts2_5_8_model_orders", "TS-2 TS-5 TS-6 TS-7 TS-8 TS-10")
-def ts2_5_8_model_orders(spark, sf_dir):
-    """ADF (AIC lag), stationarity form and the (p, d, q) rule per service (rows-only)."""
-    m = FC.arima_job(series(Tables(spark, sf_dir)))
-    return m.filter((F.col("kind") == "forecast") & (F.col("step") == 1)).select(
-        "service", "p", "d", "q", "p_used", "q_used", "adf_tau", "adf_p", "adf_lag", "form"
-    )
-
-
-@query("ts11_13_arima", "TS-11 TS-12 TS-13 TS-14")
-def ts11_13_arima(spark, sf_dir):
-    """ARIMA(p,d,q) fit, in-sample predictions and 7-step forecast per service (rows-only)."""
-    return FC.arima_job(series(Tables(spark, sf_dir))).select(
-        "service", "kind", "date", "step", "value", "sigma2", "converged"
-    )
-
-
 # ------------------------------------------------------------------ AGG-4
 def forecasts(t: Tables, s=None):
     s = series(t) if s is None else s

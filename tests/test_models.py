@@ -35,7 +35,7 @@ def test_forest_scores_and_labels(planted):
 
 def test_forest_deterministic_across_partitioning(planted):
     a = AN.isolation_forest(planted, "service", "cost", "row_id").select("row_id", "service", "raw").toPandas()
-    b = AN.isolation_forest(planted.repartition(7), "service", "cost", "row_id", rows_per_task=500)
+    b = AN.isolation_forest(planted.repartition(7), "service", "cost", "row_id")
     b = b.select("row_id", "service", "raw").toPandas()
     m = a.merge(b, on=["service", "row_id"])
     assert len(m) == len(a) and np.allclose(m["raw_x"], m["raw_y"], rtol=0, atol=1e-12)
@@ -157,3 +157,30 @@ def test_session_leaves_the_submitted_master_alone():
     from costlens import session
 
     assert "local[" not in inspect.getsource(session.get_session)
+
+
+def test_native_scores_equal_the_trees(spark, planted):
+    """Every value through every tree by hand: the same score, with values on splits, beyond them, infinite and NaN."""
+    model = AN.iforest_fit(planted, "service", "cost", "row_id")
+    trees = model.toPandas()
+    a = trees[trees["g"] == "a"]
+    edge = [float(x) for s in a["splits"][:5] for x in s[::40]]
+    values = edge + [-1e9, 1e9, 0.0, -0.0, float("inf"), -float("inf"), float("nan"), 100.0, *np.linspace(80, 120, 500).tolist()]
+    df = spark.createDataFrame([("a", i, float(v)) for i, v in enumerate(values)], "service string, row_id long, cost double")
+    scored = AN.iforest_score(df, model, "service", "cost", "row_id")
+    got = {r.rid: r.raw for r in scored.collect()}
+    for i, v in enumerate(values):
+        total = sum(d[int(np.searchsorted(np.asarray(s), v, side="right"))] for s, d in zip(a["splits"], a["depths"]))
+        want = -(2.0 ** (-(total / len(a)) / AN.c_factor(256)))
+        assert abs(got[i] - want) < 1e-12
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert "Pandas" not in plan and "Python" not in plan and "Exchange hashpartitioning" not in plan
+
+
+def test_step_quantile(spark, planted):
+    out = AN.isolation_forest(planted, "service", "cost", "row_id")
+    got = {r.service: r.offset for r in AN.step_quantile(out, "service", "raw", 0.2).collect()}
+    for g, part in out.toPandas().groupby("service"):
+        assert abs(got[g] - np.percentile(part["raw"], 20)) < 1e-12
+    exact = {r.service: r.offset for r in AN.exact_quantile(out, "service", "raw", 0.2).collect()}
+    assert all(abs(exact[g] - got[g]) < 1e-12 for g in got)
