@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from costlens.functions import canonical_service, dsum, interval_date, to_number
+from costlens.functions import canonical_service, dsum, exact, finite, interval_date, to_number
 
 NUMERIC_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
@@ -91,6 +91,64 @@ def first_per_group(
     return d.groupBy(*keys).agg(*aggs)
 
 
+def group_state(
+    df: DataFrame, keys: Sequence[str], order: Column | Sequence[str], agg: str = "first"
+) -> DataFrame:
+    """CLN-4 as a state that can be kept: per group, what `first_per_group` needs of the rows seen so far.
+
+    A column's state is its first non-null value with that value's order key
+    (null: none yet), or with `agg="sum"` and a number its exact total, how many
+    finite values it has, and whether all of them and the total are in range.
+    States of parts of a table are put together by `merge_states`; `finish_state`
+    gives the values.
+    """
+    if agg not in ("first", "sum"):
+        raise ValueError("agg must be 'first' or 'sum'")
+    if not isinstance(order, Column):
+        order = F.struct(*[F.col(c) for c in order])
+    types = {f.name: f.dataType for f in df.schema.fields}
+    aggs = []
+    for c in (c for c in df.columns if c not in keys):
+        if agg == "sum" and isinstance(types[c], NUMERIC_TYPES):
+            total, n = F.try_sum(exact(c)), F.count(finite(c))
+            fits = (F.count(exact(c)) == n) & (total.isNotNull() | (n == 0))
+            aggs.append(F.struct(total.alias("total"), n.alias("n"), fits.alias("fits")).alias(c))
+        else:
+            seen = F.col(c).isNotNull()
+            kept = F.struct(F.col("__ord").alias("place"), F.col(c).alias("value"))
+            aggs.append(F.min_by(F.when(seen, kept), F.when(seen, F.col("__ord"))).alias(c))
+    return df.dropna(subset=list(keys)).withColumn("__ord", order).groupBy(*keys).agg(*aggs)
+
+
+def merge_states(states: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One state per group of any number of them (the rows of several `group_state` tables), combined map-side.
+
+    A total is null if it is out of range; two first values of one order key
+    are taken as the same line, and either stays."""
+    aggs = []
+    for f in (f for f in states.schema.fields if f.name not in keys):
+        s = F.col(f.name)
+        if "total" in f.dataType.fieldNames():
+            total, n = F.try_sum(s["total"]), F.sum(s["n"])
+            fits = F.bool_and(s["fits"]) & (total.isNotNull() | (n == 0))
+            aggs.append(F.struct(total.alias("total"), n.alias("n"), fits.alias("fits")).alias(f.name))
+        else:
+            aggs.append(F.min_by(s, s["place"]).alias(f.name))
+    return states.groupBy(*keys).agg(*aggs)
+
+
+def finish_state(state: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The values of a state: the rows that `first_per_group` gives for all the lines that went into it."""
+    cols = []
+    for f in (f for f in state.schema.fields if f.name not in keys):
+        s = F.col(f.name)
+        if "total" in f.dataType.fieldNames():
+            cols.append(F.when(s["fits"], s["total"].cast("double")).alias(f.name))
+        else:
+            cols.append(s["value"].alias(f.name))
+    return state.select(*keys, *cols)
+
+
 def net_cost_aws(df: DataFrame) -> DataFrame:
     """CLN-5: cost = blended − (bundled discount + total discount)."""
     return df.withColumn(
@@ -152,35 +210,22 @@ def file_order(raw: DataFrame) -> tuple[DataFrame, list[str]]:
     return raw.withColumn(FILE_ORDER, place), [FILE_ORDER]
 
 
-def clean_aws(
-    raw: DataFrame, order: Sequence[str] | Column | None = None, agg: str = "first", period: str | None = None
-) -> DataFrame:
-    """CLN-12: the whole AWS pipeline -> `cost_clean` rows with provider 'aws'.
-
-    `agg`: "first" amount of a group, or the "sum" of its amounts (D2).
-    `period`: a column of the raw table (the billing period) that is kept;
-    groups are then within a period.
-
-    `order` defines "first" inside a group (D1): columns of the raw table, or
-    by default the order of the lines in the files, by path (`file_order`).
-    Rows whose date is malformed belong to no group, as those with a null key.
-    """
+def _aws_lines(raw: DataFrame, order: Sequence[str] | Column | None, periods: list[str]) -> DataFrame:
+    """CLN-1, CLN-2, CLN-3: the lines of the report with their date and, as `__order`, their place."""
     if order is None:
         raw, order = file_order(raw)
     order_cols = [] if isinstance(order, Column) else list(order)
-    periods = [] if period is None else [period]
     keep = periods + AWS_KEEP + [c for c in order_cols if c not in AWS_KEEP]
     df = prune_columns(raw, keep, optional=["product_to_location", "product_to_region_code"])
     df = fill_numeric(df)
     df = df.withColumn("date", interval_date("identity_time_interval")).drop("identity_time_interval")
-    if isinstance(order, Column):
-        ord_col = order
-    else:
-        ord_col = F.struct(*[F.col(c) for c in order_cols])
-    df = df.withColumn("__order", ord_col).drop(*order_cols)
-    g = first_per_group(df, periods + AWS_KEYS, F.col("__order"), agg).drop("__order")
-    g = drop_zero_cost(net_cost_aws(g))
-    return g.select(
+    ord_col = order if isinstance(order, Column) else F.struct(*[F.col(c) for c in order_cols])
+    return df.withColumn("__order", ord_col).drop(*order_cols)
+
+
+def _aws_costs(groups: DataFrame, periods: list[str]) -> DataFrame:
+    """CLN-5, CLN-6: one row per group -> `cost_clean` rows."""
+    return drop_zero_cost(net_cost_aws(groups)).select(
         F.lit("aws").alias("provider"),
         "date",
         canonical_service("product_servicecode").alias("service"),
@@ -192,6 +237,38 @@ def clean_aws(
     )
 
 
+def clean_aws(
+    raw: DataFrame, order: Sequence[str] | Column | None = None, agg: str = "first", period: str | None = None
+) -> DataFrame:
+    """CLN-12: the whole AWS pipeline -> `cost_clean` rows with provider 'aws'.
+
+    `agg`: "first" amount of a group, or the "sum" of its amounts (D2).
+    `period`: a column of the raw table (the billing period) that is kept;
+    groups are then within a period.
+
+    `order` defines "first" inside a group (D1): columns of the raw table, or
+    by default the order of the lines in the files, by path (`file_order`).
+    Rows whose date is malformed belong to no group, as those with a null key.
+    """
+    periods = [] if period is None else [period]
+    lines = _aws_lines(raw, order, periods)
+    return _aws_costs(first_per_group(lines, periods + AWS_KEYS, F.col("__order"), agg).drop("__order"), periods)
+
+
+def aws_state(raw: DataFrame, order: Sequence[str] | Column | None = None, agg: str = "first") -> DataFrame:
+    """CLN-4 of one snapshot of the AWS report, as a state (`group_state`) per date, product code and region.
+
+    `order` must place the lines of all snapshots: columns of the report, or
+    by default file path and place, which suits snapshots of different files."""
+    lines = _aws_lines(raw, order, [])
+    return group_state(lines, AWS_KEYS, F.col("__order"), agg).drop("__order")
+
+
+def clean_aws_state(states: DataFrame) -> DataFrame:
+    """CLN-12 from the states of any number of snapshots: what `clean_aws` gives for all their lines at once."""
+    return _aws_costs(finish_state(merge_states(states, AWS_KEYS), AWS_KEYS), [])
+
+
 def clean_gcp(raw: DataFrame) -> DataFrame:
     """CLN-13: the whole GCP pipeline -> `cost_clean` rows with provider 'gcp'.
 

@@ -8,6 +8,8 @@ from costlens.operators import clean as C
 from costlens.operators import pivots as P
 from costlens.functions import davg, dsum
 from costlens.plans.registry import d_, davg_, dsum_, query
+from costlens.session import scratch_folder
+from costlens.sources import billing as B
 from costlens.sources.fixtures import Tables
 
 # "First" row of a group follows the report's line order (D1).
@@ -110,6 +112,40 @@ def cln12_clean_aws_sum(spark, sf_dir):
     return clean.withColumn("cost", F.round("cost", 6))
 
 
+def _by_snapshots(spark, sf_dir, agg: str):
+    """Two snapshots of the report, kept as two runs' states, merged; the second run is repeated."""
+    raw = Tables(spark, sf_dir).cost_aws_raw
+    table = scratch_folder(spark, "states")
+    odd = F.col("l_orderkey") % 2 == 1
+    for run, lines in (("2024-01", odd), ("2024-02", ~odd), ("2024-02", ~odd)):
+        B.add_state(C.aws_state(raw.where(lines), AWS_ORDER, agg), table, run)
+    return C.clean_aws_state(B.read_states(spark, table))
+
+
+@query(
+    "cln4_merged_states",
+    "CLN-4 CLN-12 SNK-1",
+    ["cost_aws_raw"],
+    f"select provider, {d_('date')} as date, service, product_code, region, location, cost "
+    f"from ({CLEAN_AWS_SQL})",
+)
+def cln4_merged_states(spark, sf_dir):
+    """First value per group from the kept states of two snapshots, equal to one pass over both."""
+    return _by_snapshots(spark, sf_dir, "first")
+
+
+@query(
+    "cln4_merged_states_sum",
+    "CLN-4 CLN-12 SNK-1",
+    ["cost_aws_raw"],
+    f"select provider, {d_('date')} as date, service, product_code, region, location, round(cost, 6) as cost "
+    f"from ({CLEAN_AWS_SUM_SQL})",
+)
+def cln4_merged_states_sum(spark, sf_dir):
+    """Amounts added up from the kept states of two snapshots, equal to one pass over both."""
+    return _by_snapshots(spark, sf_dir, "sum").withColumn("cost", F.round("cost", 6))
+
+
 @query(
     "cln13_clean_gcp",
     "CLN-1 CLN-7 CLN-8 CLN-9 CLN-11 CLN-13",

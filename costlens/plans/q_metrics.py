@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from costlens.operators import metrics as M
 from costlens.operators import topology as TP
 from costlens.plans.registry import davg_, dsum_, query, ts_
 from costlens.plans.sqlparts import stats_sql, window_sql
+from costlens.session import scratch_folder
 from costlens.sources.fixtures import Tables
 
 # The metric fixture covers 2024-01-01 .. 2024-01-30; "now" is the day after.
@@ -91,6 +94,50 @@ def met7_resource_stat(spark, sf_dir):
     return M.resource_stat(M.metric_stats(Tables(spark, sf_dir).metric_points, AS_OF))
 
 
+# Two reports from one store: the second adds a day; its time cuts a cell in two.
+STORE_TIMES = ("2024-01-29 00:00:00", "2024-01-30 13:07:00")
+
+
+@query(
+    "met1_kept_cells",
+    "MET-1 MET-2 MET-3 MET-4",
+    ["metric_points"],
+    " union all ".join(
+        f"select '{t}' as as_of, namespace, metric, resource_id, {ts_('bucket_start')} as bucket_start, sum, avg, cnt "
+        f"from ({stats_sql(t, '7 days', '1 hour')}) s{i}"
+        for i, t in enumerate(STORE_TIMES)
+    ),
+)
+def met1_kept_cells(spark, sf_dir):
+    """Hourly statistics of 7 days at two times, from cells that are kept by day."""
+    points = Tables(spark, sf_dir).metric_points
+    store = M.CellStore(spark, scratch_folder(spark, "cells"))
+    parts = []
+    for t in STORE_TIMES:
+        store.add(points, t)
+        stats = M.metric_stats(store.cube(points, t), t, "7 days", "1 hour")
+        parts.append(stats.select(F.lit(t).alias("as_of"), "*"))
+    return parts[0].unionByName(parts[1])
+
+
+WEEK = [f"2024-01-{d} 00:00:00" for d in range(25, 32)]
+
+
+@query(
+    "met7_week_of_reports",
+    "MET-1 MET-7",
+    ["metric_points"],
+    " union all ".join(
+        f"select namespace, metric, resource_id, '{t}.000000' as as_of, {davg_('avg')} as avg_of_avg, {dsum_('sum')} as total, "
+        f"count(*) as buckets from ({stats_sql(t, '2 days', '1 hour')}) s{i} group by namespace, metric, resource_id"
+        for i, t in enumerate(WEEK)
+    ),
+)
+def met7_week_of_reports(spark, sf_dir):
+    """Statistics per resource of the two days before each of seven report times, in one pass."""
+    return M.resource_stats_at(Tables(spark, sf_dir).metric_points, WEEK, "2 days", "1 hour")
+
+
 @query(
     "top1_cluster_instances",
     "TOP-1",

@@ -104,3 +104,9 @@ def scratch_folder(spark: SparkSession, stem: str) -> str:
     files.mkdirs(folder.getParent())
     files.deleteOnExit(folder)
     return path
+
+
+def folder_exists(spark: SparkSession, path: str) -> bool:
+    """Whether the path is there, on whatever file system it names."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)

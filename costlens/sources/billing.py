@@ -17,8 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from costlens.operators.clean import FILE_ORDER
-from costlens.session import materialize
+from costlens.operators.clean import FILE_ORDER, merge_states
+from costlens.session import folder_exists, materialize
 
 # The AWS export layout — partition folder prefix, the run-folder
 # name pattern (timestamp + UUID) and the data file name prefix.
@@ -179,7 +179,7 @@ def update_clean_aws(
     files = _listed(spark, f"{base.rstrip('/')}/{AWS_PARTITION_PREFIX}*/*", f"{file_prefix}*.gz").where(_is_run(F.col("path")))
     period = F.substring_index(_folder(F.col("path"), 2), "=", -1)
     runs = files.select(period.alias("period"), _folder(F.col("path"), 1).alias("run")).distinct()
-    if _there(spark, manifest):
+    if folder_exists(spark, manifest):
         runs = runs.join(spark.read.schema("period string, run string").parquet(manifest), ["period", "run"], "left_anti")
     runs = materialize(runs)
     periods = sorted(runs.select("period").distinct().toArrow().column("period").to_pylist())
@@ -191,9 +191,25 @@ def update_clean_aws(
     return periods
 
 
-def _there(spark: SparkSession, path: str) -> bool:
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+def add_state(state: DataFrame, table: str, run_id: str) -> None:
+    """CLN-4 by increments: keeps one snapshot's state (`clean.group_state`) as the partition `run_id` of `table`.
+
+    A repeated run replaces its own partition, so no line counts twice.  A
+    snapshot without groups adds nothing."""
+    _replace_partitions(state.withColumn("run_id", F.lit(run_id)), table, ["run_id"])
+
+
+def read_states(spark: SparkSession, table: str) -> DataFrame:
+    """The states of all runs kept in `table`, to be merged (`clean.merge_states`, `clean.clean_aws_state`)."""
+    return spark.read.parquet(table).drop("run_id")
+
+
+def compact_states(states: DataFrame, keys: Sequence[str], table: str, run_id: str = "merged") -> None:
+    """Many runs' states as one run of another table, which later runs are then added to.
+
+    The old table stays as it is until the caller drops it, so a job lost on
+    the way loses nothing and counts nothing twice."""
+    add_state(merge_states(states, keys), table, run_id)
 
 
 def _replace_partitions(df: DataFrame, path: str, by: Sequence[str]) -> None:
