@@ -2,9 +2,8 @@
 
 Work is done after the daily aggregate (TS-1), so a series has one row per
 day whatever the size of the billing data; per-service windows therefore
-hold days, not rows.  Native operators: TS-1, 3, 4, 9, 10, 14, 15 and the
-lag-0 ADF statistic.  Model fitting (ADF with AIC lag choice, PACF, ARIMA)
-runs per service in `groupBy(service).applyInPandas` with numpy.
+hold days, not rows.  Native operators: TS-1, 2, 3, 4, 6, 7, 8, 9, 10, 14 and 15.
+ARIMA runs per service in `groupBy(service).applyInPandas` with numpy.
 """
 
 from __future__ import annotations
@@ -16,7 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from costlens.functions import dsum
+from costlens.functions import dsum, finite
+from costlens.session import materialize
 
 HORIZON = 7
 Z95 = 1.96
@@ -176,6 +176,206 @@ def adf_lag0(series: DataFrame, group: str = "service", col: str = "y") -> DataF
     return g.select(group, "nobs", "beta", F.try_divide(F.col("beta"), se).alias("tau"))
 
 
+# The MacKinnon p-value is at most 0.05 up to this τ, the root of 2.1659 + 1.4412 τ + 0.038269 τ² = Φ⁻¹(0.05).
+TAU_5 = (-1.4412 + math.sqrt(1.4412**2 - 4 * 0.038269 * (2.1659 + 1.6448536269514722))) / (2 * 0.038269)
+# A column whose remainder beside the others is less than this share of it adds nothing to them.
+SINGULAR = 1e-12
+
+
+def _let(value: Column, body) -> Column:
+    """`body(value)` with the value computed once, however often the body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
+
+
+def _centred(a: Column) -> Column:
+    mean = F.try_divide(F.aggregate(a, F.lit(0.0), lambda s, v: s + v), F.size(a).cast("double"))
+    return _let(mean, lambda m: F.transform(a, lambda v: v - m))
+
+
+def _unit(a: Column) -> Column:
+    """The centred column at length 1; null if it is constant to 10 digits (the constant regressor holds it already)."""
+
+    def scaled(c: Column) -> Column:
+        return _let(_dot(c, c), lambda q: F.when(q > _dot(a, a) * 1e-20, F.transform(c, lambda v: v / F.sqrt(q))))
+
+    return _let(_centred(a), scaled)
+
+
+def _substituted(factor: Column, cols: Column, x: Column) -> Column:
+    """The row that column `x` has in the Cholesky factor of the cross-moments of `cols`: L⁻¹ (cols · x)."""
+
+    def entry(row: Column, lj: Column) -> Column:
+        moment = _dot(x, F.element_at(cols, F.size(row) + 1))
+        rest = moment - _dot(row, F.slice(lj, F.lit(1), F.size(row)))
+        return F.concat(row, F.array(F.try_divide(rest, F.element_at(lj, -1))))
+
+    return F.aggregate(factor, F.array().cast("array<double>"), entry)
+
+
+def _cholesky(cols: Column) -> Column:
+    """The Cholesky factor of the cross-moments of columns of length 1, by rows.
+
+    Null from the first column on that the ones before it (nearly) span."""
+
+    def add(factor: Column, x: Column) -> Column:
+        def finished(row: Column) -> Column:
+            rest = F.lit(1.0) - _dot(row, row)
+            return F.concat(row, F.array(F.when(rest > SINGULAR, F.sqrt(rest))))
+
+        return F.concat(factor, F.array(_let(_substituted(factor, cols, x), finished)))
+
+    return F.aggregate(cols, F.array().cast("array<array<double>>"), add)
+
+
+def _lagged(dy: Column, lags: Column, start: Column, rows: Column) -> Column:
+    """Columns Δy_{t−1} .. Δy_{t−lags} over the rows from `start` on."""
+    some = F.transform(F.sequence(F.lit(1), lags), lambda j: _unit(F.slice(dy, start - j + 1, rows)))
+    return F.when(lags > 0, some).otherwise(F.array().cast("array<array<double>>"))
+
+
+def _diff(y: Column) -> Column:
+    n = F.greatest(F.size(y) - 1, F.lit(0))
+    return F.zip_with(F.slice(y, F.lit(2), n), F.slice(y, F.lit(1), n), lambda a, b: a - b)
+
+
+def _adf(y: Column) -> Column:
+    """(tau, lag, nobs) of an array of daily values in order, by cross-moments of the lagged columns.
+
+    Every lag 0..L is tried on the same rows, L = min(⌈12 (n/100)^¼⌉, ⌊n/2⌋ − 2).
+    With the level first and the lags after it, one factor has them all: the
+    squared residual of the first columns is what their entries in the target's
+    row leave of it.  The lag of the least AIC is fitted again on all its rows,
+    the level last; its t-value is then the last entry over the residual's
+    standard error.  Null for fewer than 6 values, and if the level or the
+    chosen lags are spanned by the other columns.
+    """
+    n = F.size(y)
+    top = F.ceil(F.lit(12.0) * F.pow(n / F.lit(100.0), F.lit(0.25))).cast("int")
+    longest = F.greatest(F.least(top, F.floor(n / F.lit(2)).cast("int") - 2), F.lit(0))
+
+    def least_aic(dy: Column, most: Column) -> Column:
+        rows = n - 1 - most
+        cols = F.concat(F.array(_unit(F.slice(y, most + 1, rows))), _lagged(dy, most, most, rows))
+
+        def scores(x: Column, target: Column) -> Column:
+            z = _substituted(_cholesky(x), x, target)
+
+            def score(zs: Column, k: Column) -> Column:
+                part = F.slice(zs, F.lit(1), k + 1)
+                left = _dot(target, target) - _dot(part, part)
+                aic = F.when(left > 0, rows * F.ln(F.when(left > 0, left) / rows) + 2 * (k + 2))
+                return F.struct(F.when(rows > k + 2, aic).alias("aic"), k.alias("lag"))
+
+            return _let(z, lambda zs: F.transform(F.sequence(F.lit(0), most), lambda k: score(zs, k)))
+
+        found = _let(cols, lambda x: _let(_centred(F.slice(dy, most + 1, rows)), lambda target: scores(x, target)))
+        best = F.array_min(F.filter(found, lambda s: s["aic"].isNotNull()))
+        return F.coalesce(best["lag"], F.lit(0))
+
+    def fitted(dy: Column, lag: Column) -> Column:
+        rows = n - 1 - lag
+        cols = F.concat(_lagged(dy, lag, lag, rows), F.array(_unit(F.slice(y, lag + 1, rows))))
+
+        def statistic(x: Column, target: Column) -> Column:
+            def tau(z: Column) -> Column:
+                left = _dot(target, target) - _dot(z, z)
+                error = F.sqrt(F.when((left > 0) & (rows > lag + 2), left) / F.greatest(rows - lag - 2, F.lit(1)))
+                return F.struct((F.element_at(z, -1) / error).alias("tau"), lag.alias("lag"), rows.alias("nobs"))
+
+            return _let(_substituted(_cholesky(x), x, target), tau)
+
+        return _let(cols, lambda x: _let(_centred(F.slice(dy, lag + 1, rows)), lambda target: statistic(x, target)))
+
+    tested = _let(_diff(y), lambda dy: _let(_let(longest, lambda m: least_aic(dy, m)), lambda lag: fitted(dy, lag)))
+    none = F.struct(F.lit(None).cast("double").alias("tau"), F.lit(0).alias("lag"), n.alias("nobs"))
+    return F.when(n >= 6, tested).otherwise(none)
+
+
+def _days(series: DataFrame, group: str, col: str) -> DataFrame:
+    """(group, y): a service's values by date as one array, one number per day of its history.
+
+    Less the first value: neither the test nor a correlation depends on the level, and a high one costs digits."""
+    known = series.where(F.col(group).isNotNull() & finite(col).isNotNull())
+    days = F.sort_array(F.collect_list(F.struct("date", F.col(col).cast("double").alias("y"))))
+    return known.groupBy(group).agg(days.alias("days")).select(
+        group, F.transform("days", lambda d: d["y"] - F.get("days", F.lit(0))["y"]).alias("y")
+    )
+
+
+def normal_cdf(x: Column) -> Column:
+    """Φ(x) by its series around 0, 1/2 + φ(x) Σ x^(2k+1) / (2k+1)!!; 0 or 1 beyond 8."""
+    first = F.struct(x.alias("term"), x.alias("sum"))
+
+    def step(s: Column, k: Column) -> Column:
+        return _let(
+            s["term"] * x * x / (2 * k + 1), lambda t: F.struct(t.alias("term"), (s["sum"] + t).alias("sum"))
+        )
+
+    total = F.aggregate(F.sequence(F.lit(1), F.lit(150)), first, step, lambda s: s["sum"])
+    near = F.greatest(F.lit(0.5) + F.exp(-x * x / 2) / math.sqrt(2 * math.pi) * total, F.lit(0.0))
+    return F.when(x < -8, F.lit(0.0)).when(x > 8, F.lit(1.0)).otherwise(near)
+
+
+def mackinnon(tau: Column) -> Column:
+    """The p-value of τ (constant only): `mackinnon_p` as a column; null for null."""
+    low = normal_cdf(F.lit(2.1659) + 1.4412 * tau + 0.038269 * tau * tau)
+    high = normal_cdf(F.lit(1.7339) + 0.93202 * tau - 0.12745 * tau * tau - 0.010368 * tau * tau * tau)
+    return (
+        F.when(tau < -18.83, F.lit(0.0)).when(tau > 2.74, F.lit(1.0)).when(tau <= -1.61, low).when(tau > -1.61, high)
+    )
+
+
+def adf(series: DataFrame, group: str = "service", col: str = "y") -> DataFrame:
+    """TS-2: augmented Dickey-Fuller test with a constant, lag by AIC (`_adf`) -> (group, tau, lag, nobs, p, stationary).
+
+    Days without a finite value are left out.  `stationary`: p is at most 0.05;
+    false where there is no τ.  One shuffle, no Python."""
+    a = _days(series, group, col).select(group, _adf(F.col("y")).alias("a")).select(group, "a.*")
+    stationary = F.coalesce(F.col("tau") <= TAU_5, F.lit(False))
+    return a.select(group, "tau", "lag", "nobs", mackinnon(F.col("tau")).alias("p"), stationary.alias("stationary"))
+
+
+def choose_d(series: DataFrame, group: str = "service", col: str = "y") -> DataFrame:
+    """TS-6: differences until the test calls the series stationary, at most two -> (group, n, d, tau, lag).
+
+    `tau` and `lag` are of the last test.  A series without τ is differenced
+    as one that isn't stationary, while it has more than one value."""
+
+    return _differenced(series, group, col).select(group, "n", "d", "a.tau", "a.lag")
+
+
+def _differenced(series: DataFrame, group: str, col: str) -> DataFrame:
+    """(group, n, y, d, a): the values differenced `d` times as the test `a` asks for, and how many there were."""
+    cur = _days(series, group, col).select(group, F.size("y").cast("long").alias("n"), "y")
+    cur = cur.select("*", F.lit(0).alias("d"), _adf(F.col("y")).alias("a"))
+    more = ~F.coalesce(F.col("a.tau") <= TAU_5, F.lit(False)) & (F.size("y") > 1)
+    for d in (1, 2):
+        # a series that was decided at d - 1 keeps its test
+        cur = cur.select("*", (more & (F.col("d") == d - 1)).alias("go"))
+        cur = cur.withColumn("y", F.when(F.col("go"), _diff(F.col("y"))).otherwise(F.col("y")))
+        cur = cur.withColumn("a", F.when(F.col("go"), _adf(F.col("y"))).otherwise(F.col("a")))
+        cur = cur.withColumn("d", F.when(F.col("go"), F.lit(d)).otherwise(F.col("d"))).drop("go")
+    return cur
+
+
+def model_orders(series: DataFrame, group: str = "service", col: str = "y") -> DataFrame:
+    """TS-6..10: the orders (group, p, d, q): d by `choose_d`, then p from the partial autocorrelation and q from the
+    autocorrelation of the differenced series (lags 0..n/2 − 1 of what is left of it).
+
+    The differenced series are written once, one row per service."""
+    found = materialize(_differenced(series, group, col))
+    w = found.select(group, F.posexplode("y").alias("date", "y"))
+    p = choose_order(pacf(w, group), group, "pacf").select(group, F.col("order").alias("p"))
+    q = choose_order(acf(w, group), group).select(group, F.col("order").alias("q"))
+    orders = found.select(group, "d").join(p, group, "left").join(q, group, "left")
+    order = [F.coalesce(F.col(c), F.lit(0)).cast("int").alias(c) for c in ("p", "d", "q")]
+    return orders.select(group, *order)
+
+
 # ------------------------------------------------------------------ numpy, per service
 def _norm_cdf(x: float) -> float:
     return 0.5 * (1.0 + math.erf(x / math.sqrt(2.0)))

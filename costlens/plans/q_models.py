@@ -255,6 +255,111 @@ def ts2_adf_lag0(spark, sf_dir):
 
 
 # ------------------------------------------------------------------ AGG-4
+def _adf_sql(source: str) -> str:
+    """tau, lag and nobs per key `k` of `source` (k, date, y), by elimination on the moments of the lagged columns."""
+
+    def vectors(most: str, order: str) -> str:
+        """Centred columns: 0 the level, 1.. the lags, -1 the target, at the place that `order` gives."""
+        part = f"""case c when 0 then ys[{most} + 1 : n - 1]
+                   when -1 then dys[{most} + 1 : n - 1] else dys[{most} - c + 1 : n - 1 - c] end"""
+        return f"""select k, n, {most} as lags, {order} as place, list_transform(x, lambda v: v - list_avg(x)) as x
+            from (select *, {part} as x from (select *, unnest(range(-1, {most} + 1)) as c from {{}}))"""
+
+    def eliminated(v: str) -> str:
+        """The matrix of moments after each number p of pivots, less the pivots' rows and columns."""
+        return f"""select k, any_value(n) as n, any_value(lags) as lags, 0 as p, list(r order by place) as a from (
+              select a.k, a.place, any_value(a.n) as n, any_value(a.lags) as lags,
+                     list(list_inner_product(a.x, b.x) order by b.place) as r
+              from {v} a join {v} b on a.k = b.k group by a.k, a.place) group by k
+          union all
+          select k, n, lags, p + 1,
+                 list_transform(a[2:], lambda r: list_transform(r[2:], lambda z, j: z - r[1] * a[1][j + 1] / a[1][1]))
+          from {{}} where p <= lags"""
+
+    first = "case c when -1 then 1000000 else c end"  # level, lags, target
+    second = "case c when -1 then 1000001 when 0 then 1000000 else c end"  # lags, level, target
+    return f"""with recursive adf_s as (
+  select k, date, y, y - lag(y) over (partition by k order by date) as dy from ({source}) x),
+adf_g as (select k, count(*) as n, list(y order by date) as ys, list(dy order by date) filter (where dy is not null) as dys
+  from adf_s group by k),
+adf_l as (select *, cast(greatest(least(ceil(12 * power(n / 100.0, 0.25)), floor(n / 2) - 2), 0) as bigint) as most
+  from adf_g where n >= 6),
+adf_v as materialized ({vectors('most', first).format('adf_l')}),
+adf_e as ({eliminated('adf_v').format('adf_e')}),
+adf_b as (select k, arg_min(p - 1, (n - 1 - lags) * ln(a[-1][-1] / (n - 1 - lags)) + 2 * (p + 1)) as best
+  from adf_e where p > 0 and n - 1 - lags > p + 1 group by k),
+adf_w as materialized ({vectors('best', second).format('(select * from adf_l join adf_b using (k))')}),
+adf_f as ({eliminated('adf_w').format('adf_f')})
+select k, lags as lag, n - 1 - lags as nobs,
+       a[1][2] / a[1][1] / sqrt((a[2][2] - a[1][2] * a[1][2] / a[1][1]) / (n - 3 - 2 * lags) / a[1][1]) as tau
+from adf_f where p = lags"""
+
+
+@query(
+    "ts2_adf",
+    "TS-2",
+    ["cost_aws_raw", "cost_gcp_raw"],
+    f"""select k as service, cast(lag as integer) as lag, cast(nobs as integer) as nobs, round(tau, 4) as tau,
+               tau <= -2.861592763096974 as stationary
+        from ({_adf_sql(f"select service as k, date, y from ({RUNNING_SQL}) r")}) a""",
+)
+def ts2_adf(spark, sf_dir):
+    """Augmented Dickey-Fuller test of each service's running total, lag by AIC."""
+    a = FC.adf(running(Tables(spark, sf_dir)))
+    return a.select("service", "lag", "nobs", F.round("tau", 4).alias("tau"), "stationary")
+
+
+# The running total and its first and second differences, as series of their own.
+DIFFERENCED_SQL = f"""with d0 as (select service, date, y from ({RUNNING_SQL}) r),
+d1 as (select service, date, y - lag(y) over (partition by service order by date) as y from d0),
+d2 as (select service, date, y - lag(y) over (partition by service order by date) as y from d1)
+select service || '|0' as k, date, y from d0
+union all select service || '|1', date, y from d1 where y is not null
+union all select service || '|2', date, y from d2 where y is not null"""
+
+
+CHOSEN_D_SQL = f"""select split_part(k, '|', 1) as service, cast(split_part(k, '|', 2) as integer) as d, lag, tau
+from ({_adf_sql(DIFFERENCED_SQL)}) a
+qualify row_number() over (partition by split_part(k, '|', 1) order by
+  case when tau <= -2.861592763096974 then split_part(k, '|', 2) when k like '%|2' then '3' else '4' end) = 1"""
+
+
+@query(
+    "ts6_choose_d",
+    "TS-2 TS-4 TS-6",
+    ["cost_aws_raw", "cost_gcp_raw"],
+    f"""select service, n, d, cast(lag as integer) as lag, round(tau, 4) as tau from ({CHOSEN_D_SQL}) c
+        join (select service, count(*) as n from ({RUNNING_SQL}) r group by service) t using (service)""",
+)
+def ts6_choose_d(spark, sf_dir):
+    """Differences until the test calls a service's running total stationary."""
+    c = FC.choose_d(running(Tables(spark, sf_dir)))
+    return c.select("service", "n", "d", "lag", F.round("tau", 4).alias("tau"))
+
+
+CHOSEN_SERIES_SQL = f"""select c.service, date, y from ({CHOSEN_D_SQL}) c
+join ({DIFFERENCED_SQL}) v on v.k = c.service || '|' || c.d"""
+
+
+def _order_sql(corr: str, value: str) -> str:
+    return f"""select service, cast(greatest(coalesce(min(case when {value} < 1.96 / sqrt(n) then lag end) - 1, 0), 0) as integer)
+        as ord from ({corr}) x group by service"""
+
+
+@query(
+    "ts6_10_model_orders",
+    "TS-2 TS-4 TS-6 TS-7 TS-8 TS-9 TS-10",
+    ["cost_aws_raw", "cost_gcp_raw"],
+    f"""with chosen_series as materialized ({CHOSEN_SERIES_SQL}), chosen_d as ({CHOSEN_D_SQL})
+        select d.service, p.ord as p, d.d, q.ord as q from chosen_d d
+        join ({_order_sql(PACF_SQL.replace(RUNNING_SQL, 'select * from chosen_series'), 'pacf')}) p using (service)
+        join ({_order_sql(ACF_SQL.replace(SERIES_SQL, 'select * from chosen_series'), 'acf')}) q using (service)""",
+)
+def ts6_10_model_orders(spark, sf_dir):
+    """Orders (p, d, q) of each service's running total, without Python."""
+    return FC.model_orders(running(Tables(spark, sf_dir)))
+
+
 def forecasts(t: Tables, s=None):
     s = series(t) if s is None else s
     return FC.ar1_forecast(s).withColumn("forecast", F.round("forecast", 2))
