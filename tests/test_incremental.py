@@ -66,6 +66,31 @@ def test_survey_stops_after_the_first_line(spark):
     assert [r.header for r in B.headers(spark, f"{base}/*/*").collect()] == [",".join(NAMES)]
 
 
+def test_survey_sends_no_line_to_python_and_reads_each_file_once(spark, monkeypatch, capsys):
+    base = tempfile.mkdtemp(prefix="costlens-once-")
+    for i in range(5):
+        names = NAMES if i % 2 else list(reversed(NAMES))
+        export(base, f"2024-{i + 1:02}", RUN, [line("2024-01-01", k) for k in range(30)], names)
+    plain = B.headers
+    plain(spark, f"{base}/*/*").explain()
+    plan = capsys.readouterr().out
+    assert "text" in plan and "Python" not in plan and "MapInArrow" not in plan, plan
+    surveyed = spark.sparkContext.accumulator(0)
+
+    def counted(*args):
+        def count(batches):
+            for batch in batches:
+                surveyed.add(batch.num_rows)
+                yield batch
+
+        found = plain(*args)
+        return found.mapInArrow(count, found.schema)
+
+    monkeypatch.setattr(B, "headers", counted)
+    assert B.read_aws_billing(spark, base).count() == 150
+    assert surveyed.value == 5
+
+
 def test_second_run_reads_only_the_new_period(spark):
     base, table, manifest = (tempfile.mkdtemp(prefix="costlens-inc-") for _ in range(3))
     manifest += "/m"
